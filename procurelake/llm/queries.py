@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from procurelake.llm import exact_dedup, url_filter
 from procurelake.llm.bpe import op1_bpe
 from procurelake.llm.packing import op4_packing
+from procurelake.llm.secrets import op5_secrets
 
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op4_packing": op4_packing,
+    "op5_secrets": op5_secrets,
+    "op6_url_filter": url_filter.op6_url_filter,
+    "op7_exact_dedup": exact_dedup.op7_exact_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_url_filter": url_filter.ORACLE,
+    "op7_exact_dedup": exact_dedup.ORACLE,
+}
