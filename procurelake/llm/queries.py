@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from procurelake.llm import exact_dedup, url_filter
+from procurelake.llm import exact_dedup, near_join, url_filter
 from procurelake.llm.bpe import op1_bpe
 from procurelake.llm.packing import op4_packing
 from procurelake.llm.secrets import op5_secrets
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_near_join": near_join.op2_near_join,
     "op4_packing": op4_packing,
     "op5_secrets": op5_secrets,
     "op6_url_filter": url_filter.op6_url_filter,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_near_join": near_join.ORACLE,
     "op6_url_filter": url_filter.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
 }

@@ -11,6 +11,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,3 +105,80 @@ def components(edges: DataFrame, name: str = "components", max_rounds: int = 60)
         before = after
     roots = now.select(b.alias("node"), b.alias("component")).distinct()
     return now.select(a.alias("node"), b.alias("component")).unionByName(roots)
+
+
+def per_group(df: DataFrame, key: str, columns: Sequence[str], schema: str, fn: Callable[..., Sequence | None], out_rows: int = 8192) -> DataFrame:
+    """Run ``fn`` on the rows of each value of ``key`` (an integer column), the arrays of ``columns`` given as its arguments.
+
+    The rows are dealt out and sorted by the key, and groups are cut from the stream of batches, so that a
+    small group costs little more than the call. Groups must have a size bound; callers see to that by
+    making the block a part of the key. ``fn`` returns one sequence for each column of ``schema``, or None.
+    """
+    out_schema = T._parse_datatype_string(schema)
+    sent = df.select(key, *columns).repartition(key).sortWithinPartitions(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(out_schema)
+        ready: list[list] = [[] for _ in out_schema.fields]
+        carried: list[pa.RecordBatch] = []
+
+        def process(parts: list[pa.RecordBatch]) -> None:
+            whole = parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+            made = fn(*whole.columns[1:])
+            if made is not None:
+                for column, values in zip(ready, made, strict=True):
+                    column.extend(values)
+
+        def flush() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(ready, arrow, strict=True)], schema=arrow)
+            for c in ready:
+                c.clear()
+            return batch
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                part = batch.slice(lo, hi - lo)
+                if carried and carried[0].column(0)[0].as_py() != part.column(0)[0].as_py():
+                    process(carried)
+                    carried = []
+                carried.append(part)
+                if len(ready[0]) >= out_rows:
+                    yield flush()
+        if carried:
+            process(carried)
+        if ready[0]:
+            yield flush()
+
+    return sent.mapInArrow(run, out_schema)
+
+
+def dealt_in_cells(members: DataFrame, group: str, member: str, blocks: str) -> DataFrame:
+    """Deal each group's members into ``blocks`` blocks, and pairs of blocks into cells.
+
+    Adds ``cell`` (a long), ``side`` (the member's block) and ``crossed`` (the cell joins two different
+    blocks: only pairs of members of unlike sides belong to it). Every pair of members of a group meets in
+    exactly one cell as a counted pair, and a cell has the members of two blocks at most.
+    """
+    side = F.expr(f"pmod(xxhash64({member}), {blocks})")
+    dealt = members.withColumn("side", side).withColumn("__other", F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1)))
+    low, high = F.least("side", "__other"), F.greatest("side", "__other")
+    return dealt.withColumn("cell", F.xxhash64(group, low, high)).withColumn("crossed", F.col("side") != F.col("__other")).drop("__other")
+
+
+def local_components(adjacent: np.ndarray) -> np.ndarray:
+    """The smallest reachable index of each node of a small symmetric boolean matrix."""
+    n = len(adjacent)
+    label = np.arange(n)
+    reach = adjacent | np.eye(n, dtype=bool)
+    while True:
+        new = np.where(reach, label[None, :], n).min(1)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
