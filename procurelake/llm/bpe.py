@@ -273,20 +273,6 @@ def tokenizer_broadcast(df: DataFrame, tokenizer: str):
     return df.sparkSession.sparkContext.broadcast(spec)
 
 
-def in_slices(texts: pa.Array, chars: int = 4_000_000):
-    """Slices of a batch's texts that hold about so many characters, for bounded memory with very long texts."""
-    some: list[str] = []
-    total = 0
-    for t in texts:
-        some.append(t.as_py() or "")
-        total += len(some[-1])
-        if total >= chars:
-            yield some
-            some, total = [], 0
-    if some:
-        yield some
-
-
 def encode(df: DataFrame, text: str = "text", out: str = "ids", *, tokenizer: str, packed: bool = False, drop: Sequence[str] = ()) -> DataFrame:
     """Append the ids of each whole text (special tokens written in a text count, none are added).
 
@@ -301,7 +287,7 @@ def encode(df: DataFrame, text: str = "text", out: str = "ids", *, tokenizer: st
         bpe = load(spec.value)
 
         def compute(texts: pa.Array):
-            encoded = [e for some in in_slices(texts) for e in bpe.encode_texts(some)]
+            encoded = bpe.encode_texts([t.as_py() or "" for t in texts])
             if packed:
                 return [pa.array(encoded, pa.binary())]
             offsets = np.zeros(len(encoded) + 1, np.int32)

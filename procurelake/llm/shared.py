@@ -56,13 +56,24 @@ def append_columns(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
         for batch in batches:
-            if batch.num_rows:
-                made = compute(*batch.columns[n:])
-                yield pa.RecordBatch.from_arrays([*batch.columns[:n], *made], names=names)
+            for part in slices(batch):
+                made = compute(*part.columns[n:])
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], *made], names=names)
 
     return sent.mapInArrow(run, schema)
 
 
+#: Bytes of a slice of a batch, about; a longer row is a slice of its own.
+SLICE_BYTES = 4 << 20
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of bounded size, so that what a task makes of it stays small too."""
+    rows = max(1, int(batch.num_rows * SLICE_BYTES / max(1, batch.nbytes)))
+    for lo in range(0, batch.num_rows, rows):
+        yield batch.slice(lo, rows)
+
+
 def text_or_empty(column: str):
     """The text column as a string; null counts as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

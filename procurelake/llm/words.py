@@ -11,8 +11,8 @@ import re
 import numpy as np
 import xxhash
 
-#: Entries after which a worker's table of known words starts anew; bounds its memory to about 100 MB.
-KNOWN_WORDS = 500_000
+#: Entries after which a worker's table of known words starts anew; bounds its memory to about 50 MB.
+KNOWN_WORDS = 250_000
 
 
 class WordTable(dict):
