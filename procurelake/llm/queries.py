@@ -5,7 +5,9 @@ from __future__ import annotations
 from procurelake.llm import exact_dedup, near_join, url_filter
 from procurelake.llm.bpe import op1_bpe
 from procurelake.llm.packing import op4_packing
+from procurelake.llm.quality import op9_quality
 from procurelake.llm.secrets import op5_secrets
+from procurelake.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op1_bpe": op1_bpe,
@@ -14,6 +16,8 @@ QUERIES = {
     "op5_secrets": op5_secrets,
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op9_quality": op9_quality,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
