@@ -96,16 +96,17 @@ def exact_dedup(
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``df`` that stay, with all their columns; of rows repeated with id and text one stays.
 
-    Removed are the ids that ``exact_dedup`` does not keep; the rows of a kept id are then made distinct by
-    id and text digest, which needs no wide group.
+    Rows are told apart by id and text digest. Only where some are repeated with both do the rest have to be
+    made distinct.
     """
-    verdicts = exact_dedup(df, id_col, text)
-    gone = verdicts.where("not kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    again = verdicts.where("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha"))
-    lost = gone.join(again, [F.col("__id").eqNullSafe(again["__id"]), gone["__sha"] == again["__sha"]], "left_anti")
-    marked = df.withColumn("__id", F.col(id_col)).withColumn("__sha", F.sha2(normalised(text), 256))
-    stay = marked.join(lost, [marked["__id"].eqNullSafe(lost["__id"]), marked["__sha"] == lost["__sha"]], "left_anti")
-    return stay.dropDuplicates(["__id", "__sha"]).drop("__id", "__sha")
+    verdicts = stash(exact_dedup(df, id_col, text).select(F.col(id_col).alias("gone_id"), F.col("text_sha256").alias("gone_sha"), "kept"), "verdicts")
+    told = verdicts.groupBy("gone_id", "gone_sha").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    gone = told.where("not kept").select("gone_id", "gone_sha")
+    marked = df.withColumn("__sha", F.sha2(normalised(text), 256))
+    stay = marked.join(gone, F.col(id_col).eqNullSafe(F.col("gone_id")) & (F.col("__sha") == F.col("gone_sha")), "left_anti")
+    if not told.where("n > 1 and kept").isEmpty():
+        stay = stay.dropDuplicates([id_col, "__sha"])
+    return stay.select(*df.columns)
 
 
 def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:

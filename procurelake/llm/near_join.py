@@ -221,6 +221,12 @@ def near_duplicates(
     )
 
 
+def keep_one_of_each_class(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``df`` without those that ``near_duplicates`` does not keep; for tables whose ids are distinct."""
+    gone = near_duplicates(df, id_col, text).where("not kept").select(F.col(id_col).alias("__gone"))
+    return df.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+
+
 def op2_near_join(spark, sf_dir: str) -> DataFrame:
     """Near-duplicates among all documents; one row per document."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

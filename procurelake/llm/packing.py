@@ -204,13 +204,17 @@ def pack(
     return sent.mapInArrow(run, schema)
 
 
-def op4_packing(spark, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
-    """Pack every document into sequences of 2048 tokens; one row per piece."""
+def pack_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """Tokenise documents (null text: empty), end each with id 1, and pack them; one row per piece with doc_id, its checksum and place."""
     import public_tokenizers
 
     tokenizer = tokenizer or public_tokenizers.path("word_bpe_49k.json")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    packed = pack(encode(docs, tokenizer=tokenizer, packed=True, drop=["text"]), end_id=1)
+    packed = pack(encode(docs.select("doc_id", "text"), tokenizer=tokenizer, packed=True, drop=["text"]), end_id=1)
     return packed.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), F.col("example_tokens").alias("doc_tokens"), "sequence_id", "offset", "loss_tokens"
     )
+
+
+def op4_packing(spark, sf_dir: str) -> DataFrame:
+    """Pack every document into sequences of 2048 tokens; one row per piece."""
+    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
