@@ -1 +1 @@
-
+"""Column functions: keys, times, text and vectors."""

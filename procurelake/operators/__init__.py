@@ -1 +1 @@
-
+"""Relational operators: normalising, deduplication, versions, extraction, review, search."""

@@ -1 +1 @@
-
+"""Composite queries: health, alerts, scheduling, statistics."""

@@ -1 +1 @@
-
+"""Scans: open-contracting releases, feeds, sitemaps, posts, registries, files and page probes."""
