@@ -42,17 +42,23 @@ def stems(words) -> Column:
     return F.arrow_udf(run, T.ArrayType(T.StringType()))(words)
 
 
+def _at(start: Column, label: str):
+    return lambda w, i: F.struct(w.alias("lexeme"), (start + i + 1).cast("int").alias("pos"), F.lit(label).alias("label"))
+
+
 def with_index(df: DataFrame, fields: dict[str, str], *, stemmed: bool = False) -> DataFrame:
     """OP-X1. ``df`` with ``lexemes`` (array of lexeme, position, label) from the columns in ``fields`` (column -> label).
 
     Meant to be stored at write time: queries then read no text. Positions run on over the fields.
     """
+    names = [f"__words_{i}" for i in range(len(fields))]
+    words = {n: stems(words_of(c)) if stemmed else words_of(c) for n, c in zip(names, fields, strict=True)}
+    cut = df.withColumns(words)
     out, start = F.array().cast("array<struct<lexeme:string,pos:int,label:string>>"), F.lit(0)
-    for column, label in fields.items():
-        words = stems(words_of(column)) if stemmed else words_of(column)
-        out = F.concat(out, F.transform(words, lambda w, i, s=start, k=label: F.struct(w.alias("lexeme"), (s + i + 1).cast("int").alias("pos"), F.lit(k).alias("label"))))
-        start = start + F.size(words) + 1
-    return df.withColumn("lexemes", out)
+    for name, label in zip(names, fields.values(), strict=True):
+        out = F.concat(out, F.transform(name, _at(start, label)))
+        start = start + F.size(name) + 1
+    return cut.withColumn("lexemes", out).drop(*names)
 
 
 def postings(indexed: DataFrame, key: str = "id") -> DataFrame:
