@@ -88,7 +88,7 @@ def with_sets(df: DataFrame, text: str, size: int, *, signature: int = 0, sets:
 
 
 def alike_in_cell(cut: float):
-    """Edges that connect what has alike signatures in one cell of a bucket and lies in different clusters."""
+    """Edges between the clusters of members whose signatures are alike, in one cell of a bucket."""
 
     def fn(member, cluster, signature, crossed):
         member = member.to_numpy(zero_copy_only=False)
@@ -98,11 +98,11 @@ def alike_in_cell(cut: float):
         same = np.zeros((len(member), len(member)), np.uint16)
         for k in range(sig.shape[1]):
             same += sig[:, k, None] == sig[None, :, k]
-        group = np.unique(cluster.to_numpy(zero_copy_only=False), return_inverse=True)[1]
-        alike = (same >= cut * sig.shape[1]) & (group[:, None] != group[None, :])
+        name = cluster.to_numpy(zero_copy_only=False)
+        alike = (same >= cut * sig.shape[1]) & (name[:, None] != name[None, :])
         label = local_components(alike)
         moved = np.flatnonzero(label != np.arange(len(label)))
-        return [member[moved], member[label[moved]]] if len(moved) else None
+        return [name[moved], name[label[moved]]] if len(moved) else None
 
     return fn
 
@@ -187,7 +187,11 @@ def near_duplicates(
     met = short.join(several.select("bucket", F.ceil(F.col("n") / BLOCK).alias("blocks")), "bucket")
     cells = dealt_in_cells(met, "bucket", "member", "blocks").join(signed, "member")
     more = per_group(cells, "cell", ["member", "component", "signature", "crossed"], "a long, b long", alike_in_cell(threshold - MARGIN))
-    cluster = stash(components(close.unionByName(more), "clusters"), "cluster")
+    # the new edges join clusters: their components relabel them
+    joined = components(more, "clusters").select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    cluster = forest.select(F.col("member").alias("node"), "component").join(joined, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+    sizes = cluster.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
+    cluster = stash(cluster.join(sizes, "component"), "cluster")
 
     # exact verification within the clusters
     chosen = cluster.select(F.col("node").alias("member"), F.col("component").alias("cluster")).join(classes.select("member", "set_id", "weight", F.col("digest").alias("known")), "member")

@@ -84,36 +84,30 @@ def components(edges: DataFrame, name: str = "components", max_rounds: int = 60)
 
     Returns (node, component): every node that occurs in an edge, with the smallest node reachable from it.
     Each step is a grouped minimum (combined before the shuffle) and a join back, so a hub with a third of
-    all edges is never one task's group. Rounds end when a step changes nothing; the two numbers compared
-    (a count and a hash sum) are all the driver sees. Self-loops and nulls are ignored; an empty edge table
-    gives an empty result.
+    all edges is never one task's group. Rounds end when the edges are stars (every node has one parent and
+    no parent has one), of which the driver sees two numbers. Self-loops and nulls are ignored; an empty
+    edge table gives an empty result.
     """
-    spark = edges.sparkSession
     a, b = F.col("a"), F.col("b")
-    now = stash(
-        edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(),
-        name,
-    )
 
-    def mark(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    def settled(df: DataFrame) -> bool:
+        roles = df.select(F.explode(F.array(F.struct(a.alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(b.alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("r"))
+        by_node = roles.groupBy("r.x").agg(F.sum("r.up").alias("up"), F.max("r.down").alias("down"))
+        return by_node.where((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))).isEmpty()
 
-    before = mark(now)
+    clean = edges.where(a.isNotNull() & b.isNotNull() & (a != b))
+    now = stash(clean.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), name)
     for _ in range(max_rounds):
-        if not before[0]:
+        if settled(now):
             break
         both = now.unionByName(now.select(b.alias("a"), a.alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         # large star: every larger neighbour of a node points to the smallest node around it
-        large = both.where(b > a).join(low, "a").where(b != F.col("m")).select(b.alias("a"), F.col("m").alias("b")).distinct()
+        large = both.where(b > a).join(low, "a").where(b != F.col("m")).select(b.alias("a"), F.col("m").alias("b"))
         # small star: every smaller neighbour, and the node itself, points to the smallest
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(b.alias("a"), F.col("m").alias("b")), F.struct(a.alias("a"), F.col("m").alias("b")))).alias("e"))
         now = stash(small.select("e.a", "e.b").where(a != b).distinct(), name)
-        after = mark(now)
-        if after == before:
-            break
-        before = after
     roots = now.select(b.alias("node"), b.alias("component")).distinct()
     return now.select(a.alias("node"), b.alias("component")).unionByName(roots)
 

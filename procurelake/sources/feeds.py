@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from procurelake.functions.times import SAST, no_sentinel, parse_iso
-from procurelake.schemas import NOTICE
+from procurelake.schemas import notice
 
 
 def as_notices(rows: DataFrame) -> DataFrame:
     """The rows with every column of a notice, absent ones null or empty."""
     empty = {T.ArrayType: lambda f: F.array().cast(f.dataType), T.MapType: lambda f: F.create_map().cast(f.dataType)}
-    made = [F.col(f.name) if f.name in rows.columns else empty.get(type(f.dataType), lambda f: F.lit(None))(f).cast(f.dataType).alias(f.name) for f in NOTICE.fields]
+    made = [F.col(f.name) if f.name in rows.columns else empty.get(type(f.dataType), lambda f: F.lit(None))(f).cast(f.dataType).alias(f.name) for f in notice().fields]
     return rows.select(*made)
 
 

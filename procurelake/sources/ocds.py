@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from procurelake.functions.times import no_sentinel, parse_iso, parse_wall_time
-from procurelake.schemas import RELEASE
+from procurelake.schemas import release
 
 REPAIR_NOTE = "publisher marks local time as UTC; clock time kept, zone set to +02:00"
 
@@ -17,11 +17,11 @@ def read_releases(spark: SparkSession, path: str) -> DataFrame:
 
     A package's ``uri`` is the source url, else the file's path. Files that are no JSON give no rows.
     """
-    package = T.StructType([T.StructField("uri", T.StringType()), T.StructField("releases", T.ArrayType(RELEASE))])
+    package = T.StructType([T.StructField("uri", T.StringType()), T.StructField("releases", T.ArrayType(release()))])
     # a list at the top becomes one row per element, so both shapes can be told apart by what is set
-    schema = T.StructType([*package.fields, *RELEASE.fields])
+    schema = T.StructType([*package.fields, *release().fields])
     rows = spark.read.schema(schema).option("multiLine", True).json(path).withColumn("file", F.input_file_name())
-    bare = F.when(F.col("ocid").isNotNull() | F.col("tender").isNotNull(), F.array(F.struct(*RELEASE.names)))
+    bare = F.when(F.col("ocid").isNotNull() | F.col("tender").isNotNull(), F.array(F.struct(*release().names)))
     one = rows.select(F.coalesce("uri", "file").alias("source_url"), F.explode(F.coalesce("releases", bare)).alias("r"))
     return one.select("r.*", "source_url")
 
@@ -53,7 +53,7 @@ def release_to_notice(releases: DataFrame, source_id: str, *, map_value: bool =
         )
     )
     documents = F.transform(
-        F.filter(F.coalesce(t("documents"), F.array().cast(RELEASE["tender"].dataType["documents"].dataType)), lambda d: given(d["url"]).isNotNull()),
+        F.filter(F.coalesce(t("documents"), F.array().cast(release()["tender"].dataType["documents"].dataType)), lambda d: given(d["url"]).isNotNull()),
         lambda d: F.struct(d["url"].alias("url"), F.coalesce(given(d["title"]), given(d["id"])).alias("filename")),
     )
     categories = F.array_compact(F.array_distinct(F.concat(F.array(given(t("mainProcurementCategory")), given(t("category"))), F.coalesce(t("additionalProcurementCategories"), F.array().cast("array<string>")))))
@@ -65,7 +65,7 @@ def release_to_notice(releases: DataFrame, source_id: str, *, map_value: bool =
         given(t("description")).alias("description"), given(t("province")).alias("province"), categories.alias("categories"),
         published.alias("published_at"), closing.alias("closing_at"),
         F.when(session, briefing).alias("briefing_at"), F.when(session, t("briefingSession.compulsory")).alias("compulsory_briefing"),
-        documents.alias("documents"), F.to_json(F.struct(*RELEASE.names)).alias("raw"), repairs.alias("derived_fields"),
+        documents.alias("documents"), F.to_json(F.struct(*release().names)).alias("raw"), repairs.alias("derived_fields"),
     ]
     if map_value:
         amount = F.when(t("value.amount") != 0, t("value.amount"))
@@ -77,7 +77,7 @@ def archive_rows(releases: DataFrame) -> DataFrame:
     """SNK-2's input: (ocid, release_id, stage, published_at, raw); releases without an ocid are left out."""
     return releases.where(given("ocid").isNotNull()).select(
         "ocid", given("id").alias("release_id"), F.array_join("tag", ",").alias("stage"), no_sentinel(parse_iso("date")).alias("published_at"),
-        F.to_json(F.struct(*RELEASE.names)).alias("raw"),
+        F.to_json(F.struct(*release().names)).alias("raw"),
     )
 
 

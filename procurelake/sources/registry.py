@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from procurelake.functions.keys import content_hash, object_key
-from procurelake.schemas import REGISTRY
+from procurelake.schemas import registry
 
 #: Polling interval by tier where the registry names none, in minutes.
 TIER_FREQUENCY = {1: 30, 2: 90, 3: 300, 4: 1440}
@@ -33,7 +33,7 @@ def adapter(key: str):
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
     """SRC-14. Registered sources; a missing interval comes from the tier."""
-    rows = spark.read.schema(REGISTRY).option("multiLine", True).json(path)
+    rows = spark.read.schema(registry()).option("multiLine", True).json(path)
     default = F.create_map(*[F.lit(x) for kv in TIER_FREQUENCY.items() for x in kv])
     return rows.withColumn("frequency_min", F.coalesce("frequency_min", F.element_at(default, F.col("triage_tier"))))
 
