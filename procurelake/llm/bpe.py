@@ -324,14 +324,34 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", *, tokenizer:
     return append_columns(df, [ids], [T.StructField(out, T.StringType())], make, drop=drop)
 
 
+def round_trip(df: DataFrame, text: str = "text", ids: str = "ids", decoded: str = "decoded", *, tokenizer: str, drop: Sequence[str] = ()) -> DataFrame:
+    """Append the packed ids of each whole text and what they decode to, in one pass: as ``decode(encode(...))`` does, but with one Python worker a task.
+
+    Null and empty texts have no ids and decode to the empty text; other columns pass through, those named
+    ``ids`` or ``decoded`` are replaced; repeated rows are encoded each; an empty table stays empty. No shuffle.
+    """
+    spec = tokenizer_broadcast(df, tokenizer)
+
+    def make():
+        bpe = load(spec.value)
+
+        def compute(texts: pa.Array):
+            encoded = bpe.encode_texts([t.as_py() or "" for t in texts])
+            return [pa.array(encoded, pa.binary()), pa.array((bpe.decode(np.frombuffer(e, "<u4")) for e in encoded), pa.string())]
+
+        return compute
+
+    sent = df.withColumn("__text", text_or_empty(text))
+    return append_columns(sent, ["__text"], [T.StructField(ids, T.BinaryType()), T.StructField(decoded, T.StringType())], make, drop=["__text", *drop])
+
+
 def op1_bpe(spark, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     """Encode and decode every document; digests of both."""
     import public_tokenizers
 
     tokenizer = tokenizer or public_tokenizers.path("word_bpe_49k.json")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    encoded = encode(docs, tokenizer=tokenizer, packed=True, drop=["text"])
-    both = decode(encoded, tokenizer=tokenizer)
+    both = round_trip(docs, tokenizer=tokenizer, drop=["text"])
     return both.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
