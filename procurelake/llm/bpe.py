@@ -30,6 +30,27 @@ MAX_TOKENIZER_BYTES = 16 << 20  # what may be broadcast
 
 #: The split pattern of the tokenizer, with white space as Unicode defines it.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
+#: Ranges of code points that are letters or numbers only since Unicode 17, which the tokenizer
+#: library's tables (Unicode 16) do not have yet, and upper-case letters of Unicode 16 with their lower case,
+#: which Python's tables lack.
+LATER = (
+    "558-558 58B-58C 88F-88F C5C-C5C CDC-CDC 208F-208F 209D-209F A7CE-A7CF A7D2-A7D2 A7D4-A7D4 A7DD-A7DD A7E2-A7E2 A7F1-A7F1 AB6C-AB6D"
+    " 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A-11B0A 11DB0-11DDB 11DE0-11DE9 11DF1-11DF1 1246F-1246F 12475-1247F 12550-12686"
+    " 16EA0-16EB8 16EBB-16ED3 16FF2-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168-1B168"
+    " 1D6A6-1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF"
+    " 2B73A-2B73F 2B81E-2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
+)
+NEW_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B} | {c: c + 0x20 for c in range(0x10D50, 0x10D66)}
+NEW_UPPER = regex.compile("[" + "".join(map(chr, NEW_LOWER)) + "]")
+
+
+def pieces_of_assigned():
+    """PIECES with the letters and numbers that the library knows."""
+    later = "[" + "".join("-".join(rf"\U{int(c, 16):08X}" for c in r.split("-")) for r in LATER.split()) + "]"
+    letter, number = rf"[\p{{L}}--{later}]", rf"[\p{{N}}--{later}]"
+    return regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|{letter}+|{number}|[^\p{{White_Space}}{letter}{number}]+", regex.V1)
+
+
 OTHER_SPACE = regex.compile(r"[\p{White_Space}--\x20]", regex.V1)
 
 
@@ -86,6 +107,7 @@ class WordBpe:
         self.inner = np.array([vocab[s] for s in symbols], np.int64)
         self.last = np.array([vocab[s + suffix] for s in symbols], np.int64)
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
+        self.assigned = pieces_of_assigned()
         self.known: dict[str, bytes] = {"": b""}
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -180,7 +202,7 @@ class WordBpe:
         pieces: list[bytes] = []
         owner: list[int] = []
         for at, word in enumerate(words):
-            for piece in PIECES.findall(word):
+            for piece in (PIECES if word.isascii() else self.assigned).findall(word):
                 pieces.append(piece.encode())
                 owner.append(at)
         size = np.fromiter(map(len, pieces), np.int64, len(pieces))
@@ -215,6 +237,8 @@ class WordBpe:
         """Normalise (composed form, plain spaces, lower case) and cut at the spaces; words never cross them."""
         if not text.isascii():
             text = OTHER_SPACE.sub(" ", unicodedata.normalize("NFC", text)).replace("Σ", "σ").lower()
+            if NEW_UPPER.search(text):
+                text = text.translate(NEW_LOWER)
             return text.split(" ")
         for c in "\t\n\v\f\r":
             if c in text:
