@@ -31,7 +31,7 @@ MAX_TOKENIZER_BYTES = 16 << 20  # what may be broadcast
 #: The split pattern of the tokenizer, with white space as Unicode defines it.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 #: Ranges of code points that are letters or numbers only since Unicode 17, which the tokenizer
-#: library's tables (Unicode 16) do not have yet, and upper-case letters of Unicode 16 with their lower case,
+#: library's tables (Unicode 16) do not have yet, and upper-case letters of Unicode 16 and 17 with their lower case,
 #: which Python's tables lack.
 LATER = (
     "558-558 58B-58C 88F-88F C5C-C5C CDC-CDC 208F-208F 209D-209F A7CE-A7CF A7D2-A7D2 A7D4-A7D4 A7DD-A7DD A7E2-A7E2 A7F1-A7F1 AB6C-AB6D"
@@ -40,7 +40,8 @@ LATER = (
     " 1D6A6-1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF"
     " 2B73A-2B73F 2B81E-2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
 )
-NEW_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B} | {c: c + 0x20 for c in range(0x10D50, 0x10D66)}
+NEW_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5}
+NEW_LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
 NEW_UPPER = regex.compile("[" + "".join(map(chr, NEW_LOWER)) + "]")
 
 
