@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from procurelake.llm.bpe import encode
+from procurelake.llm.bpe import load, tokenizer_broadcast
+from procurelake.llm.shared import slices, text_or_empty
 
 #: Pieces that wait in a task while a sequence is filled.
 WINDOW = 768
@@ -138,11 +139,13 @@ def pack(
     max_loss_tokens: int = 2048,
     prompt: str | None = None,
     end_id: int | None = None,
+    tokenizer: str | None = None,
 ) -> DataFrame:
     """Pack each row's ids (binary, little-endian unsigned 32-bit) into sequences; one output row per piece.
 
     ``prompt`` names a column with the number of leading tokens that bear no loss (null or absent: 0);
-    ``end_id`` is appended to every example. Output: the other columns of ``df``, example_tokens (with the
+    ``end_id`` is appended to every example. With ``tokenizer``, the column ``ids`` holds whole texts instead,
+    which are encoded in the same pass (null text: empty). Output: the other columns of ``df``, example_tokens (with the
     end id), start, length, loss_tokens, sequence_id, offset and the piece's ids. Names that clash with these
     are replaced. An example without ids and end id has no piece; null ids count as none; equal rows are
     packed each on its own; an empty table gives an empty result. Sequence ids are unique in the result and
@@ -153,12 +156,15 @@ def pack(
     outs = set(made.names)
     keep = [c for c in df.columns if c not in outs and c != prompt and c != ids]
     n_prompt = F.coalesce(F.col(prompt).cast("long"), F.lit(0)) if prompt else F.lit(0).cast("long")
-    sent = df.select(*keep, F.col(ids).alias("__ids"), n_prompt.alias("__prompt"))
+    spec = tokenizer_broadcast(df, tokenizer) if tokenizer else None
+    source = text_or_empty(ids) if tokenizer else F.col(ids)
+    sent = df.select(*keep, source.alias("__ids"), n_prompt.alias("__prompt"))
     schema = T.StructType([*df.select(*keep).schema.fields, *made.fields])
     end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
 
     def run(batches):
         packer, task = Packer(max_tokens, max_segments, max_loss_tokens), TaskContext.get()
+        bpe = load(spec.value) if spec else None
         first = (task.partitionId() if task else 0) << 36
         held: dict[int, list] = {}  # example -> [batch, row, ids, tokens not yet packed]
         seen = 0
@@ -190,15 +196,18 @@ def pack(
         def feed(batch):
             nonlocal seen
             small = batch.select(range(len(keep)))
-            for i, (raw, n) in enumerate(zip(batch.column(len(keep)), batch.column(len(keep) + 1), strict=True)):
-                raw = (raw.as_py() or b"") + end
+            values = batch.column(len(keep)).to_pylist()
+            encoded = bpe.encode_texts(values) if bpe else values
+            for i, (raw, n) in enumerate(zip(encoded, batch.column(len(keep) + 1), strict=True)):
+                raw = (raw or b"") + end
                 if raw:
                     held[seen] = [small, i, raw, len(raw) // 4]
                     yield from packer.feed(seen, len(raw) // 4, max(0, n.as_py()))
                     seen += 1
 
         for batch in batches:
-            yield from rows(feed(batch))
+            for part in slices(batch):
+                yield from rows(feed(part))
         yield from rows(packer.finish())
 
     return sent.mapInArrow(run, schema)
@@ -209,7 +218,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     import public_tokenizers
 
     tokenizer = tokenizer or public_tokenizers.path("word_bpe_49k.json")
-    packed = pack(encode(docs.select("doc_id", "text"), tokenizer=tokenizer, packed=True, drop=["text"]), end_id=1)
+    packed = pack(docs.select("doc_id", "text"), "text", tokenizer=tokenizer, end_id=1)
     return packed.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), F.col("example_tokens").alias("doc_tokens"), "sequence_id", "offset", "loss_tokens"
     )
