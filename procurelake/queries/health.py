@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from procurelake.functions.times import backoff_minutes
 from procurelake.plans import health as H
 from procurelake.plans import schedule as S
-from procurelake.queries.tables import HEALTH_AS_OF, HEALTH_NOW, HEALTH_SQL, checks, instant, jobs, sources
+from procurelake.queries.tables import HEALTH_AS_OF, health_now, HEALTH_SQL, checks, instant, jobs, sources
 
 WEEK_AGO = "2024-01-24 00:00:00"
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.verdicts(H.source_rows(sources(spark, sf_dir), checks(spark, sf_dir)), HEALTH_NOW)
+    return H.verdicts(H.source_rows(sources(spark, sf_dir), checks(spark, sf_dir)), health_now())
 
 
 def health_episodes(spark, sf_dir):
@@ -70,7 +70,7 @@ def jobs_by_state(spark, sf_dir):
 
 
 def freshness_by_tier(spark, sf_dir):
-    return H.freshness_by_tier(sources(spark, sf_dir), HEALTH_NOW)
+    return H.freshness_by_tier(sources(spark, sf_dir), health_now())
 
 
 def adapter_health_silent(spark, sf_dir):
@@ -82,7 +82,7 @@ def recent_failures_topk(spark, sf_dir):
 
 
 def due_sources(spark, sf_dir):
-    return S.due_sources(sources(spark, sf_dir), jobs(spark, sf_dir), HEALTH_NOW).select("source_id", "frequency_min", "last_checked")
+    return S.due_sources(sources(spark, sf_dir), jobs(spark, sf_dir), health_now()).select("source_id", "frequency_min", "last_checked")
 
 
 def runnable_jobs(spark, sf_dir):

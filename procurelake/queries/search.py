@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from procurelake.functions.vectors import cosine
 from procurelake.plans import alerts as A
-from procurelake.queries.tables import TENDER_AS_OF, TENDER_NOW, TENDER_SQL, table, tenders
+from procurelake.queries.tables import TENDER_AS_OF, tender_now, TENDER_SQL, table, tenders
 from procurelake.search import match as M
 from procurelake.search.parse import expand, synonym_index
 
@@ -64,15 +64,15 @@ def cosine_topk(spark, sf_dir):
 
 
 def urgency_score(spark, sf_dir):
-    return tenders(spark, sf_dir).select("id", F.round(M.urgency("closing_at", TENDER_NOW), 9).alias("urgency"))
+    return tenders(spark, sf_dir).select("id", F.round(M.urgency("closing_at", tender_now()), 9).alias("urgency"))
 
 
 def hybrid_score(spark, sf_dir):
     t = tenders(spark, sf_dir)
     keyword = (F.col("id") % 8) / F.lit(8.0)
     similarity = (F.col("id") % 6) / F.lit(6.0)
-    plain = M.composite_score(keyword, M.authority("authority_score"), M.urgency("closing_at", TENDER_NOW))
-    both = M.composite_score(keyword, M.authority("authority_score"), M.urgency("closing_at", TENDER_NOW), similarity)
+    plain = M.composite_score(keyword, M.authority("authority_score"), M.urgency("closing_at", tender_now()))
+    both = M.composite_score(keyword, M.authority("authority_score"), M.urgency("closing_at", tender_now()), similarity)
     return t.select("id", F.round(plain, 10).alias("score"), F.round(both, 10).alias("hybrid"))
 
 
@@ -86,7 +86,7 @@ def browse_order_page(spark, sf_dir):
 
 
 def filter_compose_page(spark, sf_dir):
-    f = M.filters(province="Gauteng", status="open", compulsory=False, closing_within_days=400, as_of=TENDER_NOW)
+    f = M.filters(province="Gauteng", status="open", compulsory=False, closing_within_days=400, as_of=tender_now())
     return tenders(spark, sf_dir).where(f).orderBy(*M.browse_order()).limit(50).select("id", "province", "status", "closing_at")
 
 
@@ -119,7 +119,7 @@ def _sent(spark, sf_dir):
 
 
 def alert_match_topk(spark, sf_dir):
-    return A.match_alerts(_alerts(spark, sf_dir), _alert_tenders(spark, sf_dir), _sent(spark, sf_dir), TENDER_NOW)
+    return A.match_alerts(_alerts(spark, sf_dir), _alert_tenders(spark, sf_dir), _sent(spark, sf_dir), tender_now())
 
 
 def alert_anti_join(spark, sf_dir):
@@ -134,7 +134,7 @@ def alert_totals(spark, sf_dir):
 
 def alert_digests(spark, sf_dir):
     t = _alert_tenders(spark, sf_dir)
-    matched = A.match_alerts(_alerts(spark, sf_dir), t, _sent(spark, sf_dir), TENDER_NOW)
+    matched = A.match_alerts(_alerts(spark, sf_dir), t, _sent(spark, sf_dir), tender_now())
     return A.digests(matched, t.withColumn("closing_at", F.col("closing_at").cast("timestamp"))).select("alert_id", "n", F.length("body").alias("length"), F.sha2("body", 256).alias("digest"))
 
 

@@ -17,7 +17,12 @@ def instant(text: str):
     return F.to_timestamp_ntz(F.lit(text))
 
 
-HEALTH_NOW, TENDER_NOW = instant(HEALTH_AS_OF), instant(TENDER_AS_OF)
+def health_now():
+    return instant(HEALTH_AS_OF)
+
+
+def tender_now():
+    return instant(TENDER_AS_OF)
 
 
 def checks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from procurelake.operators import dedupe as D
 from procurelake.operators import normalize as N
 from procurelake.operators import versions as V
 from procurelake.plans import schedule, stats
-from procurelake.queries.tables import TENDER_AS_OF, TENDER_NOW, TENDER_SQL, table, tenders
+from procurelake.queries.tables import TENDER_AS_OF, tender_now, TENDER_SQL, table, tenders
 from procurelake.sources.ocds import month_windows as windows
 
 
@@ -140,7 +140,7 @@ def month_windows(spark, sf_dir):
 
 def closing_status(spark, sf_dir):
     t = tenders(spark, sf_dir)
-    state = N.tender_status("closing_at", "closing_confidence", TENDER_NOW, F.col("id") % 17 == 0, F.col("id") % 19 == 0)
+    state = N.tender_status("closing_at", "closing_confidence", tender_now(), F.col("id") % 17 == 0, F.col("id") % 19 == 0)
     return t.select("id", state.alias("status_now"))
 
 
