@@ -1,10 +1,11 @@
 """Near-duplicate vectors by NN-descent (operator 3).
 
 Equal vectors of a label are one node. The neighbour graph starts from random-hyperplane leaves and is
-refined by joins of neighbours with neighbours' neighbours until a round changes little and an audit against
-brute force on a stated set of queries finds the target recall. Edges at the threshold make clusters. Where a
-node's list is full of such edges it cannot show all of them: the lists of a cluster are then enlarged to
-the whole cluster, in cells of bounded size, in which links are counted exactly.
+refined by joins of neighbours with neighbours' neighbours until a round changes little. Every edge at the
+threshold that is met makes clusters, listed or not. Where a node's list is full of such edges it may hide
+others: lists are then doubled and the search goes on between clusters only, until no list is full of
+links. In a cluster, links are counted exactly, in cells of bounded size; an audit against brute force on a stated set
+of queries tells the share of links that lie within one cluster.
 """
 
 from __future__ import annotations
@@ -62,21 +63,27 @@ def best(edges: DataFrame, k: int) -> DataFrame:
     return ranked.select("a", F.explode("near").alias("e")).select("a", F.col("e.b").alias("b"), F.col("e.sim").alias("sim"))
 
 
-def nearest_in_group(k: int):
-    """Of the nodes in one small group, each one's ``k`` nearest in the same group."""
+def nearest_in_group(k: int, threshold: float):
+    """Of the nodes in one small group: each one's ``k`` nearest outside its own cluster, and all links between clusters, as edges with a hub (sim null)."""
 
-    def fn(node, vectors):
+    def fn(node, vectors, cluster):
         node, first = np.unique(node.to_numpy(zero_copy_only=False), return_index=True)
-        if len(node) < 2:
+        own = cluster.to_numpy(zero_copy_only=False)[first]
+        if (own == own[0]).all():
             return None
         u = unit(matrix(vectors)[first])
         sim = u @ u.T
-        np.fill_diagonal(sim, -2)
+        sim[own[:, None] == own[None, :]] = -2
         m = min(k, len(node) - 1)
         top = np.argpartition(-sim, m - 1, axis=1)[:, :m]
         a = np.repeat(np.arange(len(node)), m)
         b = top.ravel()
-        return [node[a], node[b], sim[a, b]]
+        listed = sim[a, b] > -2
+        a, b = a[listed], b[listed]
+        linked = sim >= threshold
+        hub = local_components(linked) if linked.any() else np.arange(len(node))
+        some = np.flatnonzero(hub != np.arange(len(node)))
+        return [[*node[a], *node[some]], [*node[b], *node[hub[some]]], [*sim[a, b].tolist(), *[None] * len(some)]]
 
     return fn
 
@@ -90,7 +97,7 @@ def leaves(nodes: DataFrame, tree: int, bits: int, dims: int) -> DataFrame:
         weights = F.array(*[F.lit(float(x)) for x in plane])
         dot = F.aggregate(F.zip_with("v", weights, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
         signs = signs + F.when(dot > 0, 1 << i).otherwise(0)
-    return nodes.select("node", "v", F.xxhash64("label", F.lit(tree), signs).alias("leaf"))
+    return nodes.select("node", "v", "cluster", F.xxhash64("label", F.lit(tree), signs).alias("leaf"))
 
 
 def split_groups(members: DataFrame, key: str, size: int) -> DataFrame:
@@ -100,37 +107,59 @@ def split_groups(members: DataFrame, key: str, size: int) -> DataFrame:
 
 
 def nn_descent(nodes: DataFrame, *, neighbours: int = NEIGHBOURS, threshold: float = THRESHOLD, rounds: int = ROUNDS) -> tuple[DataFrame, float]:
-    """The neighbour graph (a, b, sim) of ``nodes(node, label, v)`` and its audited recall of edges at the threshold."""
+    """Clusters (node, cluster) of ``nodes(node, label, v)`` that the links found make, without single nodes, and the audited share of links within one."""
     head = nodes.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dims"), F.count_distinct("label").alias("labels")).first()
-    schema = "a long, b long, sim double"
     if not head.n:
-        return nodes.sparkSession.createDataFrame([], schema), 1.0
+        return nodes.sparkSession.createDataFrame([], "node long, cluster long"), 1.0
     bits = max(0, int(np.ceil(np.log2(max(1.0, head.n / max(1, head.labels) / LEAF)))))
+    spread = stash(nodes.withColumn("cluster", F.col("node")), "spread")
+    k, known, links, trees = neighbours, None, None, 0
+    while True:
+        graph, found = refine(spread, known, k, threshold, rounds, bits, head.dims, trees)
+        trees += TREES
+        links = found if links is None else stash(links.unionByName(found), "near")
+        cluster = components(links, "vectors").select("node", F.col("component").alias("cluster"))
+        # full lists of links alone may hide more: they are enlarged, and what they have is not listed again
+        full = graph.groupBy("a").agg(F.count("*").alias("n"), F.min("sim").alias("last")).where((F.col("n") >= k) & (F.col("last") >= threshold))
+        if full.isEmpty():
+            break
+        known = graph if known is None else stash(known.unionByName(graph).distinct(), "known")
+        spread = stash(nodes.join(cluster, "node", "left").withColumn("cluster", F.coalesce("cluster", "node")), "spread")
+        k *= 2
+    return cluster, audit(nodes, cluster, threshold)
+
+
+def refine(nodes: DataFrame, known: DataFrame | None, k: int, threshold: float, rounds: int, bits: int, dims: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(lists, links): each node's ``k`` nearest outside its cluster, and edges that join all clusters of which a link was met.
+
+    Lists of ``known`` are walked along with the new ones.
+    """
+    schema, columns = "a long, b long, sim double", ["node", "v", "cluster"]
     planted = None
-    for t in range(TREES):
-        leaf = split_groups(leaves(nodes, t, bits, head.dims), "leaf", 4 * LEAF)
-        part = per_group(leaf, "grp", ["node", "v"], schema, nearest_in_group(neighbours))
+    for t in range(seed, seed + TREES):
+        leaf = split_groups(leaves(nodes, t, bits, dims), "leaf", 4 * LEAF)
+        part = per_group(leaf, "grp", columns, schema, nearest_in_group(k, threshold))
         planted = part if planted is None else planted.unionByName(part)
-    graph = stash(best(planted, neighbours), "graph")
-    vectors = nodes.select(F.col("node").alias("b"), "v")
-    recall = 0.0
+    met = stash(planted, "met")
+    links = met.where("sim is null").select("a", "b").distinct()
+    graph = stash(best(met.where("sim is not null"), k), "graph")
+    vectors = nodes.select(F.col("node").alias("b"), "v", "cluster")
     for _ in range(rounds):
         # each node's list, both ways, joined with itself: neighbours of a neighbour meet in the group of that neighbour
-        both = graph.select("a", "b").unionByName(graph.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(nodes.select(F.col("node").alias("a"), F.col("node").alias("b"))).distinct()
-        members = both.join(vectors, "b").select(F.col("b").alias("node"), "v", "a")
-        grouped = split_groups(members, "a", 8 * neighbours)
-        met = per_group(grouped, "grp", ["node", "v"], schema, nearest_in_group(neighbours))
-        new = stash(best(graph.unionByName(met), neighbours), "graph")
-        added = new.join(graph, ["a", "b"], "left_anti").count()
-        total, graph = new.count(), new
-        recall = audit(nodes, graph, threshold, neighbours)
-        if added <= SETTLED * max(1, total) and recall >= RECALL:
+        walked = graph if known is None else graph.unionByName(known)
+        both = walked.select("a", "b").unionByName(walked.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(nodes.select(F.col("node").alias("a"), F.col("node").alias("b"))).distinct()
+        members = both.join(vectors, "b").select(F.col("b").alias("node"), "v", "cluster", "a")
+        met = stash(per_group(split_groups(members, "a", 8 * k), "grp", columns, schema, nearest_in_group(k, threshold)), "met")
+        links = stash(links.unionByName(met.where("sim is null").select("a", "b")).distinct(), "near")
+        new = stash(best(graph.unionByName(met.where("sim is not null")), k), "graph")
+        added, total, graph = new.join(graph, ["a", "b"], "left_anti").count(), new.count(), new
+        if added <= SETTLED * max(1, total):
             break
-    return graph, recall
+    return graph, links
 
 
-def audit(nodes: DataFrame, graph: DataFrame, threshold: float, neighbours: int) -> float:
-    """Share of the edges at the threshold, up to each list's length, that the graph has, for a bounded set of query nodes against all nodes."""
+def audit(nodes: DataFrame, cluster: DataFrame, threshold: float) -> float:
+    """Share of the links whose ends are in one cluster, for a bounded set of query nodes against all nodes."""
     queries = nodes.where(F.pmod(F.xxhash64("node"), F.lit(50)) == 0).orderBy(F.xxhash64("node")).limit(AUDIT).select("node", "label", "v").collect()
     if not queries:
         return 1.0
@@ -153,9 +182,9 @@ def audit(nodes: DataFrame, graph: DataFrame, threshold: float, neighbours: int)
                 out_b += [node] * len(hit)
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
-    truth = nodes.select("label", "v", "node").mapInArrow(near, "a long, b long").groupBy("a").agg(F.least(F.count("*"), F.lit(neighbours)).alias("n"))
-    have = graph.where(F.col("sim") >= threshold).groupBy("a").agg(F.count("*").alias("got"))
-    row = truth.join(have, "a", "left").agg(F.sum("n").alias("n"), F.sum(F.least("n", F.coalesce("got", F.lit(0)))).alias("got")).first()
+    truth = nodes.select("label", "v", "node").mapInArrow(near, "a long, b long")
+    ends = truth.join(cluster.select(F.col("node").alias("a"), F.col("cluster").alias("x")), "a", "left").join(cluster.select(F.col("node").alias("b"), F.col("cluster").alias("y")), "b", "left")
+    row = ends.agg(F.count("*").alias("n"), F.count_if(F.col("x") == F.col("y")).alias("got")).first()
     return 1.0 if not row.n else row.got / row.n
 
 
@@ -191,9 +220,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding
     are not read; an empty table gives an empty result.
     """
     rows, nodes = valid_nodes(df, id_col, vector, label)
-    graph, _ = nn_descent(nodes.select("node", "label", "v"), neighbours=neighbours, threshold=threshold)
-    edges = graph.where(F.col("sim") >= threshold).select("a", "b")
-    cluster = components(edges, "vectors").select("node", F.col("component").alias("cluster"))
+    cluster, _ = nn_descent(nodes.select("node", "label", "v"), neighbours=neighbours, threshold=threshold)
     members = nodes.select("node", "weight", "v").join(cluster, "node")
     sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     cells = dealt_in_cells(members.join(sizes, "cluster"), "cluster", "node", "blocks")

@@ -149,6 +149,27 @@ def test_vectors_against_brute_force(spark, monkeypatch, block):
         assert (r.n_links, r.component_id, r.kept) == (sum(i in p for p in links), root[i], root[i] == i), i
 
 
+def check_vectors(spark, rows):
+    df = spark.createDataFrame([(i, v, k) for i, (v, k) in enumerate(rows)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in near_vectors(df).collect()}
+    v, label = np.array([v for v, _ in rows]), np.array([k for _, k in rows])
+    v = v / np.linalg.norm(v, axis=1, keepdims=True)
+    linked = (v @ v.T >= 0.98) & (label[:, None] == label[None, :])
+    np.fill_diagonal(linked, False)
+    root = union_find(len(rows), np.argwhere(linked).tolist())
+    assert {i: (r.n_links, r.component_id) for i, r in got.items()} == {i: (int(n), root[i]) for i, n in enumerate(linked.sum(1))}
+
+
+def test_vectors_of_two_dense_clumps(spark):
+    """Two clumps that fill every list with their own are linked with each other too."""
+    rng, dims = np.random.default_rng(2), 64
+    base = np.eye(dims)[:2]
+    rows = []
+    for centre in (base[0], 0.985 * base[0] + (1 - 0.985**2) ** 0.5 * base[1]):
+        rows += [((centre + rng.normal(size=dims) * 0.002).tolist(), 1) for _ in range(20)]
+    check_vectors(spark, rows)
+
+
 def test_vectors_empty(spark):
     assert near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
