@@ -4,25 +4,30 @@ Equal vectors of a label are one node. The neighbour graph starts from random-hy
 refined by joins of neighbours with neighbours' neighbours until a round changes little. Every edge at the
 threshold that is met makes clusters, listed or not. Where a node's list is full of such edges it may hide
 others: lists are then doubled and the search goes on between clusters only, until no list is full of
-links. In a cluster, links are counted exactly, in cells of bounded size; an audit against brute force on a stated set
-of queries tells the share of links that lie within one cluster.
+links. An audit against brute force on a stated set of queries tells the share of links that lie within one
+cluster; below the target there are more trees, and then labels are compared whole. In a cluster, links are
+counted exactly, in cells of bounded size.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from procurelake.llm.shared import components, dealt_in_cells, local_components, per_group, stash
+from procurelake.llm.shared import append_columns, components, dealt_in_cells, local_components, per_group, stash
 
 THRESHOLD = 0.98
 #: Neighbours that a list starts with, random trees, rows of a leaf, rounds at most.
 NEIGHBOURS, TREES, LEAF, ROUNDS = 12, 12, 96, 6
-#: A round that adds fewer new edges than this share of all ends the refinement, if the audit agrees.
+#: Signs that a tree has at most.
+DEEPEST = 40
+#: A round that adds fewer new edges than this share of all ends the refinement; the audit's target.
 SETTLED, RECALL = 0.002, 0.995
-#: Queries of the audit at most.
-AUDIT = 200
+#: Queries of an audit at most, and how often it may ask for more trees.
+AUDIT, TRIES = 200, 1
 BLOCK = 256
 
 
@@ -64,9 +69,9 @@ def best(edges: DataFrame, k: int) -> DataFrame:
 
 
 def nearest_in_group(k: int, threshold: float):
-    """Of the nodes in one small group: each one's ``k`` nearest outside its own cluster, and all links between clusters, as edges with a hub (sim null)."""
+    """Of the nodes in one small group: each open one's ``k`` nearest outside its own cluster, and all links between clusters, as edges with a hub (sim null)."""
 
-    def fn(node, vectors, cluster):
+    def fn(node, vectors, cluster, open_):
         node, first = np.unique(node.to_numpy(zero_copy_only=False), return_index=True)
         own = cluster.to_numpy(zero_copy_only=False)[first]
         if (own == own[0]).all():
@@ -78,7 +83,7 @@ def nearest_in_group(k: int, threshold: float):
         top = np.argpartition(-sim, m - 1, axis=1)[:, :m]
         a = np.repeat(np.arange(len(node)), m)
         b = top.ravel()
-        listed = sim[a, b] > -2
+        listed = (sim[a, b] > -2) & open_.to_numpy(zero_copy_only=False)[first][a]
         a, b = a[listed], b[listed]
         linked = sim >= threshold
         hub = local_components(linked) if linked.any() else np.arange(len(node))
@@ -88,68 +93,114 @@ def nearest_in_group(k: int, threshold: float):
     return fn
 
 
-def leaves(nodes: DataFrame, tree: int, bits: int, dims: int) -> DataFrame:
-    """The nodes with the leaf of one random tree: the signs of ``bits`` projections, within the label."""
-    random = np.random.default_rng(1000 + tree)
-    planes = random.normal(size=(bits, dims))
-    signs = F.lit(0).cast("long")
-    for i, plane in enumerate(planes):
-        weights = F.array(*[F.lit(float(x)) for x in plane])
-        dot = F.aggregate(F.zip_with("v", weights, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-        signs = signs + F.when(dot > 0, 1 << i).otherwise(0)
-    return nodes.select("node", "v", "cluster", F.xxhash64("label", F.lit(tree), signs).alias("leaf"))
-
-
-def split_groups(members: DataFrame, key: str, size: int) -> DataFrame:
-    """Groups of more than ``size`` members in random parts of about that size; the part is mixed into the key."""
-    counts = members.groupBy(key).agg(F.ceil(F.count("*") / size).alias("parts"))
-    return members.join(counts, key).withColumn("grp", F.xxhash64(key, F.expr("pmod(xxhash64(node), parts)"))).drop("parts", key)
-
-
-def nn_descent(nodes: DataFrame, *, neighbours: int = NEIGHBOURS, threshold: float = THRESHOLD, rounds: int = ROUNDS) -> tuple[DataFrame, float]:
-    """Clusters (node, cluster) of ``nodes(node, label, v)`` that the links found make, without single nodes, and the audited share of links within one."""
-    head = nodes.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dims"), F.count_distinct("label").alias("labels")).first()
-    if not head.n:
-        return nodes.sparkSession.createDataFrame([], "node long, cluster long"), 1.0
-    bits = max(0, int(np.ceil(np.log2(max(1.0, head.n / max(1, head.labels) / LEAF)))))
-    spread = stash(nodes.withColumn("cluster", F.col("node")), "spread")
-    k, known, links, trees = neighbours, None, None, 0
+def leaves(nodes: DataFrame, first: int, dims: int) -> DataFrame:
+    """(node, open, grp) of each node in the leaf of each of ``TREES`` random trees: the signs of projections, within the label.
+
+    A label's own count sets the number of signs, and a leaf that is still large is split by more of them.
+    """
+
+    trees, deepest = TREES, DEEPEST
+
+    def make():
+        planes = np.random.default_rng(1000 + first).normal(size=(dims, trees * deepest))
+
+        def compute(v):
+            lengths = v.value_lengths().to_numpy(zero_copy_only=False)
+            codes = np.zeros((len(v), trees), np.int64)
+            for n in np.unique(lengths):
+                at = np.flatnonzero(lengths == n)
+                signs = (matrix(v.take(pa.array(at))) @ planes[:n] > 0).reshape(len(at), trees, deepest)
+                codes[at] = signs @ (np.int64(1) << np.arange(deepest))
+            return [pa.ListArray.from_arrays(np.arange(len(v) + 1, dtype=np.int32) * trees, pa.array(codes.ravel()))]
+
+        return compute
+
+    field = T.StructField("codes", T.ArrayType(T.LongType()))
+    coded = append_columns(nodes.select("node", "label", "open", "v"), ["v"], [field], make, drop=["v"])
+    sizes = nodes.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") > LEAF).select("label", F.ceil(F.log2(F.col("n") / LEAF)).cast("int").alias("bits"))
+    each = coded.join(F.broadcast(sizes), "label", "left").select("node", "open", "label", F.least(F.coalesce("bits", F.lit(0)), F.lit(DEEPEST)).alias("bits"), F.posexplode("codes").alias("tree", "code"))
+    leaf = F.xxhash64("label", F.col("tree") + first, F.expr("code & (shiftleft(1L, bits) - 1)"))
+    each = stash(each.select("node", "open", leaf.alias("leaf"), F.expr("shiftright(code, bits)").alias("rest")), "leaves")
+    large = each.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > 4 * LEAF).select("leaf", F.ceil(F.log2(F.col("n") / LEAF)).cast("int").alias("more"))
+    deeper = F.when(F.col("more").isNull(), F.col("leaf")).otherwise(F.xxhash64("leaf", F.expr("rest & (shiftleft(1L, more) - 1)")))
+    return split_groups(each.join(large, "leaf", "left").select("node", "open", deeper.alias("leaf")), "leaf", 4 * LEAF, first)
+
+
+def split_groups(members: DataFrame, key: str, size: int, seed: int) -> DataFrame:
+    """Groups of more than ``size`` members in random parts of about that size, other ones for each key and seed; the part is mixed into the key."""
+    counts = members.groupBy(key).agg(F.ceil(F.count("*") / size).alias("parts"), F.max("open").alias("some")).where("some").drop("some")
+    return members.join(counts, key).withColumn("grp", F.xxhash64(key, F.expr(f"pmod(xxhash64(node, {key}, {seed}), parts)"))).drop("parts", key)
+
+
+COLUMNS = ["node", "v", "cluster", "open"]
+MET = "a long, b long, sim double"
+
+
+def nn_descent(nodes: DataFrame, *, neighbours: int = NEIGHBOURS, threshold: float = THRESHOLD, rounds: int = ROUNDS) -> DataFrame:
+    """Clusters (node, cluster) of ``nodes(node, label, v)`` that the links found make, without single nodes.
+
+    The audit has the last word: below the target there are more trees, then the labels below it, and at
+    last all labels, are compared whole.
+    """
+    dims = nodes.agg(F.max(F.size("v"))).first()[0]
+    if dims is None:
+        return nodes.sparkSession.createDataFrame([], "node long, cluster long")
+    spread = nodes.withColumns({"cluster": F.col("node"), "open": F.lit(True)})
+    k, known, links, first, tries = neighbours, None, None, 0, 0
     while True:
-        graph, found = refine(spread, known, k, threshold, rounds, bits, head.dims, trees)
-        trees += TREES
+        graph, found = refine(spread, known, k, threshold, rounds, dims, first)
+        first += TREES
         links = found if links is None else stash(links.unionByName(found), "near")
         cluster = components(links, "vectors").select("node", F.col("component").alias("cluster"))
         # full lists of links alone may hide more: they are enlarged, and what they have is not listed again
         full = graph.groupBy("a").agg(F.count("*").alias("n"), F.min("sim").alias("last")).where((F.col("n") >= k) & (F.col("last") >= threshold))
+        open_ = full.select(F.col("a").alias("node"), F.lit(True).alias("open"))
         if full.isEmpty():
-            break
-        known = graph if known is None else stash(known.unionByName(graph).distinct(), "known")
-        spread = stash(nodes.join(cluster, "node", "left").withColumn("cluster", F.coalesce("cluster", "node")), "spread")
-        k *= 2
-    return cluster, audit(nodes, cluster, threshold)
+            below = audit(nodes, cluster, threshold, first)
+            if not below:
+                return cluster
+            if tries == TRIES:
+                break
+            tries, open_ = tries + 1, nodes.select("node", F.lit(True).alias("open"))
+        else:
+            k *= 2
+        known = graph if known is None else stash(known.unionByName(graph), "known")
+        spread = stash(clustered(nodes, cluster).join(open_, "node", "left").withColumn("open", F.coalesce("open", F.lit(False))), "spread")
+    for chosen in (nodes.where(F.col("label").isin(below)), nodes):
+        links = stash(links.unionByName(compared(clustered(chosen, cluster), threshold)), "near")
+        cluster = components(links, "vectors").select("node", F.col("component").alias("cluster"))
+        first += 1
+        if chosen is nodes or not audit(nodes, cluster, threshold, first):
+            return cluster
 
 
-def refine(nodes: DataFrame, known: DataFrame | None, k: int, threshold: float, rounds: int, bits: int, dims: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """(lists, links): each node's ``k`` nearest outside its cluster, and edges that join all clusters of which a link was met.
+def clustered(nodes: DataFrame, cluster: DataFrame) -> DataFrame:
+    return nodes.join(cluster, "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
 
-    Lists of ``known`` are walked along with the new ones.
+
+def compared(nodes: DataFrame, threshold: float) -> DataFrame:
+    """Edges that join all clusters of a label with a link between them: every pair is compared, in cells of bounded size."""
+    sizes = nodes.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    cells = dealt_in_cells(nodes.withColumn("open", F.lit(True)).join(F.broadcast(sizes), "label"), "label", "node", "blocks")
+    return per_group(cells, "cell", COLUMNS, MET, nearest_in_group(1, threshold)).where("sim is null").select("a", "b").distinct()
+
+
+def refine(nodes: DataFrame, known: DataFrame | None, k: int, threshold: float, rounds: int, dims: int, first: int) -> tuple[DataFrame, DataFrame]:
+    """(lists, links): each open node's ``k`` nearest outside its cluster, and edges that join all clusters of which a link was met.
+
+    Lists of ``known`` are walked along with the new ones; groups without an open node are left alone.
     """
-    schema, columns = "a long, b long, sim double", ["node", "v", "cluster"]
-    planted = None
-    for t in range(seed, seed + TREES):
-        leaf = split_groups(leaves(nodes, t, bits, dims), "leaf", 4 * LEAF)
-        part = per_group(leaf, "grp", columns, schema, nearest_in_group(k, threshold))
-        planted = part if planted is None else planted.unionByName(part)
-    met = stash(planted, "met")
+    vectors = nodes.select("node", "v", "cluster")
+    meet = lambda groups: stash(per_group(groups.join(vectors, "node"), "grp", COLUMNS, MET, nearest_in_group(k, threshold)), "met")
+    met = meet(leaves(nodes, first, dims))
     links = met.where("sim is null").select("a", "b").distinct()
     graph = stash(best(met.where("sim is not null"), k), "graph")
-    vectors = nodes.select(F.col("node").alias("b"), "v", "cluster")
-    for _ in range(rounds):
+    flags = nodes.select("node", "open")
+    for n in range(rounds):
         # each node's list, both ways, joined with itself: neighbours of a neighbour meet in the group of that neighbour
         walked = graph if known is None else graph.unionByName(known)
-        both = walked.select("a", "b").unionByName(walked.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(nodes.select(F.col("node").alias("a"), F.col("node").alias("b"))).distinct()
-        members = both.join(vectors, "b").select(F.col("b").alias("node"), "v", "cluster", "a")
-        met = stash(per_group(split_groups(members, "a", 8 * k), "grp", columns, schema, nearest_in_group(k, threshold)), "met")
+        both = walked.select("a", F.col("b").alias("node")).unionByName(walked.select(F.col("b").alias("a"), F.col("a").alias("node"))).unionByName(nodes.select(F.col("node").alias("a"), "node")).distinct()
+        met = meet(split_groups(both.join(flags, "node"), "a", 8 * k, first + n + 1))
         links = stash(links.unionByName(met.where("sim is null").select("a", "b")).distinct(), "near")
         new = stash(best(graph.unionByName(met.where("sim is not null")), k), "graph")
         added, total, graph = new.join(graph, ["a", "b"], "left_anti").count(), new.count(), new
@@ -158,21 +209,17 @@ def refine(nodes: DataFrame, known: DataFrame | None, k: int, threshold: float,
     return graph, links
 
 
-def audit(nodes: DataFrame, cluster: DataFrame, threshold: float) -> float:
-    """Share of the links whose ends are in one cluster, for a bounded set of query nodes against all nodes."""
-    queries = nodes.where(F.pmod(F.xxhash64("node"), F.lit(50)) == 0).orderBy(F.xxhash64("node")).limit(AUDIT).select("node", "label", "v").collect()
-    if not queries:
-        return 1.0
+def audit(nodes: DataFrame, cluster: DataFrame, threshold: float, seed: int) -> list[str]:
+    """Labels of which too few links have both ends in one cluster, if all links together miss the target; a bounded set of query nodes against all nodes."""
+    queries = nodes.orderBy(F.xxhash64("node", F.lit(seed))).limit(AUDIT).select("node", "label", "v").collect()
     dims = max(len(q.v) for q in queries)
     q_node = np.array([q.node for q in queries])
     q_label = np.array([q.label for q in queries])
     q = unit(np.array([list(x.v) + [0.0] * (dims - len(x.v)) for x in queries]))
 
     def near(batches):
-        import pyarrow as pa
-
         for batch in batches:
-            out_a, out_b = [], []
+            out_a, out_b, out_label = [], [], []
             for label, v, node in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if len(v) > dims:
                     continue
@@ -180,12 +227,15 @@ def audit(nodes: DataFrame, cluster: DataFrame, threshold: float) -> float:
                 hit = np.flatnonzero((q_label == label) & (q[:, : len(v)] @ (x / np.linalg.norm(x)) >= threshold) & (q_node != node))
                 out_a += q_node[hit].tolist()
                 out_b += [node] * len(hit)
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+                out_label += [label] * len(hit)
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64()), pa.array(out_label, pa.string())], names=["a", "b", "label"])
 
-    truth = nodes.select("label", "v", "node").mapInArrow(near, "a long, b long")
+    truth = nodes.select("label", "v", "node").mapInArrow(near, "a long, b long, label string")
     ends = truth.join(cluster.select(F.col("node").alias("a"), F.col("cluster").alias("x")), "a", "left").join(cluster.select(F.col("node").alias("b"), F.col("cluster").alias("y")), "b", "left")
-    row = ends.agg(F.count("*").alias("n"), F.count_if(F.col("x") == F.col("y")).alias("got")).first()
-    return 1.0 if not row.n else row.got / row.n
+    rows = ends.groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("x") == F.col("y")).alias("got")).collect()
+    if sum(r.got for r in rows) >= RECALL * sum(r.n for r in rows):
+        return []
+    return [r.label for r in rows if r.got < RECALL * r.n]
 
 
 def linked_in_cell(threshold: float):
@@ -220,7 +270,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding
     are not read; an empty table gives an empty result.
     """
     rows, nodes = valid_nodes(df, id_col, vector, label)
-    cluster, _ = nn_descent(nodes.select("node", "label", "v"), neighbours=neighbours, threshold=threshold)
+    cluster = nn_descent(nodes.select("node", "label", "v"), neighbours=neighbours, threshold=threshold)
     members = nodes.select("node", "weight", "v").join(cluster, "node")
     sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     cells = dealt_in_cells(members.join(sizes, "cluster"), "cluster", "node", "blocks")

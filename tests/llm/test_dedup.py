@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from procurelake.llm.exact_dedup import build_index, drop_copies, exact_dedup
 from procurelake.llm.near_join import keep_one_of_each_class, near_duplicates, prefix_depth
 from procurelake.llm.shared import components
-from procurelake.llm.vector_dedup import near_vectors
+from procurelake.llm.vector_dedup import compared, near_vectors
 
 
 def union_find(n, pairs):
@@ -170,6 +170,33 @@ def test_vectors_of_two_dense_clumps(spark):
     check_vectors(spark, rows)
 
 
+def test_vectors_of_a_hot_label(spark):
+    """Among many small labels, the isolated pairs of one large label are all found."""
+    rng, dims = np.random.default_rng(4), 64
+    rows = [(rng.normal(size=dims).tolist(), k) for k in range(1, 401)]
+    for _ in range(1000):
+        v = rng.normal(size=dims)
+        rows += [(v.tolist(), 0), ((v + rng.normal(size=dims) * 0.15).tolist(), 0)]
+    check_vectors(spark, rows)
+
+
+def test_vectors_below_the_audit_target(spark, monkeypatch):
+    """With far too few trees and rounds, the labels are compared whole."""
+    monkeypatch.setattr("procurelake.llm.vector_dedup.TREES", 1)
+    monkeypatch.setattr("procurelake.llm.vector_dedup.ROUNDS", 1)
+    monkeypatch.setattr("procurelake.llm.vector_dedup.LEAF", 4)
+    monkeypatch.setattr("procurelake.llm.vector_dedup.TRIES", 0)
+    calls = []
+    monkeypatch.setattr("procurelake.llm.vector_dedup.compared", lambda *args: calls.append(1) or compared(*args))
+    rng, dims = np.random.default_rng(6), 64
+    rows = []
+    for _ in range(200):
+        v = rng.normal(size=dims)
+        rows += [(v.tolist(), 0), ((v + rng.normal(size=dims) * 0.15).tolist(), 0)]
+    check_vectors(spark, rows)
+    assert calls
+
+
 def test_vectors_empty(spark):
     assert near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
