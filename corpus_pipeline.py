@@ -19,8 +19,10 @@ from procurelake.llm.toxicity import THRESHOLD, fit_toxicity, score_toxicity
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier rejects go; it learns from all labelled documents."""
+    """Documents that the toxicity classifier rejects go; it learns from all labelled documents. Without any, none is rejected."""
     weights = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    if weights is None:
+        return docs
     scored = score_toxicity(docs.withColumn("__scored", F.col("text")), weights, "__scored", "__score", drop=["__scored"])
     return scored.where(F.col("__score") < THRESHOLD).select(*docs.columns)
 

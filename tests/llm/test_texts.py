@@ -191,3 +191,11 @@ def test_pipeline(spark, tmp_path):
     assert set(left["secrets"]) == set(left["near_join"])
     assert set(left["packing"]) == set(left["secrets"])
     assert [n for n, _ in pipeline.STAGES] == ["toxicity", "exact_dedup", "near_join", "secrets", "packing"]
+
+
+def test_pipeline_without_labels(spark, tmp_path):
+    """No labelled row: no document is rejected."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame([(1, "clean words"), (2, None), (3, "")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in pipeline.without_toxic(spark, docs, str(tmp_path)).collect()) == [1, 2, 3]
