@@ -226,9 +226,12 @@ def near_duplicates(
 
 
 def keep_one_of_each_class(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` without those that ``near_duplicates`` does not keep; for tables whose ids are distinct."""
-    gone = near_duplicates(df, id_col, text).where("not kept").select(F.col(id_col).alias("__gone"))
-    return df.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    """The rows of ``df`` without those that ``near_duplicates`` does not keep; rows are told apart by number, so ids may be null or repeated."""
+    numbered = stash(df.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    # the number stands beside the id, which still decides who stays
+    key = F.struct(F.col(id_col).alias("id"), F.col("__row").alias("row"))
+    gone = near_duplicates(numbered.select(key.alias("key"), F.col(text).alias("text")), "key", "text").where("not kept").select(F.col("key.row").alias("__row"))
+    return numbered.join(gone, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op2_near_join(spark, sf_dir: str) -> DataFrame:

@@ -103,6 +103,13 @@ def test_near_join_edge_cases(spark):
     assert sum(r.kept for r in got) == 2 and sorted(r.n_links for r in got) == [0, 2, 2, 2]
 
 
+def test_near_join_keeps_rows_of_repeated_and_null_ids(spark):
+    rows = [(4, "a b c"), (4, "a  b c"), (4, "quite another text"), (None, "x y z"), (None, "X y  z"), (None, None), (2, "one two"), (3, "one  two")]
+    kept = keep_one_of_each_class(spark.createDataFrame(rows, "doc_id long, text string"))
+    words = sorted(((r.doc_id or 0), " ".join((r.text or "").lower().split())) for r in kept.collect())
+    assert words == [(0, ""), (0, "x y z"), (2, "one two"), (4, "a b c"), (4, "quite another text")]
+
+
 def test_depth_meets_recall():
     depth = prefix_depth(24, 8, 0.8, 0.99999)
     assert 1 - (1 - 0.8**depth) ** 24 >= 0.99999 > 1 - (1 - 0.8 ** (depth + 1)) ** 24
