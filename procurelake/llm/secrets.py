@@ -2,8 +2,8 @@
 
 Fixed patterns find the base spans. Beside them, every long run of key-like characters is a candidate: a
 window slides over it, its Shannon entropy kept by incremental counts, for each character class on its own;
-windows above the class's threshold are merged into spans unless an allow-list pattern explains the
-candidate. Texts are scanned whole; spans count code points, ends exclusive.
+windows above the class's threshold are merged into spans. Allow-list patterns that are anchored explain a
+whole candidate, others the part of it around them. Texts are scanned whole; spans count code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -43,12 +43,13 @@ CLASSES = (
     EntropyClass("entropy_hex", "0-9a-fA-F", 20, 3.0, ("0123456789", "abcdefABCDEF")),
     EntropyClass("entropy_key", "A-Za-z0-9+/_=-", 20, 3.7, ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")),
 )
-#: Candidates that one of these matches are no secrets: identifiers in UUID form, words joined by marks, placeholders.
+#: No secrets: candidates that are identifiers in UUID form or words joined by marks (anchored), parts with a placeholder.
 ALLOW = (
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
     r"^[A-Za-z]+([-_/=+][A-Za-z]+)*$",
     r"(?i)example|placeholder|changeme|dummy|(.)\1{5}",
 )
+MARKS = re.compile("[-_/=+]")
 
 
 def entropy_windows(text: str, cls: EntropyClass) -> Iterable[tuple[int, int]]:
@@ -102,9 +103,29 @@ class Scanner:
 
     def __init__(self, classes: Sequence[EntropyClass], allow: Sequence[str]):
         self.classes = [(c, re.compile(f"[{c.chars}]{{{c.width},}}")) for c in classes]
-        self.allow = [re.compile(a) for a in allow]
+        self.allow = [re.compile(a) for a in allow if a.startswith("^")]
+        self.placeholders = [re.compile(a) for a in allow if not a.startswith("^")]
         self.order = {k: i for i, k in enumerate((*BASE_KINDS, *(c.kind for c in classes)))}
 
+    def unexplained(self, run: str, width: int) -> Iterable[tuple[int, str]]:
+        """The parts of a candidate, with their places, that no placeholder explains.
+
+        A word explains what it is joined to without a mark, up to two windows away; repeated characters explain themselves.
+        """
+        zones = []
+        for m in (m for a in self.placeholders for m in a.finditer(run)):
+            lo, hi = m.span()
+            if len({*m.group()}) > 1:
+                before, after = MARKS.split(run[max(0, lo - 2 * width) : lo]), MARKS.split(run[hi : hi + 2 * width])
+                lo, hi = lo - len(before[-1]), hi + len(after[0])
+            zones.append((lo, hi))
+        at = 0
+        for lo, hi in sorted(zones):
+            if at < lo:
+                yield at, run[at:lo]
+            at = max(at, hi)
+        yield at, run[at:]
+
     def spans(self, text: str) -> list[tuple[str, int, int]]:
         found = base_spans(text)
         taken = [(s, e) for _, s, e in found]
@@ -113,7 +134,7 @@ class Scanner:
             for run in runs.finditer(text):
                 if any(a.search(run.group()) for a in self.allow):
                     continue
-                for lo, hi in entropy_windows(run.group(), cls):
+                for lo, hi in (x for at, part in self.unexplained(run.group(), cls.width) for x in ((at + lo, at + hi) for lo, hi in entropy_windows(part, cls))):
                     start, end = run.start() + lo, run.start() + hi
                     if not any(s < end and start < e for s, e in taken):
                         added.append((cls.kind, start, end))

@@ -53,6 +53,13 @@ def test_scan_frames(spark):
     assert scan_secrets(df.limit(0)).count() == 0 and len(CLASSES) == 2
 
 
+def test_placeholders_explain_only_their_part(spark):
+    key = "gH7kQ2mZ9xW4vB6nT1rY8pL3"
+    texts = [f"/srv/example/{key}", f"{key}{'A' * 6}{key}", f"{key}EXAMPLE"]
+    found = [[t[s.start : s.end] for s in r.secret_spans] for t, r in zip(texts, scan_secrets(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)).collect(), strict=True)]
+    assert [[x.strip("/") for x in f] for f in found] == [[key], [key, key], []]
+
+
 # urls
 
 URLS = [
