@@ -11,8 +11,11 @@ same tree on plain lists. The tokenizer file is read on the driver and broadcast
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Sequence
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +28,11 @@ from procurelake.llm.shared import append_columns, text_or_empty
 from procurelake.llm.words import KNOWN_WORDS
 
 NONE = np.int64(1) << np.int64(62)
+#: No pair, in the trees of matrices: codes are rank * width + place there, so merges of up to 2^25 fit.
+NO_PAIR = np.int32(2**31 - 1)
 WIDEST = 64  # symbols of the words that are merged in matrices
 MAX_TOKENIZER_BYTES = 16 << 20  # what may be broadcast
 
-#: The split pattern of the tokenizer, with white space as Unicode defines it.
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 #: Ranges of code points that are letters or numbers only since Unicode 17, which the tokenizer
 #: library's tables (Unicode 16) do not have yet, and upper-case letters of Unicode 16 and 17 with their lower case,
 #: which Python's tables lack.
@@ -42,14 +45,20 @@ LATER = (
 )
 NEW_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5}
 NEW_LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
-NEW_UPPER = regex.compile("[" + "".join(map(chr, NEW_LOWER)) + "]")
+LEAST_NEW = min(NEW_LOWER)
 
 
-def pieces_of_assigned():
-    """PIECES with the letters and numbers that the library knows."""
+#: The split pattern of the tokenizer (shortened forms, runs of letters, single numbers, runs of others),
+#: with white space as Unicode defines it.
+SHORTENED = "'s|'t|'re|'ve|'m|'ll|'d"
+SPACE, LETTER, NUMBER, OTHER = range(4)
+
+
+def kind_patterns() -> list[str]:
+    """Character classes by kind, with the letters and numbers that the library knows."""
     later = "[" + "".join("-".join(rf"\U{int(c, 16):08X}" for c in r.split("-")) for r in LATER.split()) + "]"
     letter, number = rf"[\p{{L}}--{later}]", rf"[\p{{N}}--{later}]"
-    return regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|{letter}+|{number}|[^\p{{White_Space}}{letter}{number}]+", regex.V1)
+    return [r"\p{White_Space}", letter, number, rf"[^\p{{White_Space}}{letter}{number}]"]
 
 
 OTHER_SPACE = regex.compile(r"[\p{White_Space}--\x20]", regex.V1)
@@ -103,19 +112,24 @@ class WordBpe:
         self.merged = np.array([vocab[a + b] for a, b in merges], np.int64)
         keys = left * self.top + right
         order = np.argsort(keys, kind="stable")
-        self.keys, self.ranks = keys[order], order.astype(np.int64)
+        # the last entry is never met: every look-up ends at an entry
+        self.keys, self.ranks = np.append(keys[order], NONE), np.append(order.astype(np.int64), NONE)
         symbols = byte_symbols()
         self.inner = np.array([vocab[s] for s in symbols], np.int64)
         self.last = np.array([vocab[s + suffix] for s in symbols], np.int64)
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
-        self.assigned = pieces_of_assigned()
+        patterns = kind_patterns()
+        self.kinds, self.patterns = np.full(0x110000, -1, np.int8), [regex.compile(k, regex.V1) for k in patterns]
+        self.pieces = regex.compile(f"{SHORTENED}|{patterns[LETTER]}+|{patterns[NUMBER]}|{patterns[OTHER]}+", regex.V1)
+        self.shortened = re.compile(SHORTENED)
         self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of the pairs, NONE where there is no such merge."""
         key = left * self.top + right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.ranks[at], NONE)
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys.take(at) == key, self.ranks.take(at), NONE)
 
     def merge_long(self, symbols: list[int]) -> list[int]:
         n = len(symbols)
@@ -151,94 +165,118 @@ class WordBpe:
         return self._pairs
 
     def merge_block(self, sym: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Merge the words in the rows of ``sym``; gives all ids in row order and the number in each row."""
+        """Merge the words in the rows of ``sym``, whose width is a power of two; gives all ids in row order and the number in each row."""
         w, m = sym.shape
-        place = np.arange(m, dtype=np.int64)
-        tree = np.full((w, 2 * m), NONE, np.int64)
+        shift, place = m.bit_length() - 1, np.arange(m)
+        trees = np.full((w, 2 * m), NO_PAIR, np.int32)
         ranks = self.rank(sym[:, :-1], sym[:, 1:])
         real = (place[None, :-1] + 1 < length[:, None]) & (ranks < NONE)
-        tree[:, m : 2 * m - 1] = np.where(real, ranks * m + place[:-1], NONE)
-        for size in (1 << i for i in reversed(range(m.bit_length() - 1))):
-            tree[:, size : 2 * size] = np.minimum(tree[:, 2 * size : 4 * size : 2], tree[:, 2 * size + 1 : 4 * size : 2])
-        after = np.broadcast_to(place + 1, (w, m)).copy()
-        before = np.broadcast_to(place - 1, (w, m)).copy()
+        trees[:, m : 2 * m - 1] = np.where(real, ranks << shift | place[:-1], NO_PAIR)
+        for size in (1 << i for i in reversed(range(shift))):
+            np.minimum(trees[:, 2 * size : 4 * size : 2], trees[:, 2 * size + 1 : 4 * size : 2], out=trees[:, size : 2 * size])
+        after, before = np.tile(place + 1, w), np.tile(place - 1, w)
         alive = place[None, :] < length[:, None]
-        levels = m.bit_length() - 1
-
-        def put(rows: np.ndarray, leaf: np.ndarray, code: np.ndarray) -> None:
-            node = leaf + m
-            tree[rows, node] = code
-            for _ in range(levels):
-                node = node >> 1
-                tree[rows, node] = np.minimum(tree[rows, 2 * node], tree[rows, 2 * node + 1])
+        tree, symbols, living = trees.ravel(), sym.ravel(), alive.ravel()
 
-        rows = np.arange(w)
+        row, last = np.arange(w), length
         while True:
-            root = tree[rows, 1]
-            live = root < NONE
-            rows, root = rows[live], root[live]
-            if not len(rows):
+            root = tree.take(row * (2 * m) + 1)
+            live = root < NO_PAIR
+            if not live.all():
+                row, root, last = row[live], root[live], last[live]
+            if not len(row):
                 break
-            rank, i = np.divmod(root, m)
-            j = after[rows, i]
-            merged = sym[rows, i] = self.merged[rank]
-            alive[rows, j] = False
-            k = after[rows, i] = after[rows, j]
-            put(rows, j, np.full(len(rows), NONE))
-            on = k < length[rows]
-            inside = np.minimum(k, m - 1)
-            before[rows[on], k[on]] = i[on]
-            ranks = self.rank(merged, sym[rows, inside])
-            put(rows, i, np.where(on & (ranks < NONE), ranks * m + i, NONE))
-            p = before[rows, i]
-            back = p >= 0
-            if back.any():
-                rows_b, p_b = rows[back], p[back]
-                ranks = self.rank(sym[rows_b, p_b], merged[back])
-                put(rows_b, p_b, np.where(ranks < NONE, ranks * m + p_b, NONE))
-        return sym[alive], alive.sum(1)
-
-    def encode_words(self, words: list[str]) -> list[bytes]:
-        """Ids of single words (no white space, no special tokens) as little-endian unsigned 32-bit numbers."""
-        pieces: list[bytes] = []
-        owner: list[int] = []
-        for at, word in enumerate(words):
-            for piece in (PIECES if word.isascii() else self.assigned).findall(word):
-                pieces.append(piece.encode())
-                owner.append(at)
-        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        ids: list[bytes] = [b""] * len(pieces)
-        flat = np.frombuffer(b"".join(pieces), np.uint8)
-        ends = np.cumsum(size)
-        floor = 0
+            first, i = row << shift, (root & (m - 1)).astype(np.int64)
+            j = after.take(first + i)
+            symbols[first + i] = merged = self.merged.take(root >> shift)
+            living[first + j] = False
+            k = after[first + i] = after.take(first + j)
+            on = k < last
+            k = np.minimum(k, m - 1)
+            before[(first + k)[on]] = i[on]
+            # three leaves change: the merged pair's right neighbour has none, the merged symbol and the one before it have new pairs
+            p = before.take(first + i)
+            back = np.flatnonzero(p >= 0)
+            first_b, p = first.take(back), p.take(back)
+            ranks = self.rank(np.concatenate([merged, symbols.take(first_b + p)]), np.concatenate([symbols.take(first + k), merged.take(back)]))
+            real = ranks < NONE
+            real[: len(on)] &= on
+            leaf = np.concatenate([i, p])
+            code = np.where(real, ranks << shift | leaf, NO_PAIR)
+            base, node = 2 * np.concatenate([first, first, first_b]), np.concatenate([j, leaf]) + m
+            tree[base + node] = np.concatenate([np.full(len(j), NO_PAIR), code])
+            for _ in range(shift):
+                node >>= 1
+                two = base + 2 * node
+                tree[base + node] = np.minimum(tree.take(two), tree.take(two + 1))
+        return symbols[living], alive.sum(1)
+
+    def kinds_of(self, points: np.ndarray) -> np.ndarray:
+        """The kind of each code point; each is looked up once and kept."""
+        kind = self.kinds[points]
+        if (kind < 0).any():
+            for c in np.unique(points[kind < 0]).tolist():
+                self.kinds[c] = next(k for k, pattern in enumerate(self.patterns) if pattern.fullmatch(chr(c)))
+            kind = self.kinds[points]
+        return kind
+
+    def cut(self, words: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """(the words' bytes, the end of each piece in them, the word of each piece) of words without shortened forms."""
+        points = np.frombuffer("\n".join(words).encode("utf-32-le"), "<u4")
+        kind = self.kinds_of(points)
+        gap = kind == SPACE
+        first = np.flatnonzero(~gap & ((kind == NUMBER) | (np.diff(kind, prepend=np.int8(SPACE)) != 0)))
+        width = np.where(gap, 0, 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF))
+        ends = np.cumsum(width)
+        return ["".join(words).encode()], ends[np.append(first[1:], len(ends))[: len(first)] - 1], np.cumsum(gap)[first]
+
+    def encode_words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of single distinct words (no white space, no special tokens) as little-endian unsigned 32-bit numbers."""
+        odd = [w for w in words if "'" in w and self.shortened.search(w)]
+        if odd:
+            words = list(set(words).difference(odd))
+        raw, ends, owner = self.cut(words)
+        if odd:
+            found = [(at, piece.encode()) for at, w in enumerate(odd, len(words)) for piece in self.pieces.findall(w)]
+            words += odd
+            raw += [piece for _, piece in found]
+            ends = np.append(ends, len(raw[0]) + np.cumsum([len(piece) for _, piece in found]))
+            owner = np.append(owner, [at for at, _ in found])
+        flat, size = np.frombuffer(b"".join(raw), np.uint8), np.diff(ends, prepend=0)
+        counts = np.ones(len(size), np.int64)
+        done = [(mine := np.flatnonzero(size == 1), self.last[flat[ends[mine] - 1]])]
+        floor = 1
         for width in (2, 4, 8, 16, 32, WIDEST):
             mine = np.flatnonzero((size > floor) & (size <= width))
             floor = width
-            if not len(mine):
-                continue
-            length = size[mine]
-            inside = np.arange(width)[None, :] < length[:, None]
-            at = np.where(inside, (ends[mine] - length)[:, None] + np.arange(width)[None, :], 0)
-            sym = np.where(inside, self.inner[flat[at]], 0)
-            sym[np.arange(len(mine)), length - 1] = self.last[flat[ends[mine] - 1]]
-            out, count = self.merge_block(sym, length)
-            raw, stop = out.astype("<u4").tobytes(), np.cumsum(count) * 4
-            for k, lo, hi in zip(mine.tolist(), (stop - count * 4).tolist(), stop.tolist(), strict=True):
-                ids[k] = raw[lo:hi]
+            if len(mine):
+                length = size[mine]
+                inside = np.arange(width)[None, :] < length[:, None]
+                at = np.where(inside, (ends[mine] - length)[:, None] + np.arange(width)[None, :], 0)
+                sym = np.where(inside, self.inner[flat[at]], 0)
+                sym[np.arange(len(mine)), length - 1] = self.last[flat[ends[mine] - 1]]
+                out, counts[mine] = self.merge_block(sym, length)
+                done.append((mine, out))
         for k in np.flatnonzero(size > WIDEST).tolist():
-            symbols = self.inner[np.frombuffer(pieces[k], np.uint8)].tolist()
-            symbols[-1] = int(self.last[pieces[k][-1]])
-            ids[k] = np.array(self.merge_long(symbols), "<u4").tobytes()
-        joined = [b""] * len(words)
-        for at, x in zip(owner, ids, strict=True):
-            joined[at] += x
-        return joined
+            symbols = self.inner[flat[ends[k] - size[k] : ends[k]]].tolist()
+            symbols[-1] = int(self.last[flat[ends[k] - 1]])
+            out = self.merge_long(symbols)
+            counts[k] = len(out)
+            done.append((np.array([k]), np.array(out)))
+        stop = np.cumsum(counts)
+        ids = np.empty(stop[-1] if len(stop) else 0, "<u4")
+        for mine, out in done:
+            n = counts[mine]
+            ids[np.repeat(stop[mine] - np.cumsum(n), n) + np.arange(len(out))] = out
+        cuts = [0, *(4 * stop[np.searchsorted(owner, np.arange(len(words)), "right") - 1]).tolist()]
+        ids = ids.tobytes()
+        return {w: ids[lo:hi] for w, lo, hi in zip(words, cuts, cuts[1:], strict=False)}
 
     def chunks(self, text: str) -> list[str]:
         """Normalise (composed form, plain spaces, lower case) and cut at the spaces; words never cross them."""
         if not text.isascii():
             text = OTHER_SPACE.sub(" ", unicodedata.normalize("NFC", text)).replace("Σ", "σ").lower()
-            if NEW_UPPER.search(text):
+            if np.frombuffer(text.encode("utf-32-le"), "<u4").max(initial=0) >= LEAST_NEW:
                 text = text.translate(NEW_LOWER)
             return text.split(" ")
         for c in "\t\n\v\f\r":
@@ -254,18 +292,18 @@ class WordBpe:
         return [np.array([self.special[p]], "<u4").tobytes() if i % 2 else self.chunks(p) for i, p in enumerate(parts)]
 
     def encode_texts(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > KNOWN_WORDS:
-            self.known = {"": b""}
+        if len(self.known) > KNOWN_WORDS // 2:
+            self.known, self.older = {"": b""}, self.known  # words that come again are taken over
         cut = [self.segments(t) for t in texts]
         new: set[str] = set()
-        for parts in cut:
-            for part in parts:
-                if isinstance(part, list):
-                    new |= set(part).difference(self.known)
-        todo = sorted(new)
+        for part in (p for parts in cut for p in parts if isinstance(p, list)):
+            new.update(compress(part, map(not_, map(self.known.get, part))))
+        new.discard("")  # known, but its ids are as empty as none
+        again = new.intersection(self.older)
+        self.known.update((w, self.older[w]) for w in again)
+        todo = list(new.difference(again))
         for lo in range(0, len(todo), 20_000):
-            some = todo[lo : lo + 20_000]
-            self.known.update(zip(some, self.encode_words(some), strict=True))
+            self.known.update(self.encode_words(todo[lo : lo + 20_000]))
         get = self.known.__getitem__
         return [b"".join(p if isinstance(p, bytes) else b"".join(map(get, p)) for p in parts) for parts in cut]
 

@@ -32,16 +32,16 @@ class Packer:
             raise ValueError("limits are at least 1")
         self.limits = np.array([tokens, segments, loss], np.float64)
         self.window = window
-        # waiting pieces: example, start, length, prompt tokens of the example (its first tokens, which bear no loss)
-        self.wait = np.zeros((4, 2 * window), np.int64)
+        # waiting pieces in the order they came: example, start, length, prompt tokens of the example (its first tokens, which bear no loss), loss tokens
+        self.wait = np.zeros((5, 2 * window), np.int64)
         self.n = 0
         self.sequence = 0
         self.open: list[tuple[int, int, int, int]] = []
         self.left = self.limits.copy()
 
     @staticmethod
-    def loss_of(start, length, prompt):
-        return np.maximum(0, start + length - np.maximum(start, prompt))
+    def loss_of(start: int, length: int, prompt: int) -> int:
+        return max(0, start + length - max(start, prompt))
 
     def feed(self, example: int, length: int, prompt: int):
         """Full sequences are cut off a long example at once; the rest waits."""
@@ -63,7 +63,7 @@ class Packer:
     def push(self, example: int, start: int, length: int, prompt: int) -> None:
         if self.n == self.wait.shape[1]:
             self.wait = np.concatenate([self.wait, np.zeros_like(self.wait)], 1)
-        self.wait[:, self.n] = example, start, length, prompt
+        self.wait[:, self.n] = example, start, length, prompt, self.loss_of(start, length, prompt)
         self.n += 1
 
     def next_sequence(self) -> int:
@@ -71,24 +71,27 @@ class Packer:
         return self.sequence - 1
 
     def row(self, example: int, start: int, length: int, prompt: int, sequence: int, offset: int) -> tuple:
-        return example, start, length, int(self.loss_of(start, length, prompt)), sequence, offset
+        return example, start, length, self.loss_of(start, length, prompt), sequence, offset
 
     def step(self):
         """Place one piece in the open sequence, or close it."""
         if self.left[0] < 1 or self.left[1] < 1 or not self.n:
             yield from self.close()
             return
-        wait = self.wait[:, : self.n]
-        loss = self.loss_of(wait[1], wait[2], wait[3])
-        fits = (wait[2] <= self.left[0]) & (loss <= self.left[2])
-        share = self.left / self.limits / self.limits
-        if fits.any() and (self.left[1] > 1 or not (wait[2] > self.left[0]).any()):
-            gain = np.where(fits, wait[2] * share[0] + share[1] + loss * share[2], -1.0)
+        length, loss = self.wait[2, : self.n], self.wait[4, : self.n]
+        tokens, segments, loss_left = self.left.tolist()
+        fits = (length <= tokens) & (loss <= loss_left)
+        if segments > 1 or not (length > tokens).any():
+            # the segment's own share is the same for all, so it moves no choice
+            share = self.left / self.limits / self.limits
+            gain = (length * share[0] + loss * share[2] + 1.0) * fits
             at = int(gain.argmax())
-            self.take(at, int(wait[2, at]))
-            return
+            if gain[at] > 0:
+                self.take(at, int(length[at]))
+                return
         # nothing fits whole, or this is the last segment: cut the piece that can give most
-        room = np.minimum(np.minimum(wait[2], self.left[0]), np.maximum(wait[3] - wait[1], 0) + self.left[2])
+        wait = self.wait[:, : self.n]
+        room = np.minimum(np.minimum(length, tokens), np.maximum(wait[3] - wait[1], 0) + loss_left)
         at = int(room.argmax())
         if room[at] < 1:
             yield from self.close()
@@ -96,14 +99,16 @@ class Packer:
         self.take(at, int(room[at]))
 
     def take(self, at: int, length: int) -> None:
-        example, start, whole, prompt = (int(x) for x in self.wait[:, at])
+        example, start, whole, prompt, _ = self.wait[:, at].tolist()
         self.open.append((example, start, length, prompt))
         self.left -= (length, 1, self.loss_of(start, length, prompt))
         if length < whole:
-            self.wait[1:3, at] = start + length, whole - length
+            start, whole = start + length, whole - length
+            self.wait[1:, at] = start, whole, prompt, self.loss_of(start, whole, prompt)
         else:
+            # the rest moves up, so that ties go to the piece that waits first
+            self.wait[:, at : self.n - 1] = self.wait[:, at + 1 : self.n]
             self.n -= 1
-            self.wait[:, at] = self.wait[:, self.n]
 
     def close(self, powers: bool = False):
         """Emit the open sequence; with ``powers``, as sequences whose lengths are powers of two, which need no padding."""
@@ -196,13 +201,13 @@ def pack(
         def feed(batch):
             nonlocal seen
             small = batch.select(range(len(keep)))
-            values = batch.column(len(keep)).to_pylist()
+            values, prompts = batch.column(len(keep)).to_pylist(), batch.column(len(keep) + 1).to_pylist()
             encoded = bpe.encode_texts(values) if bpe else values
-            for i, (raw, n) in enumerate(zip(encoded, batch.column(len(keep) + 1), strict=True)):
+            for i, (raw, n) in enumerate(zip(encoded, prompts, strict=True)):
                 raw = (raw or b"") + end
                 if raw:
                     held[seen] = [small, i, raw, len(raw) // 4]
-                    yield from packer.feed(seen, len(raw) // 4, max(0, n.as_py()))
+                    yield from packer.feed(seen, len(raw) // 4, max(0, n))
                     seen += 1
 
         for batch in batches:
