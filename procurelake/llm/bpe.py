@@ -361,8 +361,7 @@ def encode(df: DataFrame, text: str = "text", out: str = "ids", *, tokenizer: st
         return compute
 
     kind = T.BinaryType() if packed else T.ArrayType(T.IntegerType())
-    sent = df.withColumn("__text", text_or_empty(text))
-    return append_columns(sent, ["__text"], [T.StructField(out, kind)], make, drop=["__text", *drop])
+    return append_columns(df, [text_or_empty(text)], [T.StructField(out, kind)], make, drop=drop)
 
 
 def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", *, tokenizer: str, drop: Sequence[str] = ()) -> DataFrame:
@@ -404,8 +403,7 @@ def round_trip(df: DataFrame, text: str = "text", ids: str = "ids", decoded: str
 
         return compute
 
-    sent = df.withColumn("__text", text_or_empty(text))
-    return append_columns(sent, ["__text"], [T.StructField(ids, T.BinaryType()), T.StructField(decoded, T.StringType())], make, drop=["__text", *drop])
+    return append_columns(df, [text_or_empty(text)], [T.StructField(ids, T.BinaryType()), T.StructField(decoded, T.StringType())], make, drop=drop)
 
 
 def op1_bpe(spark, sf_dir: str, tokenizer: str | None = None) -> DataFrame:

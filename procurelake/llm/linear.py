@@ -105,4 +105,4 @@ def score_texts(df: DataFrame, text: str, out: str, weights: np.ndarray | None,
 
         return compute
 
-    return append_columns(df.withColumn("__text", text_or_empty(text)), ["__text"], [T.StructField(out, T.DoubleType())], make, drop=["__text", *drop])
+    return append_columns(df, [text_or_empty(text)], [T.StructField(out, T.DoubleType())], make, drop=drop)

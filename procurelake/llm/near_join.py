@@ -84,7 +84,7 @@ def with_sets(df: DataFrame, text: str, size: int, *, signature: int = 0, sets:
 
         return compute
 
-    return append_columns(df.withColumn("__text", text_or_empty(text)), ["__text"], fields, make, drop=["__text", text])
+    return append_columns(df, [text_or_empty(text)], fields, make, drop=[text])
 
 
 def alike_in_cell(cut: float):

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from procurelake.llm.bpe import load, tokenizer_broadcast
-from procurelake.llm.shared import slices, text_or_empty
+from procurelake.llm.shared import quoted, slices, text_or_empty, unused
 
 #: Pieces that wait in a task while a sequence is filled.
 WINDOW = 768
@@ -158,12 +158,12 @@ def pack(
     a task's last sequence is dealt out over powers of two.
     """
     made = T.StructType([T.StructField("example_tokens", T.LongType())] + T._parse_datatype_string(PIECE).fields)
-    outs = set(made.names)
-    keep = [c for c in df.columns if c not in outs and c != prompt and c != ids]
-    n_prompt = F.coalesce(F.col(prompt).cast("long"), F.lit(0)) if prompt else F.lit(0).cast("long")
+    outs = {c.lower() for c in (*made.names, ids, prompt or ids)}
+    keep = [F.col(quoted(c)) for c in df.columns if c.lower() not in outs]
+    n_prompt = F.coalesce(F.col(quoted(prompt)).cast("long"), F.lit(0)) if prompt else F.lit(0).cast("long")
     spec = tokenizer_broadcast(df, tokenizer) if tokenizer else None
-    source = text_or_empty(ids) if tokenizer else F.col(ids)
-    sent = df.select(*keep, source.alias("__ids"), n_prompt.alias("__prompt"))
+    source = text_or_empty(ids) if tokenizer else F.col(quoted(ids))
+    sent = df.select(*keep, source.alias(unused(df, "ids")), n_prompt.alias(unused(df, "prompt")))
     schema = T.StructType([*df.select(*keep).schema.fields, *made.fields])
     end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from procurelake.llm.shared import append_columns, text_or_empty
+from procurelake.llm.shared import append_columns, quoted, text_or_empty, unused
 
 #: The base patterns, and the lengths from which their matches count.
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -68,18 +68,18 @@ def entropy_windows(text: str, cls: EntropyClass) -> Iterable[tuple[int, int]]:
     present = [0] * len(cls.needs)
     start = end = -1
     for i, c in enumerate(text):
-        n = counts.get(c, 0)
-        counts[c] = n + 1
-        total += cost[n + 1] - cost[n]
-        if (k := kinds.get(c)) is not None:
-            present[k] += 1
-        if i >= width:
+        if i >= width:  # the oldest leaves before the next comes, so that no count passes the width
             old = text[i - width]
             n = counts[old]
             counts[old] = n - 1
             total += cost[n - 1] - cost[n]
             if (k := kinds.get(old)) is not None:
                 present[k] -= 1
+        n = counts.get(c, 0)
+        counts[c] = n + 1
+        total += cost[n + 1] - cost[n]
+        if (k := kinds.get(c)) is not None:
+            present[k] += 1
         if i >= width - 1 and all(present) and log2(width) - total / width >= cls.bits - 1e-9:
             if end < i - width + 1:
                 if end >= 0:
@@ -167,23 +167,28 @@ def scan_secrets(
 
         return compute
 
-    return append_columns(df.withColumn("__text", text_or_empty(text)), ["__text"], [T.StructField(out, SPANS)], make, drop=["__text", *drop])
+    return append_columns(df, [text_or_empty(text)], [T.StructField(out, SPANS)], make, drop=drop)
 
 
 def redact_secrets(df: DataFrame, text: str = "text", mask: str = "[secret]") -> DataFrame:
-    """``df`` with each found span (overlapping ones merged) replaced by ``mask``; rows without spans keep their text, null included."""
-    found = scan_secrets(df, text, "__spans")
+    """``df`` with each found span (overlapping ones merged) replaced by ``mask``; rows without spans keep their text, null included.
+
+    All rows and columns stay, whatever the columns' names; repeated rows are masked each; an empty table stays empty.
+    """
+    name = unused(df, "spans")
+    found, own = scan_secrets(df, text, name), F.col(quoted(text))
     cut = F.aggregate(
-        "__spans",
+        name,
         F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at")),
         lambda acc, s: F.struct(
-            F.when(s["start"] >= acc["at"], F.concat(acc["done"], F.substring(F.col(text), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mask)))
+            F.when(s["start"] >= acc["at"], F.concat(acc["done"], F.substring(own, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mask)))
             .otherwise(acc["done"]).alias("done"),
             F.greatest(acc["at"], s["end"]).alias("at"),
         ),
     )
-    rest = F.concat(cut["done"], F.substring(F.col(text), (cut["at"] + 1).cast("int"), F.length(text)))
-    return found.withColumn(text, F.when(F.size("__spans") > 0, rest).otherwise(F.col(text))).drop("__spans").select(*df.columns)
+    rest = F.concat(cut["done"], F.substring(own, (cut["at"] + 1).cast("int"), F.length(own)))
+    masked = F.when(F.size(name) > 0, rest).otherwise(own).alias(text)
+    return found.select(*[masked if c == text else F.col(quoted(c)) for c in df.columns])
 
 
 def spelled(spans):

@@ -7,21 +7,25 @@ costs one stage and not the whole history.
 
 from __future__ import annotations
 
+import itertools
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see; one of our own only where the session names none (tests)."""
+    """The folder all executors see. Only a session of one process may leave it unnamed (tests); it gets one of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors see")
         named = "file://" + tempfile.mkdtemp(prefix="procurelake-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -35,9 +39,22 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def quoted(column: str) -> str:
+    """A column's name as an expression, whatever characters it has."""
+    return "`" + column.replace("`", "``") + "`"
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A name like ``name`` that no column of ``df`` has (Spark tells names apart without their case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def append_columns(
     df: DataFrame,
-    inputs: Sequence[str],
+    inputs: Sequence[str | Column],
     fields: Sequence[T.StructField],
     make: Callable[[], Callable[..., Sequence[pa.Array]]],
     drop: Sequence[str] = (),
@@ -47,10 +64,12 @@ def append_columns(
     ``make()`` runs once in each task and returns a function from the input arrays of a batch to one array
     per field. Columns of ``df`` that carry an output's name are replaced; those in ``drop`` go.
     """
-    outs = {f.name for f in fields}
-    keep = [c for c in df.columns if c not in outs and c not in drop]
-    sent = df.select(*[F.col(f"`{c}`") for c in keep], *[F.col(f"`{c}`").alias(f"__in{i}") for i, c in enumerate(inputs)])
-    schema = T.StructType([*sent.select(*[F.col(f"`{c}`") for c in keep]).schema.fields, *fields])
+    gone = {x.lower() for x in (*(f.name for f in fields), *drop)}
+    keep = [F.col(quoted(c)) for c in df.columns if c.lower() not in gone]
+    # inputs stand last and are taken by place, so their names meet nobody's
+    given = [F.col(quoted(c)) if isinstance(c, str) else c for c in inputs]
+    sent = df.select(*keep, *[c.alias(unused(df, f"in{i}")) for i, c in enumerate(given)])
+    schema = T.StructType([*df.select(*keep).schema.fields, *fields])
     n, names = len(keep), [f.name for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,9 +93,9 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(lo, rows)
 
 
-def text_or_empty(column: str):
+def text_or_empty(column: str) -> Column:
     """The text column as a string; null counts as the empty text."""
-    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+    return F.coalesce(F.col(quoted(column)).cast("string"), F.lit(""))
 
 
 def components(edges: DataFrame, name: str = "components", max_rounds: int = 60) -> DataFrame:
@@ -85,8 +104,9 @@ def components(edges: DataFrame, name: str = "components", max_rounds: int = 60)
     Returns (node, component): every node that occurs in an edge, with the smallest node reachable from it.
     Each step is a grouped minimum (combined before the shuffle) and a join back, so a hub with a third of
     all edges is never one task's group. Rounds end when the edges are stars (every node has one parent and
-    no parent has one), of which the driver sees two numbers. Self-loops and nulls are ignored; an empty
-    edge table gives an empty result.
+    no parent has one), of which the driver sees two numbers; edges that are not settled after ``max_rounds``
+    (their number falls with the logarithm of the longest path) are an error. Self-loops and nulls are ignored;
+    an empty edge table gives an empty result.
     """
     a, b = F.col("a"), F.col("b")
 
@@ -97,9 +117,11 @@ def components(edges: DataFrame, name: str = "components", max_rounds: int = 60)
 
     clean = edges.where(a.isNotNull() & b.isNotNull() & (a != b))
     now = stash(clean.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), name)
-    for _ in range(max_rounds):
+    for done in itertools.count():
         if settled(now):
             break
+        if done == max_rounds:
+            raise RuntimeError(f"components are not settled after {max_rounds} rounds")
         both = now.unionByName(now.select(b.alias("a"), a.alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         # large star: every larger neighbour of a node points to the smallest node around it
