@@ -14,7 +14,7 @@ from procurelake.llm.exact_dedup import drop_copies
 from procurelake.llm.near_join import keep_one_of_each_class
 from procurelake.llm.packing import pack_documents
 from procurelake.llm.secrets import redact_secrets
-from procurelake.llm.shared import stash
+from procurelake.llm.shared import quoted, stash, unused
 from procurelake.llm.toxicity import THRESHOLD, fit_toxicity, score_toxicity
 
 
@@ -23,8 +23,8 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     weights = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     if weights is None:
         return docs
-    scored = score_toxicity(docs.withColumn("__scored", F.col("text")), weights, "__scored", "__score", drop=["__scored"])
-    return scored.where(F.col("__score") < THRESHOLD).select(*docs.columns)
+    score = unused(docs, "score")
+    return score_toxicity(docs, weights, out=score).where(F.col(score) < THRESHOLD).select(*[F.col(quoted(c)) for c in docs.columns])
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
