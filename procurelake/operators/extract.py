@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import unicodedata
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,12 +24,12 @@ COMPULSORY = (
     r"(?isU)(?<!non-)(?<!non )(?:compulsory|mandatory).{0,60}(?:briefing|site\s+(?:meeting|inspection))"
     r"|(?:briefing|site\s+(?:meeting|inspection)).{0,60}(?<!non-)(?<!non )(?:compulsory|mandatory)"
 )
-GRADE = r"\b([1-9])\s*(CE|GB|ME|EP|EB|SB|SF|SH|SI|SJ|SK|SL|SO|SQ)\b"
-GRADE_CONTEXT = r"(?i)cidb|construction\s+industry\s+development"
-LEVEL = r"(?i)b[\s\-]?bbee\s*(?:status\s*)?(?:level|contributor\s+level)?\s*[:\-]?\s*(?:level\s*)?([1-8])\b"
+GRADE = r"(?U)\b([1-9])\s*(CE|GB|ME|EP|EB|SB|SF|SH|SI|SJ|SK|SL|SO|SQ)\b"
+GRADE_CONTEXT = r"(?iU)cidb|construction\s+industry\s+development"
+LEVEL = r"(?iU)b[\s\-]?bbee\s*(?:status\s*)?(?:level|contributor\s+level)?\s*[:\-]?\s*(?:level\s*)?([1-8])\b"
 EMAIL = r"(?U)\b[\w.+-]+@[\w-]+\.[\w.-]+\b"
-PHONE = r"(?:\+27|0)\s?\d{2}[\s\-]?\d{3}[\s\-]?\d{4}\b"
-VALUE = r"(?is)(?:estimated\s+(?:value|cost|amount)|budget|contract\s+value).{0,30}?R\s?([\d\s,.]{4,20})"
+PHONE = r"(?U)(?:\+27|0)\s?\d{2}[\s\-]?\d{3}[\s\-]?\d{4}\b"
+VALUE = r"(?isU)(?:estimated\s+(?:value|cost|amount)|budget|contract\s+value).{0,30}?R\s?([\d\s,.]{4,20})"
 NUMBER_CHARS, NUMBER_TOP, EVIDENCE_CHARS = 8_000, 2_000, 200
 LEAST_VALUE, MOST_VALUE = 1_000, 10_000_000_000
 FIELDS = ("tender_number", "closing_at", "briefing_at", "compulsory_briefing", "cidb_grades", "bbee_level", "contact_email", "contact_phone", "value_estimated")
@@ -40,10 +41,17 @@ def extracted(value: Column, confidence, evidence: Column) -> Column:
     return F.when(value.isNotNull(), F.struct(value.alias("value"), confidence.cast("double").alias("confidence"), F.substring(evidence, 1, EVIDENCE_CHARS).alias("evidence")))
 
 
-def _instant(text: Column, pattern: str, base: int) -> tuple[Column, Column]:
-    """(instant or null, whether a time was written) of the pattern's first match; ``base`` is its first date group."""
-    group = lambda i: F.nullif(F.regexp_extract(text, pattern, base + i), F.lit(""))
-    number = lambda i: group(i).cast("int")
+@cache
+def _digits() -> tuple[str, str]:
+    """All decimal digits beyond ASCII, and the ASCII digits that they stand for."""
+    found = [(chr(c), str(unicodedata.decimal(chr(c)))) for c in range(0x80, 0x110000) if chr(c).isdecimal()]
+    return "".join(x for x, _ in found), "".join(d for _, d in found)
+
+
+def _instant(name: str, base: int) -> tuple[Column, Column]:
+    """(instant or null, whether a time was written) from the columns with a pattern's groups; its date and time groups start at ``base``."""
+    group = lambda i: F.nullif(F.col(f"{name}{base + i}"), F.lit(""))
+    number = lambda i: group(i).try_cast("int")
     month = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(group(1))).cast("int")
     year = F.coalesce(number(2), number(3), number(8))
     month = F.when(group(0).isNotNull(), month).otherwise(F.coalesce(number(4), number(7)))
@@ -54,40 +62,54 @@ def _instant(text: Column, pattern: str, base: int) -> tuple[Column, Column]:
     # without a time a closing is at the default hour, a briefing at the start of the day
     untimed = wall(F.lit(DEFAULT_CLOSING_HOUR if base == 1 else 0), F.lit(0))
     at = F.try_to_timestamp(F.when(timed, wall(hour, number(10))).otherwise(untimed))
-    return F.when(year.isNotNull() & month.isNotNull() & day.isNotNull(), at), F.coalesce(timed, F.lit(False))
+    return F.when((year > 0) & month.isNotNull() & day.isNotNull(), at), F.coalesce(timed, F.lit(False))
 
 
 def extract_fields(documents: DataFrame, text: str = "text") -> DataFrame:
-    """OP-D7. The documents with one nullable struct (value, confidence, evidence) per field; null and empty texts have none."""
+    """OP-D7. The documents with one nullable struct (value, confidence, evidence) per field; null and empty texts have none.
+
+    Each pattern runs over the text once; its groups are taken from the short match. Digits of any script count.
+    """
     t = F.coalesce(F.col(text), F.lit(""))
-    first = lambda pattern, group=0: F.nullif(F.regexp_extract(t, pattern, group), F.lit(""))
     head = F.substring(t, 1, NUMBER_CHARS)
-    tidy = lambda x: F.regexp_replace(F.trim(x), r"\.+$", "")
-    numbers = F.filter(F.transform(F.regexp_extract_all(head, F.lit(NUMBER), F.lit(1)), tidy), lambda x: x.rlike("[0-9]") & (F.length(x) <= 30))
-    number = F.get(numbers, F.lit(0))
-    number_at = F.regexp_instr(head, F.lit(NUMBER))
-    closing, closing_timed = _instant(t, CLOSING, 1)
-    briefing, _ = _instant(t, BRIEFING, 2)
-    met, near = first(BRIEFING), first(COMPULSORY)
-    before = first(BRIEFING, 1)
-    grades = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(t, F.lit(GRADE), F.lit(0)), lambda g: F.regexp_replace(g, r"\s+", ""))))
-    has_grades = t.rlike(GRADE_CONTEXT) & (F.size(grades) > 0)
-    amount = F.try_to_number(F.regexp_replace(F.regexp_replace(first(VALUE, 1), r"[\s,]", ""), r"\.+$", ""), F.lit("999999999999999999.99"))
-    level = first(LEVEL, 1)
-    return documents.withColumns(
-        {
-            "tender_number": extracted(number, F.when(number_at <= NUMBER_TOP, 0.85).otherwise(0.7), F.regexp_extract(head, NUMBER, 0)),
-            "closing_at": extracted(closing, F.when(closing_timed, 0.75).otherwise(0.6), first(CLOSING)),
-            "briefing_at": extracted(briefing, 0.7, met),
-            "compulsory_briefing": F.when(met.isNotNull(), extracted(before.isNotNull() | near.isNotNull(), F.when(before.isNotNull(), 0.8).otherwise(0.65), F.substring(met, 1, 120)))
-            .otherwise(extracted(F.when(near.isNotNull(), F.lit(True)), 0.6, near)),
-            "cidb_grades": extracted(F.when(has_grades, grades), 0.8, F.concat(F.lit("grades "), F.array_join(grades, ", "))),
-            "bbee_level": extracted(F.concat(F.lit("Level "), level), 0.75, first(LEVEL)),
-            "contact_email": extracted(F.lower(first(EMAIL)), 0.9, first(EMAIL)),
-            "contact_phone": extracted(F.regexp_replace(first(PHONE), r"[\s\-]", ""), 0.8, first(PHONE)),
-            "value_estimated": extracted(F.when(amount.between(LEAST_VALUE, MOST_VALUE), amount.cast("double")), 0.6, F.substring(first(VALUE), 1, 120)),
-        }
-    )
+    first = {"closing": CLOSING, "briefing": BRIEFING, "near": COMPULSORY, "level": LEVEL, "email": EMAIL, "phone": PHONE, "value": VALUE}
+    found = {f"__{name}": F.regexp_extract(t, pattern, 0) for name, pattern in first.items()}
+    found |= {
+        "__numbers": F.regexp_extract_all(head, F.lit(NUMBER), F.lit(0)),
+        "__candidates": F.transform(F.regexp_extract_all(head, F.lit(NUMBER), F.lit(1)), lambda x: F.regexp_replace(F.trim(x), r"\.+$", "")),
+        "__between": F.split(head, NUMBER, -1),
+        "__grades": F.when(t.rlike(GRADE_CONTEXT), F.regexp_extract_all(t, F.lit(GRADE), F.lit(0))),
+    }
+    # a column for each group, since one that is used more than once is not computed again
+    groups = lambda name, pattern, n: {f"__{name}{i}": F.translate(F.regexp_extract(f"__{name}", pattern, i), *_digits()) for i in range(1, n + 1)}
+    valid = F.transform("__candidates", lambda x: x.rlike(r"(?U)\d") & (F.length(x) <= 30))
+    cut = groups("closing", CLOSING, 12) | groups("briefing", BRIEFING, 13)
+    cut |= {
+        "__amount": F.translate(F.regexp_replace(F.regexp_replace(F.regexp_extract("__value", VALUE, 1), r"(?U)[\s,]", ""), r"\.+$", ""), *_digits()).try_cast("double"),
+        "__at": F.array_position(valid, F.lit(True)).cast("int"),
+        "__grades": F.array_sort(F.array_distinct(F.transform("__grades", lambda g: F.regexp_replace(g, r"(?U)\s+", "")))),
+    }
+    match = lambda name: F.nullif(F.col(f"__{name}"), F.lit(""))
+    lengths = lambda parts: F.aggregate(parts, F.lit(0), lambda n, x: n + F.length(x))
+    # the texts between the matches and the matches before the valid one lie before it
+    number_start = lengths(F.slice("__between", F.lit(1), F.col("__at"))) + lengths(F.slice("__numbers", F.lit(1), F.col("__at") - 1))
+    closing, closing_timed = _instant("__closing", 1)
+    briefing, _ = _instant("__briefing", 2)
+    before = F.col("__briefing1") != ""
+    amount, level = F.col("__amount"), F.regexp_extract("__level", LEVEL, 1)
+    fields = {
+        "tender_number": F.when(F.col("__at") > 0, extracted(F.get("__candidates", F.col("__at") - 1), F.when(number_start < NUMBER_TOP, 0.85).otherwise(0.7), F.get("__numbers", F.col("__at") - 1))),
+        "closing_at": extracted(closing, F.when(closing_timed, 0.75).otherwise(0.6), match("closing")),
+        "briefing_at": extracted(briefing, 0.7, match("briefing")),
+        "compulsory_briefing": F.when(match("briefing").isNotNull(), extracted(before | match("near").isNotNull(), F.when(before, 0.8).otherwise(0.65), F.substring("__briefing", 1, 120)))
+        .otherwise(extracted(F.when(match("near").isNotNull(), F.lit(True)), 0.6, match("near"))),
+        "cidb_grades": extracted(F.when(F.size("__grades") > 0, F.col("__grades")), 0.8, F.concat(F.lit("grades ['"), F.array_join("__grades", "', '"), F.lit("']"))),
+        "bbee_level": extracted(F.concat(F.lit("Level "), F.nullif(level, F.lit(""))), 0.75, match("level")),
+        "contact_email": extracted(F.lower(match("email")), 0.9, match("email")),
+        "contact_phone": extracted(F.regexp_replace(match("phone"), r"(?U)[\s\-]", ""), 0.8, match("phone")),
+        "value_estimated": extracted(F.when(amount.between(LEAST_VALUE, MOST_VALUE), amount), 0.6, F.substring("__value", 1, 120)),
+    }
+    return documents.withColumns(found).withColumns(cut).withColumns(fields).drop(*found, *cut)
 
 
 def long_form(documents: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -164,12 +164,13 @@ def recent_failures(sources: DataFrame, checks: DataFrame, limit: int = 20) -> D
     return failed.orderBy(F.col("checked_at").desc(), "source_id").limit(limit)
 
 
-def pager_report(judged: DataFrame) -> tuple[int, list[str]]:
-    """OP-H7. (exit code, lines): 0 all well, 1 something degraded, 2 something pages. Only pages are fetched."""
-    pages = paging(judged).limit(50).collect()
-    if pages:
-        return 2, [f"{r.state} {r.source_id}" for r in pages]
-    return (0, []) if judged.where("state not in ('OK', 'PUBLISH_NOTHING', 'DISCOVERY')").isEmpty() else (1, [])
+def pager_report(judged: DataFrame) -> tuple[int, DataFrame]:
+    """OP-H7. (exit code, lines): 0 all well, 1 something degraded, 2 something pages; a line for every page, worst first."""
+    pages = paging(judged)
+    lines = pages.select(F.concat_ws(" ", "state", F.col("source_id").cast("string")).alias("line"))
+    if not pages.isEmpty():
+        return 2, lines
+    return (0 if judged.where("state not in ('OK', 'PUBLISH_NOTHING', 'DISCOVERY')").isEmpty() else 1), lines
 
 
 def overview(sources: DataFrame, checks: DataFrame, jobs: DataFrame, as_of: Column, days: int = 30) -> dict[str, DataFrame]:

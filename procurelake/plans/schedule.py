@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from procurelake.functions.times import DEFAULT_MINUTES, backoff_minutes, parse_wall_time
+from procurelake.functions.times import DEFAULT_MINUTES, backoff_minutes
+from procurelake.operators.normalize import STRUCTURED, provenance
+from procurelake.operators.versions import CHANGE, plain
 from procurelake.plans.health import LIVE_JOBS
+from procurelake.schemas import PROVENANCE, release
+from procurelake.sources.ocds import release_to_notice
 
 CRAWLED = ("ACTIVE", "DEGRADED", "FAILED_RECOVERABLE")
 MOST_ATTEMPTS = 5
@@ -57,12 +61,31 @@ def latest_archive(archive: DataFrame) -> DataFrame:
     return archive.groupBy("ocid").agg(F.max_by(F.struct(*[c for c in archive.columns if c != "ocid"]), F.struct("archived_at", "release_id")).alias("r")).select("ocid", "r.*")
 
 
-def timezone_repairs(tenders: DataFrame, archive: DataFrame) -> DataFrame:
-    """SNK-18. (tender_id, old, new) of the closing dates that the archived original, read rightly, would change; none after a repair."""
-    said = F.get_json_object("raw", "$.tender.tenderPeriod.endDate")
-    right, _ = parse_wall_time(said)
-    both = tenders.join(latest_archive(archive).select("ocid", right.alias("new")), "ocid")
-    return both.where("new is not null and not closing_at <=> new").select("tender_id", F.col("closing_at").alias("old"), "new", F.lit("TIMEZONE_CORRECTION").alias("kind"))
+#: The times that a repair looks at, the note of one without a note, and the label of its version.
+REPAIRED, REPAIR_NOTE, REPAIR_KIND = ("closing_at", "briefing_at", "published_at"), "timezone corrected", "TIMEZONE_CORRECTION"
+
+
+def timezone_repairs(tenders: DataFrame, archive: DataFrame, versions: DataFrame, source_id: str) -> tuple[DataFrame, DataFrame]:
+    """SNK-18. (repaired tenders, version rows): the archived originals are read again and only times that differ are written; nothing after a repair.
+
+    ``tenders(tender_id, ocid, closing_at, briefing_at, published_at, field_provenance, ...)``,
+    ``archive(ocid, release_id, raw, archived_at)``, ``versions(tender_id, version_no)``. Rows that need no
+    repair are left out; a repaired field is DERIVED with the note of its repair.
+    """
+    said = latest_archive(archive).where("raw is not null").select(F.from_json("raw", release()).alias("r"))
+    read = release_to_notice(said.select("r.*", F.lit("").alias("source_url")), source_id)
+    new = read.select(F.get_json_object("raw", "$.ocid").alias("ocid"), "derived_fields", *[F.col(f).alias(f"__{f}") for f in REPAIRED])
+    both = tenders.where("ocid is not null").join(new, "ocid")
+    differs = {f: F.col(f"__{f}").isNotNull() & ~F.col(f).eqNullSafe(F.col(f"__{f}")) for f in REPAIRED}
+    change = lambda f: F.when(differs[f], F.struct(F.lit(f).alias("field"), plain(F.col(f), "timestamp").alias("old"), plain(F.col(f"__{f}"), "timestamp").alias("new")))
+    both = both.withColumn("changes", F.array_compact(F.array(*map(change, REPAIRED))).cast(CHANGE)).where(F.size("changes") > 0)
+    note = lambda f: F.element_at("derived_fields", f)
+    patch = [F.when(differs[f] & note(f).isNotNull(), F.struct(F.lit(f).alias("key"), provenance(F.lit("DERIVED"), F.lit(source_id), STRUCTURED, F.coalesce(note(f), F.lit(REPAIR_NOTE))).alias("value"))) for f in REPAIRED]
+    both = both.withColumn("__patch", F.map_from_entries(F.array_compact(F.array(*patch))))
+    kept = F.map_filter(F.coalesce("field_provenance", F.create_map().cast(f"map<string,{PROVENANCE}>")), lambda k, _: ~F.map_contains_key("__patch", k))
+    cols = {f: F.coalesce(f"__{f}", f) for f in REPAIRED} | {"field_provenance": F.map_concat(kept, "__patch")}
+    repaired = both.select(*[cols.get(c, F.col(c)).alias(c) for c in tenders.columns])
+    return repaired, next_versions(versions, both.select("tender_id", "changes", F.lit(REPAIR_KIND).alias("kind")), "tender_id", "tender_id")
 
 
 def discovery_update(sources: DataFrame, found: DataFrame) -> DataFrame:
@@ -74,6 +97,37 @@ def discovery_update(sources: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
+def discovery_counts(sources: DataFrame, found: DataFrame) -> DataFrame:
+    """OP-A15. (outcome, n): probed sources that became active, stayed in discovery, or had no answer."""
+    asked = sources.where("status = 'DISCOVERY'").select("source_id", "adapter")
+    both = asked.join(found.select("source_id", F.col("adapter").alias("__adapter"), F.lit(True).alias("__met")), "source_id", "left")
+    outcome = F.when(F.col("__met").isNull(), "unreachable").when(F.col("__adapter").isNotNull(), "activated").otherwise("undecided")
+    return both.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
+
+
+#: What no audit row may hold.
+SECRETS = ("password", "password_hash", "token", "session_token", "secret", "cookie")
+
+
+def audit_rows(events: DataFrame) -> DataFrame:
+    """SNK-12. Rows to append to the log from ``events(table_name, record_id, action, user_id, actor, detail map)``.
+
+    Secrets are left out of the details, the actor is put in where it is not there, and rows without an action
+    or table are dropped instead of failing what they report on.
+    """
+    fit = events.where(F.col("action").isNotNull() & F.col("table_name").isNotNull())
+    clean = F.map_filter(F.coalesce("detail", F.create_map().cast("map<string,string>")), lambda k, _: ~F.lower(k).isin(*SECRETS))
+    actor = F.when(F.col("actor").isNotNull() & ~F.map_contains_key(clean, "actor"), F.create_map(F.lit("actor"), F.col("actor"))).otherwise(F.create_map().cast("map<string,string>"))
+    return fit.select("table_name", "record_id", "action", "user_id", F.to_json(F.map_concat(clean, actor)).alias("details"))
+
+
+def upsert_users(users: DataFrame, incoming: DataFrame) -> DataFrame:
+    """SNK-17. ``users(email, name)`` after ``incoming(email, name, at)``: the last name that is not empty stays, else the one that was there; addresses are told apart without case."""
+    last = incoming.groupBy(F.lower("email").alias("email")).agg(F.max_by(F.nullif("name", F.lit("")), F.when(F.col("name") != "", F.col("at"))).alias("__name"))
+    both = users.withColumn("email", F.lower("email")).join(last, "email", "full")
+    return both.withColumn("name", F.coalesce("__name", "name")).drop("__name")
+
+
 def audit_query(audit: DataFrame, *, action: str | None = None, email: str | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
     """OP-P16, OP-S4. The newest audit rows; ``email`` is looked for in the user, the target and the details."""
     rows = audit if action is None else audit.where(F.col("action") == action)

@@ -76,8 +76,8 @@ def needs_ocr(spark, sf_dir):
 
 
 def _notices(spark, sf_dir):
-    """Orders written out as notices, as text to extract from."""
-    t = tenders(spark, sf_dir)
+    """Orders written out as notices, as text to extract from; dealt out first, since a table of one small file is one task."""
+    t = tenders(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism, "id")
     value = F.format_number("value_estimated", 2)
     body = F.concat(
         F.lit("INVITATION\nTender No: "), "tender_number", F.lit(".\nClosing date: "), F.coalesce(F.date_format("closing_at", "yyyy-MM-dd"), F.lit("to be advised")), F.when(F.col("id") % 2 == 0, F.lit(" at 10:30")).otherwise(""),
