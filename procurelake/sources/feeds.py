@@ -17,42 +17,50 @@ def as_notices(rows: DataFrame) -> DataFrame:
     return rows.select(*made)
 
 
-def feed_date(text) -> Column:
-    """SRC-7. Mail-style dates first (the name of the day is skipped), then ISO; without a zone the time is local."""
-    c = F.trim(F.col(text) if isinstance(text, str) else text)
-    rest = F.regexp_replace(c, r"^[A-Za-z]{3},?\s+", "")
-    zoned = F.regexp_replace(rest, r"\s(GMT|UT|UTC|Z)$", " +0000")
-    mail = F.coalesce(F.try_to_timestamp(zoned, F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(zoned, F.lit("d MMM yyyy HH:mm Z")))
-    local = F.coalesce(F.try_to_timestamp(F.concat(rest, F.lit(" +0200")), F.lit("d MMM yyyy HH:mm:ss Z")))
-    return no_sentinel(F.coalesce(mail, local, parse_iso(c, SAST)))
+#: Zones that mail dates name, and the two-digit year from which the century is the last.
+MAIL_ZONES = {
+    "UT": "+0000", "UTC": "+0000", "GMT": "+0000", "Z": "+0000", "AST": "-0400", "ADT": "-0300", "EST": "-0500", "EDT": "-0400",
+    "CST": "-0600", "CDT": "-0500", "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700",
+}
+LAST_CENTURY = 69
+MAIL_DATE = r"^(?:[A-Za-z]{3,9},?\s+)?(\d{1,2})[\s-]+([A-Za-z]{3})[A-Za-z]*[\s-]+(\d{4}|\d{2})\s+(\d{1,2}):(\d{2})(?::(\d{2}))?(?:\s+(\S+))?"
 
 
-def _xpath(xml: str, path: str) -> Column:
-    return F.expr(f"xpath({xml}, \"{path}\")")
+def feed_date(text) -> Column:
+    """SRC-7. Mail-style dates first (the name of the day is skipped, zones may be named, years have two digits or four), then ISO; without a zone the time is local."""
+    c = F.trim(F.col(text) if isinstance(text, str) else text)
+    part = lambda i: F.regexp_extract(c, MAIL_DATE, i)
+    year = part(3).try_cast("int")
+    full = F.when(F.length(part(3)) > 2, year).when(year < LAST_CENTURY, year + 2000).otherwise(year + 1900)
+    names = F.create_map(*[F.lit(x) for kv in MAIL_ZONES.items() for x in kv])
+    said = F.upper(part(7))
+    # a zone of minus zero says that none is known
+    zone = F.when(said.rlike(r"^[+-]\d{4}$") & (said != "-0000"), said).otherwise(F.coalesce(F.try_element_at(names, said), F.lit(SAST.replace(":", ""))))
+    written = F.concat_ws(" ", part(1), F.initcap(part(2)), F.lpad(full.cast("string"), 4, "0"), F.concat_ws(":", part(4), part(5), F.coalesce(F.nullif(part(6), F.lit("")), F.lit("00"))), zone)
+    mail = F.when(c.rlike(MAIL_DATE), F.try_to_timestamp(written, F.lit("d MMM yyyy H:mm:ss Z")))
+    return no_sentinel(F.coalesce(mail, parse_iso(c, SAST)))
+
+
+def plain_text(xml: Column) -> Column:
+    """The text of an element: sections unwrapped, entities read, white space around it removed; null if empty."""
+    bare = F.regexp_replace(F.regexp_replace(xml, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1"), r"^\s+|\s+$", "")
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
+        bare = F.replace(bare, F.lit(entity), F.lit(char))
+    return F.nullif(bare, F.lit(""))
 
 
 def parse_feeds(feeds: DataFrame, xml: str = "xml") -> DataFrame:
-    """SRC-6. RSS items and Atom entries of ``feeds(source_id, url, xml)`` as notices; without a title or link there is none."""
-    local = lambda name: f"*[local-name()='{name}']"
-    counted = feeds.withColumn("__n", F.expr(f"xpath_int({xml}, \"count(//{local('item')})\")")).withColumn("__m", F.expr(f"xpath_int({xml}, \"count(//{local('entry')})\")"))
-    places = counted.withColumn("__i", F.explode(F.sequence(F.lit(1), F.greatest(F.col("__n") + F.col("__m"), F.lit(1))))).where("__i <= __n + __m")
-    atom = F.col("__i") > F.col("__n")
+    """SRC-6. RSS items and Atom entries of ``feeds(source_id, url, xml)`` as notices; without a title or link there is none.
+
+    Entries are cut out by their tags, so that of a feed that is broken off those before the break are read,
+    and a text that is no feed has none; see ``for_triage``.
+    """
     out = None
     for kind, names in (("item", ("title", "link", "description", "pubDate")), ("entry", ("title", "link", None, "updated"))):
-        # items are cut from the text by position with the XML functions' own paths
-        block = F.regexp_extract_all(F.col(xml), F.lit(rf"(?s)<(?:\w+:)?{kind}\b.*?</(?:\w+:)?{kind}>"), F.lit(0))
-        rows = places.where(atom if kind == "entry" else ~atom)
-        at = F.col("__i") - (F.col("__n") if kind == "entry" else F.lit(0))
-        rows = rows.withColumn("__block", F.get(block, (at - 1).cast("int")))
-
-        def child(name: str) -> Column:
-            raw = F.regexp_extract(F.col("__block"), rf"(?s)<(?:\w+:)?{name}\b[^>]*>(.*?)</(?:\w+:)?{name}>", 1)  # noqa: B023
-            bare = F.regexp_replace(F.regexp_replace(raw, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1"), r"^\s+|\s+$", "")
-            for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-                bare = F.replace(bare, F.lit(entity), F.lit(char))
-            return F.nullif(bare, F.lit(""))
-
-        href = F.nullif(F.regexp_extract(F.col("__block"), r"<(?:\w+:)?link\b[^>]*?href\s*=\s*[\"']([^\"']+)", 1), F.lit(""))
+        blocks = F.regexp_extract_all(F.col(xml), F.lit(rf"(?s)<(?:\w+:)?{kind}\b.*?</(?:\w+:)?{kind}>"), F.lit(0))
+        rows = feeds.select("source_id", F.explode(blocks).alias("block"))
+        child = lambda name: plain_text(F.regexp_extract("block", rf"(?s)<(?:\w+:)?{name}\b[^>]*>(.*?)</(?:\w+:)?{name}>", 1))
+        href = plain_text(F.regexp_extract("block", r"<(?:\w+:)?link\b[^>]*?href\s*=\s*[\"']([^\"']+)", 1))
         part = rows.select(
             "source_id",
             (child("link") if kind == "item" else href).alias("source_url"),
@@ -64,11 +72,16 @@ def parse_feeds(feeds: DataFrame, xml: str = "xml") -> DataFrame:
     return as_notices(out.where("title is not null and source_url is not null"))
 
 
-def parse_sitemaps(maps: DataFrame, xml: str = "xml", url_filter: str = "tender") -> DataFrame:
-    """SRC-8. (source_id, loc) of the sitemap entries whose address holds ``url_filter``, whatever its case."""
-    locs = _xpath(xml, "//*[local-name()='loc']/text()")
-    found = maps.select("source_id", F.explode(locs).alias("loc")).select("source_id", F.trim("loc").alias("loc"))
-    return found.where(F.contains(F.lower("loc"), F.lit(url_filter.lower())))
+def for_triage(sources: DataFrame, notices: DataFrame) -> DataFrame:
+    """The rows of ``sources(source_id, ...)`` that no notice came from: broken, empty or of another kind."""
+    return sources.join(notices.select("source_id").distinct(), "source_id", "left_anti")
+
+
+def parse_sitemaps(maps: DataFrame, xml: str = "xml", url_filter: str | None = "tender") -> DataFrame:
+    """SRC-8. (source_id, loc) of the sitemap entries whose address holds ``url_filter``, whatever its case; all without a filter."""
+    locs = F.regexp_extract_all(F.col(xml), F.lit(r"(?s)<(?:\w+:)?loc\b[^>]*>(.*?)</(?:\w+:)?loc>"), F.lit(1))
+    found = maps.select("source_id", F.explode(locs).alias("loc")).select("source_id", plain_text(F.col("loc")).alias("loc")).where("loc is not null")
+    return found.where(F.contains(F.lower("loc"), F.lit(url_filter.lower()))) if url_filter else found
 
 
 def sitemap_notices(locs: DataFrame) -> DataFrame:

@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from procurelake.functions.times import BACKOFF_DOUBLINGS, BACKOFF_MINUTES
+from procurelake.plans.schedule import MOST_ATTEMPTS
+
 STAMPED = "source_id string, checked_at timestamp, ok boolean, mttd_started_at timestamp"
 
 
@@ -44,6 +47,58 @@ def stamp_episodes(checks: DataFrame) -> DataFrame:
     return checks.groupBy("source_id").transformWithStateInPandas(EpisodeStamp(), STAMPED, "Append", "None")
 
 
+RETRIES = "job_id long, attempts int, state string, retry_at timestamp"
+
+
+class BackoffTimer(StatefulProcessor):
+    """Counts a job's failures and sets a timer for its next try, which wakes it as PENDING; a success or the last failure ends it."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.attempts = handle.getValueState("attempts", "attempts int")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        runs = pd.concat(list(rows)).sort_values("at")
+        n = self.attempts.get()[0] if self.attempts.exists() else 0
+        state, retry = "DONE", pd.NaT
+        for at, ok in zip(runs["at"], runs["ok"], strict=True):
+            n = 0 if ok else n + 1
+            state, retry = ("DONE", pd.NaT) if ok else ("FAILED", pd.NaT) if n >= MOST_ATTEMPTS else ("RETRY_BACKOFF", at + pd.Timedelta(minutes=wait_minutes(n)))
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        if state == "RETRY_BACKOFF":
+            self.attempts.update((n,))
+            wait = (retry - runs["at"].iloc[-1]).total_seconds() * 1000
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + int(wait))
+        else:
+            self.attempts.clear()
+        yield pd.DataFrame({"job_id": [key[0]], "attempts": pd.array([n], "Int32"), "state": [state], "retry_at": pd.to_datetime(pd.Series([retry]))})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        n = self.attempts.get()[0] if self.attempts.exists() else 0
+        yield pd.DataFrame({"job_id": [key[0]], "attempts": pd.array([n], "Int32"), "state": ["PENDING"], "retry_at": pd.to_datetime(pd.Series([pd.NaT]))})
+
+    def close(self) -> None:
+        pass
+
+
+def wait_minutes(attempt: int) -> int:
+    """OP-F16 on a number: 15, 30, 60, 120, 240, 240, ..."""
+    return BACKOFF_MINUTES * 2 ** min(attempt - 1, BACKOFF_DOUBLINGS)
+
+
+def backoff_timers(runs: DataFrame) -> DataFrame:
+    """2.14. Job states from a stream of ``runs(job_id, at, ok)``: retries wait on processing-time timers and then become PENDING; needs the RocksDB state store."""
+    return runs.groupBy("job_id").transformWithStateInPandas(BackoffTimer(), RETRIES, "Update", "ProcessingTime")
+
+
+def poll(sources: DataFrame, fetch, path: str, keys: list[str], checkpoint: str, trigger: dict | None = None):
+    """2.14. The poll loop: each tick of a stream of due ``sources`` is scanned by ``fetch(batch)``, and notices not stored yet are appended at ``path``."""
+    store = append_new(keys, path)
+    writer = sources.writeStream.foreachBatch(lambda batch, n: store(fetch(batch), n)).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
 def failures_by_window(checks: DataFrame, late: str = "10 minutes", size: str = "1 hour") -> DataFrame:
     """Failures and checks by source and window, with a watermark."""
     return checks.withWatermark("checked_at", late).groupBy(F.window("checked_at", size), "source_id").agg(F.count_if(~F.col("ok")).alias("failures"), F.count("*").alias("checks"))
