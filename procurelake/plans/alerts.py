@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from procurelake.functions.times import local_label
 from procurelake.operators.normalize import VERIFIED
-from procurelake.search.match import matches_literal
+from procurelake.search.parse import literal
+from procurelake.shared import apart, stash
 
 #: Statuses that alerts look at, and tenders in one digest.
 ALERTABLE = ("NEW", "OPEN", "CLOSING_SOON", "EXTENDED", "RE_ADVERTISED")
 PER_ALERT = 25
-#: Alerts up to this number are broadcast to the tenders.
-BROADCAST_ALERTS = 50_000
 
 
 def valid_alert(keywords, provinces, categories) -> Column:
@@ -29,16 +31,45 @@ def verified_closing_within(days, as_of: Column) -> Column:
     return (confidence >= VERIFIED) & F.col("closing_at").between(as_of, as_of + F.make_dt_interval(days))
 
 
+CLAUSES = "keywords string, clause int, terms array<struct<words:array<string>,negated:boolean>>"
+
+
+def keyword_clauses(alerts: DataFrame) -> DataFrame:
+    """(keywords, clause, terms) of every distinct keyword query of the alerts, as typed and without synonyms; a query holds where one of its clauses does."""
+
+    def run(batches):
+        for batch in batches:
+            rows = [(q, n, [{"words": list(t.options[0]), "negated": t.negated} for t in clause]) for q in batch.column(0).to_pylist() for n, clause in enumerate(literal(q))]
+            columns = list(zip(*rows, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    schema = T._parse_datatype_string(CLAUSES)
+    arrow = to_arrow_schema(schema)
+    return alerts.where(F.trim(F.coalesce("keywords", F.lit(""))) != "").select("keywords").distinct().mapInArrow(run, schema)
+
+
 def keyword_tests(alerts: DataFrame, tenders: DataFrame) -> DataFrame:
-    """(keywords, tender_id) of every distinct keyword query and tender that match, as typed and without synonyms.
+    """(keywords, tender_id) of every distinct keyword query and tender that match.
 
-    The words of each query are parsed at plan time; the queries are those of the alerts, so their number is
-    the alerts' and not the tenders'.
+    A clause looks its rarest word up in the tenders' words, by an equi-join, and its other terms are tested
+    on the tenders so found. Only a clause that does nothing but exclude has to see all tenders.
     """
     words = F.transform("lexemes", lambda x: x["lexeme"])
-    queries = [r.keywords for r in alerts.where("trim(coalesce(keywords, '')) != ''").select("keywords").distinct().orderBy("keywords").collect()]
-    hits = F.array_compact(F.array(*[F.when(matches_literal(q, words), F.lit(q)) for q in queries])) if queries else F.array().cast("array<string>")
-    return tenders.select(F.col("id").alias("tender_id"), F.explode(hits).alias("keywords"))
+    bags = tenders.select(F.col("id").alias("tender_id"), F.array_distinct(words).alias("bag"), F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")).alias("joined"))
+    post = bags.select("tender_id", F.explode("bag").alias("lexeme"))
+    clauses = stash(keyword_clauses(alerts), "clauses")
+    wanted = clauses.select("keywords", "clause", F.explode(F.filter("terms", lambda t: ~t["negated"])).alias("t")).select("keywords", "clause", F.explode("t.words").alias("lexeme"))
+    counts = post.join(wanted.select("lexeme").distinct(), "lexeme", "left_semi").groupBy("lexeme").agg(F.count("*").alias("n"))
+    rarest = wanted.join(apart(counts, "lexeme"), "lexeme", "left").groupBy("keywords", "clause").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "lexeme")).alias("r"))
+    led = clauses.join(rarest.where("r.n > 0").select("keywords", "clause", F.col("r.lexeme").alias("lexeme")), ["keywords", "clause"])
+    met = led.join(post, "lexeme").join(bags, "tender_id")
+    excluding = clauses.where(F.forall("terms", lambda t: t["negated"])).crossJoin(bags)
+    has = lambda t: F.when(F.size(t["words"]) == 1, F.array_contains("bag", t["words"][0])).otherwise(F.contains("joined", F.concat(F.lit(" "), F.array_join(t["words"], " "), F.lit(" "))))
+    both = met.select("keywords", "tender_id", "terms", "bag", "joined").unionByName(excluding.select("keywords", "tender_id", "terms", "bag", "joined"))
+    return both.where(F.forall("terms", lambda t: has(t) != t["negated"])).select("keywords", "tender_id").distinct()
+
+
+ASKED = ("keywords", "provinces", "categories", "closing_within_days")
 
 
 def match_alerts(alerts: DataFrame, tenders: DataFrame, sent: DataFrame, as_of: Column, limit: int = PER_ALERT) -> DataFrame:
@@ -46,26 +77,34 @@ def match_alerts(alerts: DataFrame, tenders: DataFrame, sent: DataFrame, as_of:
 
     ``alerts(alert_id, keywords, provinces, categories, closing_within_days, active)``, ``tenders(id, lexemes,
     province, categories, status, closing_at, created_at, field_provenance)``, ``sent(alert_id, tender_id)``.
-    A condition that an alert leaves out holds for all tenders.
+    A condition that an alert leaves out holds for all tenders. Alerts that ask for the same are matched once,
+    and no further down than the most that an alert has been sent.
     """
-    live = alerts.where(F.col("active") & valid_alert("keywords", "provinces", "categories"))
+    live = alerts.where(F.col("active") & valid_alert("keywords", "provinces", "categories")).withColumn("asked", F.xxhash64(F.to_json(F.struct(*ASKED))))
+    own_sent = sent.select("alert_id", "tender_id").join(live.select("alert_id"), "alert_id", "left_semi").distinct()
+    most = own_sent.groupBy("alert_id").count().agg(F.max("count")).first()[0] or 0
+    asked = live.select("asked", *ASKED).dropDuplicates(["asked"])
     open_ = tenders.where(F.col("status").isin(*ALERTABLE))
     worded = F.trim(F.coalesce("keywords", F.lit(""))) != ""
     slim = open_.select(F.col("id").alias("tender_id"), "province", F.col("categories").alias("own_categories"), "closing_at", "created_at", "field_provenance")
-    by_words = live.where(worded).join(keyword_tests(live, open_), "keywords").join(slim, "tender_id")
-    # alerts without words are met by province or category, an equi-join on what they list
-    listed = live.where(~worded)
-    by_province = listed.where(F.size(F.coalesce("provinces", F.array().cast("array<string>"))) > 0).withColumn("province", F.explode("provinces")).join(slim, "province")
+    by_words = asked.where(worded).join(keyword_tests(asked, open_), "keywords").join(slim, "tender_id")
+    # what asks for no words is met by province or category, an equi-join on what it lists
+    listed = asked.where(~worded)
+    by_province = listed.where(F.size(F.coalesce("provinces", F.array().cast("array<string>"))) > 0).withColumn("province", F.explode(F.array_distinct("provinces"))).join(slim, "province")
     no_province = listed.where(F.coalesce(F.size("provinces"), F.lit(0)) <= 0).withColumn("one", F.explode("categories"))
-    by_category = no_province.join(slim.withColumn("one", F.explode(F.array_distinct("own_categories"))), "one").drop("one")
-    cols = [*alerts.columns, *[c for c in slim.columns if c != "province"], "province"]
-    met = by_words.select(*cols).unionByName(by_province.select(*cols)).unionByName(by_category.select(*cols)).dropDuplicates(["alert_id", "tender_id"])
+    by_category = no_province.join(slim.withColumn("one", F.explode(F.array_distinct("own_categories"))), "one").drop("one").dropDuplicates(["asked", "tender_id"])
+    cols = [*asked.columns, *slim.columns]
+    met = by_words.select(*cols).unionByName(by_province.select(*cols)).unionByName(by_category.select(*cols))
     in_province = (F.coalesce(F.size("provinces"), F.lit(0)) <= 0) | F.array_contains("provinces", F.col("province"))
     in_category = (F.coalesce(F.size("categories"), F.lit(0)) <= 0) | F.coalesce(F.arrays_overlap("categories", "own_categories"), F.lit(False))
     in_time = F.col("closing_within_days").isNull() | F.coalesce(verified_closing_within(F.col("closing_within_days"), as_of), F.lit(False))
-    fresh = met.where(F.coalesce(in_province, F.lit(False)) & in_category & in_time).join(sent.select("alert_id", "tender_id"), ["alert_id", "tender_id"], "left_anti")
-    order = Window.partitionBy("alert_id").orderBy(F.col("closing_at").asc_nulls_last(), F.col("created_at").desc(), F.col("tender_id"))
-    return fresh.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("alert_id", "tender_id", "rank")
+    order = [F.col("closing_at").asc_nulls_last(), F.col("created_at").desc(), F.col("tender_id")]
+    fit = met.where(F.coalesce(in_province, F.lit(False)) & in_category & in_time).select("asked", "tender_id", "closing_at", "created_at")
+    # a literal bound lets each task keep its own first rows before the shuffle
+    first = fit.withColumn("k", F.row_number().over(Window.partitionBy("asked").orderBy(*order))).where(F.col("k") <= limit + most).drop("k")
+    fresh = live.select("alert_id", "asked").join(first, "asked").join(own_sent, ["alert_id", "tender_id"], "left_anti")
+    ranked = fresh.withColumn("rank", F.row_number().over(Window.partitionBy("alert_id").orderBy(*order)))
+    return ranked.where(F.col("rank") <= limit).select("alert_id", "tender_id", "rank")
 
 
 def digests(matched: DataFrame, tenders: DataFrame) -> DataFrame:
@@ -78,6 +117,47 @@ def digests(matched: DataFrame, tenders: DataFrame) -> DataFrame:
     return rows.groupBy("alert_id").agg(F.count("*").alias("n"), F.array_join(F.transform(listed, lambda x: x["line"]), "\n").alias("body"))
 
 
+#: The wording of a digest.
+DIGEST = {
+    "subject": "{}: %d new tender%s for “%s”", "intro": "%d new tender%s your alert (%s):", "label": "your saved search", "buyer": "Unknown buyer",
+    "unverified": "  Closing date UNVERIFIED — verify at source before relying on it", "briefing": "  ⚠ COMPULSORY briefing — missing it disqualifies your bid", "undated": "no date published",
+    "about": "{} aggregates official sources and always links to the original.", "licence": "eTender OCDS data © National Treasury, CC BY 4.0.",
+}
+
+
+def render_digests(matched: DataFrame, tenders: DataFrame, alerts: DataFrame, brand: str, base_url: str = "") -> DataFrame:
+    """OP-D14. (alert_id, subject, body) for each alert with matches.
+
+    ``tenders(id, title, tender_number, buyer_name, province, closing_at, field_provenance, compulsory_briefing,
+    original_url)``, ``alerts(alert_id, keywords, user_name)``. A closing date below the threshold is withheld,
+    a compulsory briefing is warned of, and every tender has a link if one is known. ``brand`` signs the text.
+    """
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    some = lambda c: text(c) != ""
+    verified = F.coalesce(F.element_at("field_provenance", "closing_at")["confidence"], F.lit(0.0)) >= VERIFIED
+    link = F.concat(F.lit(f"{base_url}/tender/"), F.col("id").cast("string")) if base_url else text("original_url")
+    lines = F.array(
+        F.concat(F.lit("• "), F.when(some("tender_number"), F.concat("tender_number", F.lit(" — "))).otherwise(""), text("title")),
+        F.concat(F.lit("  "), F.when(some("buyer_name"), F.col("buyer_name")).otherwise(DIGEST["buyer"]), F.when(some("province"), F.concat(F.lit(" · "), F.col("province"))).otherwise("")),
+        F.when(verified, F.concat(F.lit("  Closes: "), F.coalesce(local_label("closing_at"), F.lit(DIGEST["undated"])))).otherwise(DIGEST["unverified"]),
+        F.when(F.col("compulsory_briefing"), F.lit(DIGEST["briefing"])),
+        F.when(link != "", F.concat(F.lit("  "), link)),
+        F.lit(""),
+    )
+    rows = matched.join(tenders.select(F.col("id").alias("tender_id"), F.array_join(lines, "\n").alias("entry")), "tender_id")
+    listed = rows.groupBy("alert_id").agg(F.count("*").cast("int").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "entry"))), lambda x: x["entry"]), "\n").alias("entries"))
+    named = listed.join(alerts.select("alert_id", "keywords", "user_name"), "alert_id")
+    trimmed = F.trim(text("keywords"))
+    label = F.when(trimmed != "", trimmed).otherwise(DIGEST["label"])
+    foot = [F.lit("—"), F.lit(DIGEST["about"].format(brand)), F.lit(DIGEST["licence"]), F.lit("Manage your alerts: " + (f"{base_url}/alerts" if base_url else f"{brand} → Alerts"))]
+    hello = F.concat(F.lit("Hi"), F.when(some("user_name"), F.concat(F.lit(" "), F.col("user_name"))).otherwise(""), F.lit(","))
+    intro = F.format_string(DIGEST["intro"], "n", F.when(F.col("n") == 1, " matches").otherwise("s match"), label)
+    return named.select(
+        "alert_id", F.format_string(DIGEST["subject"].format(brand), "n", F.when(F.col("n") == 1, "").otherwise("s"), label).alias("subject"),
+        F.concat_ws("\n", hello, F.lit(""), intro, F.lit(""), F.col("entries"), *foot).alias("body"),
+    )
+
+
 def alert_totals(alerts: DataFrame, events: DataFrame) -> DataFrame:
     """OP-J11. Each alert with its events counted and the last one's time."""
     sums = events.groupBy("alert_id").agg(F.count("*").alias("sent"), F.max("sent_at").alias("last_sent"))

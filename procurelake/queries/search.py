@@ -92,8 +92,9 @@ def filter_compose_page(spark, sf_dir):
 
 def search_page(spark, sf_dir):
     """A whole search with rank and highlights; cover density and stems have no SQL."""
-    t = M.with_index(tenders(spark, sf_dir), {"title": "A", "tender_number": "A", "buyer_name": "B"}, stemmed=True)
-    page = M.search(t, "supply item", F.lit(TENDER_AS_OF).cast("timestamp_ntz"), limit=50, stemmed=True)
+    rows = tenders(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism, "id")  # a table of one small file is one task
+    t, stored = M.stored_index(rows, {"title": "A", "tender_number": "A", "buyer_name": "B"}, stemmed=True)
+    page = M.search(t, "supply item", F.lit(TENDER_AS_OF).cast("timestamp_ntz"), limit=50, stemmed=True, stored=stored)
     shown = M.with_headline(page, "supply item", body="buyer_name")
     return shown.select("id", "title", F.round("score", 9).alias("score"), "title_highlight", "snippet")
 

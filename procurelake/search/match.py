@@ -16,6 +16,7 @@ from procurelake.functions.text import END_MARK, MARK, html_escape
 from procurelake.functions.vectors import cosine_at_least_zero
 from procurelake.search.parse import Term, expand, literal
 from procurelake.search.stem import stem
+from procurelake.shared import stash
 
 #: Weights of the labels, of the signals, and the points of the urgency curve.
 LABELS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
@@ -67,6 +68,32 @@ def postings(indexed: DataFrame, key: str = "id") -> DataFrame:
     return flat.groupBy(F.col("l.lexeme").alias("lexeme"), key).agg(F.array_sort(F.collect_list(F.struct("l.pos", "l.label"))).alias("positions"))
 
 
+def stored_index(df: DataFrame, fields: dict[str, str], *, stemmed: bool = False, key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """OP-X1 at write time: (rows with their lexemes, postings in order of lexeme), both written, so that a search reads no text and of the postings only its words'."""
+    indexed = stash(with_index(df, fields, stemmed=stemmed), "index")
+    return indexed, stash(postings(indexed, key).repartitionByRange("lexeme", key).sortWithinPartitions("lexeme", key), "postings")
+
+
+def matching_ids(stored: DataFrame, terms: list[Term], *, stemmed: bool = False, key: str = "id") -> DataFrame:
+    """The ids that all ``terms`` hold for, from the postings of their words; one term at least must ask for something."""
+    form = stem if stemmed else str
+    options = [[[form(w) for w in o] for o in t.options] for t in terms]
+    words = sorted({w for each in options for o in each for w in o})
+    at = {w: f"__at_{i}" for i, w in enumerate(words)}
+    places = [F.flatten(F.collect_list(F.when(F.col("lexeme") == w, F.transform("positions", lambda p: p["pos"])))).alias(at[w]) for w in words]
+    rows = stored.where(F.col("lexeme").isin(words)).groupBy(key).agg(*places)
+
+    def sequence(o: list[str]) -> Column:
+        """The words stand side by side somewhere."""
+        return F.exists(at[o[0]], lambda p: reduce(lambda a, b: a & b, [F.array_contains(at[w], p + i) for i, w in enumerate(o)]))
+
+    def holds(term: Term, each: list[list[str]]) -> Column:
+        found = reduce(lambda a, b: a | b, [sequence(o) if len(o) > 1 else F.size(at[o[0]]) > 0 for o in each])
+        return ~found if term.negated else found
+
+    return rows.where(reduce(lambda a, b: a & b, [holds(t, each) for t, each in zip(terms, options, strict=True)])).select(key)
+
+
 def term_matches(term: Term, words: Column, stemmed: bool = False) -> Column:
     """A term in an array of words in order: single words by membership, sequences in the joined text."""
     form = stem if stemmed else str
@@ -119,10 +146,12 @@ def keyword_rank(query: str, lexemes: str = "lexemes", *, labels: dict[str, floa
     table = labels or LABELS
 
     def run(column: pa.Array) -> pa.Array:
-        ranks = [covers(groups, x.as_py() or [], table) if groups else 0.0 for x in column]
+        ranks = [covers(groups, hits or [], table) if groups else 0.0 for hits in column.to_pylist()]
         return pa.array([r / (1 + r) for r in ranks], pa.float64())
 
-    return F.arrow_udf(run, T.DoubleType())(F.col(lexemes))
+    # only the query's own words leave the JVM
+    asked = sorted(set().union(*groups))
+    return F.arrow_udf(run, T.DoubleType())(F.filter(lexemes, lambda x: x["lexeme"].isin(asked)))
 
 
 def urgency(closing_at, as_of) -> Column:
@@ -188,20 +217,23 @@ def filters(*, province=None, status=None, compulsory=None, buyer=None, closing_
     return reduce(lambda a, b: a & b, tests)
 
 
-def match_relation(indexed: DataFrame, query: str | None, *, stemmed: bool = False, synonyms: dict | None = None, **conditions) -> tuple[DataFrame, list[Term]]:
+def match_relation(indexed: DataFrame, query: str | None, *, stemmed: bool = False, synonyms: dict | None = None, stored: DataFrame | None = None, **conditions) -> tuple[DataFrame, list[Term]]:
     """OP-X11, OP-P8, OP-A11. The rows that a search finds, and its terms; a blank or noise query finds all rows.
 
-    Counts are taken over this relation: it has no rank, vector or highlight.
+    Counts are taken over this relation: it has no rank, vector or highlight. With the ``stored`` postings the
+    rows are looked up; a query that only excludes has to read all rows' lexemes.
     """
     terms = expand(query, synonyms)
     found = indexed.where(filters(**conditions))
-    if terms:
+    if terms and stored is not None and not all(t.negated for t in terms):
+        found = found.join(matching_ids(stored, terms, stemmed=stemmed), "id", "left_semi")
+    elif terms:
         words = F.transform("lexemes", lambda x: x["lexeme"])
         found = found.where(matches(terms, words, stemmed))
     return found, terms
 
 
-def search(indexed: DataFrame, query: str | None, as_of: Column, *, limit: int = 20, offset: int = 0, vector=None, embeddings: DataFrame | None = None, model: str | None = None, stemmed: bool = False, synonyms: dict | None = None, **conditions) -> DataFrame:
+def search(indexed: DataFrame, query: str | None, as_of: Column, *, limit: int = 20, offset: int = 0, vector=None, embeddings: DataFrame | None = None, model: str | None = None, stemmed: bool = False, synonyms: dict | None = None, stored: DataFrame | None = None, **conditions) -> DataFrame:
     """OP-X11, OP-X12. One page of results, best first; ``score`` is null when browsing.
 
     The highlight is put on afterwards, by ``with_headline`` on this page. Embeddings are joined for their
@@ -209,7 +241,7 @@ def search(indexed: DataFrame, query: str | None, as_of: Column, *, limit: int =
     """
     if not 1 <= limit <= MOST_ROWS or offset < 0:
         raise ValueError(f"limit is 1 to {MOST_ROWS}, offset not negative")
-    found, terms = match_relation(indexed, query, stemmed=stemmed, synonyms=synonyms, as_of=as_of, **conditions)
+    found, terms = match_relation(indexed, query, stemmed=stemmed, synonyms=synonyms, stored=stored, as_of=as_of, **conditions)
     if not terms:
         return found.withColumn("score", F.lit(None).cast("double")).orderBy(*browse_order()).offset(offset).limit(limit)
     similarity = None
