@@ -1,42 +1,22 @@
-"""Plumbing that the operators share: shared-folder tables, Arrow column builders, connected components.
+"""Plumbing that the operators share: Arrow column builders, groups of bounded size, names that meet no column's.
 
-Nothing here keeps data on the driver; tables that several jobs read are written to the folder that the
-cluster names in ``spark.checkpoint.dir`` and read back, which also cuts lineage so that a lost executor
-costs one stage and not the whole history.
+Nothing here keeps data on the driver; tables that several jobs read are written with ``stash`` to the folder
+that the cluster names in ``spark.checkpoint.dir`` and read back, which also cuts lineage.
 """
 
 from __future__ import annotations
 
-import itertools
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from procurelake.shared import apart, components, shared_folder, stash
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see. Only a session of one process may leave it unnamed (tests); it gets one of its own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir has to name a folder that all executors see")
-        named = "file://" + tempfile.mkdtemp(prefix="procurelake-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back (lineage ends here)."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["append_columns", "apart", "components", "dealt_in_cells", "local_components", "per_group", "quoted", "shared_folder", "slices", "stash", "text_or_empty", "unused"]
 
 
 def quoted(column: str) -> str:
@@ -98,42 +78,6 @@ def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(quoted(column)).cast("string"), F.lit(""))
 
 
-def components(edges: DataFrame, name: str = "components", max_rounds: int = 60) -> DataFrame:
-    """Connected components of ``edges(a, b)`` by alternating large-star and small-star steps.
-
-    Returns (node, component): every node that occurs in an edge, with the smallest node reachable from it.
-    Each step is a grouped minimum (combined before the shuffle) and a join back, so a hub with a third of
-    all edges is never one task's group. Rounds end when the edges are stars (every node has one parent and
-    no parent has one), of which the driver sees two numbers; edges that are not settled after ``max_rounds``
-    (their number falls with the logarithm of the longest path) are an error. Self-loops and nulls are ignored;
-    an empty edge table gives an empty result.
-    """
-    a, b = F.col("a"), F.col("b")
-
-    def settled(df: DataFrame) -> bool:
-        roles = df.select(F.explode(F.array(F.struct(a.alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(b.alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("r"))
-        by_node = roles.groupBy("r.x").agg(F.sum("r.up").alias("up"), F.max("r.down").alias("down"))
-        return by_node.where((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))).isEmpty()
-
-    clean = edges.where(a.isNotNull() & b.isNotNull() & (a != b))
-    now = stash(clean.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), name)
-    for done in itertools.count():
-        if settled(now):
-            break
-        if done == max_rounds:
-            raise RuntimeError(f"components are not settled after {max_rounds} rounds")
-        both = now.unionByName(now.select(b.alias("a"), a.alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        # large star: every larger neighbour of a node points to the smallest node around it
-        large = both.where(b > a).join(low, "a").where(b != F.col("m")).select(b.alias("a"), F.col("m").alias("b"))
-        # small star: every smaller neighbour, and the node itself, points to the smallest
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct(b.alias("a"), F.col("m").alias("b")), F.struct(a.alias("a"), F.col("m").alias("b")))).alias("e"))
-        now = stash(small.select("e.a", "e.b").where(a != b).distinct(), name)
-    roots = now.select(b.alias("node"), b.alias("component")).distinct()
-    return now.select(a.alias("node"), b.alias("component")).unionByName(roots)
-
-
 def per_group(df: DataFrame, key: str, columns: Sequence[str], schema: str, fn: Callable[..., Sequence | None], out_rows: int = 8192) -> DataFrame:
     """Run ``fn`` on the rows of each value of ``key`` (an integer column), the arrays of ``columns`` given as its arguments.
 
