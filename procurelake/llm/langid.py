@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from procurelake.llm.shared import append_columns, stash, text_or_empty
+from procurelake.llm.shared import append_columns, apart, quoted, stash, text_or_empty, unused
 from procurelake.llm.url_filter import url_parts
 from procurelake.llm.words import mix
 
@@ -35,8 +35,12 @@ def trigrams(text: str) -> np.ndarray:
 
 
 def fit_languages(df: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
-    """(languages, log probabilities by language and bucket), from the trigram counts of all texts with a language."""
-    sent = df.select(text_or_empty(text).alias("text"), F.col(lang).alias("lang")).where(F.col("lang").isNotNull())
+    """(languages, log probabilities by language and bucket), from the trigram counts of all texts with a language.
+
+    Texts without one are left out, null texts count as empty, repeated rows count each; languages are in
+    alphabetical order. An empty table has no languages.
+    """
+    sent = df.select(text_or_empty(text).alias("text"), F.col(quoted(lang)).alias("lang")).where(F.col("lang").isNotNull())
 
     def count(batches):
         counts: dict[str, np.ndarray] = {}
@@ -84,11 +88,12 @@ def identify(df: DataFrame, languages: list[str], table: np.ndarray, *, url: str
     each; whole pages are read; an empty table stays empty, and without languages both results are null.
     """
     n = len(languages)
-    host, _ = url_parts(F.col(url))
-    declared = F.lower(F.regexp_extract(F.col(html), r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", 1))
+    host, _ = url_parts(F.col(quoted(url)))
+    declared = F.lower(F.regexp_extract(F.col(quoted(html)), r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", 1))
     outs = ["host", "declared", "text_lang", "lang", "confidence"]
-    keep = [c for c in df.columns if c not in outs and c != html]
+    names = {*outs, html.lower()}
     if not n:
+        keep = [F.col(quoted(c)) for c in df.columns if c.lower() not in names]
         return df.select(*keep, host.alias("host"), declared.alias("declared"), *[F.lit(None).cast("string").alias(c) for c in outs[2:4]], F.lit(None).cast("double").alias("confidence"))
     broad = df.sparkSession.sparkContext.broadcast(table)
 
@@ -106,39 +111,41 @@ def identify(df: DataFrame, languages: list[str], table: np.ndarray, *, url: str
         return compute
 
     parts = F.split("host", r"\.")
-    ready = df.select(*keep, F.coalesce(host, F.lit("")).alias("host"), F.coalesce(declared, F.lit("")).alias("declared"), page_text(F.col(html)).alias("__text"))
-    scored = append_columns(ready, ["__text"], [T.StructField("__logs", T.ArrayType(T.DoubleType()))], make, drop=["__text"])
+    # the columns that pass through travel as one, so that none meets a name of this function's own
+    passed = F.struct(*[F.col(quoted(c)) for c in df.columns if c.lower() not in names], F.lit(None).cast("int").alias(unused(df, "none"))).alias("row")
+    ready = df.select(passed, F.coalesce(host, F.lit("")).alias("host"), F.coalesce(declared, F.lit("")).alias("declared"), page_text(F.col(quoted(html))).alias("text"))
+    scored = append_columns(ready, ["text"], [T.StructField("logs", T.ArrayType(T.DoubleType()))], make, drop=["text"])
     known = F.when(F.col("declared").isin(*languages), F.col("declared")).when(F.col("declared") == "", "").otherwise("other")
-    scored = scored.withColumn("__post", softmax(F.col("__logs"), n)).withColumn("__said", known)
+    scored = scored.withColumn("post", softmax(F.col("logs"), n)).withColumn("said", known)
     scored = stash(scored, "pages")
 
     # what the texts say, by declaration (a bounded number of them), host, domain and suffix
-    said = {r["__said"]: r["sums"] for r in scored.groupBy("__said").agg(sums("__post", n, "sums")).collect()}
+    said = {r["said"]: r["sums"] for r in scored.groupBy("said").agg(sums("post", n, "sums")).collect()}
     total = np.sum(list(said.values()), axis=0) if said else np.ones(n)
     share = total / total.sum()
     trust = {}
     for value, counts in said.items():
         of_all = sum(counts) / total.sum()
         trust[value] = np.log((np.array(counts) + DECLARED * of_all) / (total + DECLARED))
-    hosts = scored.groupBy("host").agg(sums("__post", n, "host_sums"), F.count("*").alias("host_n"))
+    hosts = scored.groupBy("host").agg(sums("post", n, "host_sums"), F.count("*").alias("host_n"))
     hosts = hosts.withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.element_at(parts, -1))
     domains = hosts.groupBy("domain").agg(sums("host_sums", n, "domain_sums"), F.sum("host_n").alias("domain_n"))
     suffixes = hosts.groupBy("suffix").agg(sums("host_sums", n, "suffix_sums"))
     hosts = hosts.join(domains, "domain").join(suffixes, "suffix").drop("domain", "suffix")
-    judged = scored.join(hosts, "host")
+    judged = scored.join(apart(hosts, "host"), "host")
 
     def fused(i: int):
-        own = F.col("__post")[i]
+        own = F.col("post")[i]
         domain = (F.col("domain_sums")[i] - own + PARENT * float(share[i])) / (F.col("domain_n") - 1 + PARENT)
         prior = (F.col("host_sums")[i] - own + PARENT * domain) / (F.col("host_n") - 1 + PARENT)
         suffix = (F.col("suffix_sums")[i] - own + DECLARED * float(share[i])) / (float(total[i]) - own + DECLARED)
-        word = F.create_map(*[F.lit(x) for v, t in trust.items() for x in (v, float(t[i]))])[F.col("__said")] if trust else F.lit(0.0)
-        return F.col("__logs")[i] + F.log(F.greatest(prior, F.lit(1e-12))) + F.log(F.greatest(suffix, F.lit(1e-12))) + word
+        word = F.create_map(*[F.lit(x) for v, t in trust.items() for x in (v, float(t[i]))])[F.col("said")] if trust else F.lit(0.0)
+        return F.col("logs")[i] + F.log(F.greatest(prior, F.lit(1e-12))) + F.log(F.greatest(suffix, F.lit(1e-12))) + word
 
-    names = F.array(*[F.lit(x) for x in languages])
-    judged = judged.withColumn("__all", softmax(F.array(*[fused(i) for i in range(n)]), n))
-    pick = lambda c: F.element_at(names, F.array_position(c, F.array_max(c)).cast("int"))
-    return judged.select(*keep, "host", "declared", pick(F.col("__post")).alias("text_lang"), pick(F.col("__all")).alias("lang"), F.array_max("__all").alias("confidence"))
+    spelled = F.array(*[F.lit(x) for x in languages])
+    judged = judged.withColumn("all", softmax(F.array(*[fused(i) for i in range(n)]), n))
+    pick = lambda c: F.element_at(spelled, F.array_position(c, F.array_max(c)).cast("int"))
+    return judged.select(*[F.col("row")[c].alias(c) for c in df.columns if c.lower() not in names], "host", "declared", pick(F.col("post")).alias("text_lang"), pick(F.col("all")).alias("lang"), F.array_max("all").alias("confidence"))
 
 
 def op8_langid(spark, sf_dir: str) -> DataFrame:

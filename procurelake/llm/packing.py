@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from procurelake.llm.bpe import load, tokenizer_broadcast
-from procurelake.llm.shared import quoted, slices, text_or_empty, unused
+from procurelake.llm.bpe import encode, load, tokenizer_broadcast
+from procurelake.llm.shared import quoted, slices, text_or_empty
 
 #: Pieces that wait in a task while a sequence is filled.
 WINDOW = 768
@@ -163,8 +163,8 @@ def pack(
     n_prompt = F.coalesce(F.col(quoted(prompt)).cast("long"), F.lit(0)) if prompt else F.lit(0).cast("long")
     spec = tokenizer_broadcast(df, tokenizer) if tokenizer else None
     source = text_or_empty(ids) if tokenizer else F.col(quoted(ids))
-    sent = df.select(*keep, source.alias(unused(df, "ids")), n_prompt.alias(unused(df, "prompt")))
-    schema = T.StructType([*df.select(*keep).schema.fields, *made.fields])
+    sent = df.select(*[c.alias(f"c{i}") for i, c in enumerate([*keep, source, n_prompt])])
+    schema, passed = T.StructType([*df.select(*keep).schema.fields, *made.fields]), len(keep)
     end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
 
     def run(batches):
@@ -193,15 +193,15 @@ def pack(
 
         def build(kept, out):
             columns = []
-            for k, field in enumerate(schema.fields[: len(keep)]):
+            for k in range(passed):
                 columns.append(pa.array([b.column(k)[i].as_py() for b, i in kept], kept[0][0].column(k).type))
             kinds = [pa.int64()] * 6 + [pa.binary()]
             return pa.RecordBatch.from_arrays(columns + [pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=schema.names)
 
         def feed(batch):
             nonlocal seen
-            small = batch.select(range(len(keep)))
-            values, prompts = batch.column(len(keep)).to_pylist(), batch.column(len(keep) + 1).to_pylist()
+            small = batch.select(range(passed))
+            values, prompts = batch.column(passed).to_pylist(), batch.column(passed + 1).to_pylist()
             encoded = bpe.encode_texts(values) if bpe else values
             for i, (raw, n) in enumerate(zip(encoded, prompts, strict=True)):
                 raw = (raw or b"") + end
@@ -229,6 +229,29 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     )
 
 
+def instruction_examples(conversations: DataFrame, tokenizer: str) -> DataFrame:
+    """(conv_id, turn, ids, prompt_tokens): each answer of ``conversations(conv_id, turn, role, text)`` behind the turn before it, which bears no loss.
+
+    Answers are turns of the role ``assistant``; one that opens a conversation has no prompt. Turns meet by
+    conversation and number, so a conversation with a third of all turns is no group of one task; repeated
+    turns make an example for each pair. Null texts are empty; rows without a conversation or number have no prompt.
+    """
+    turns = conversations.select("conv_id", "turn", "role", text_or_empty("text").alias("text"))
+    asked = turns.where("role is distinct from 'assistant'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("asked"))
+    both = turns.where("role = 'assistant'").drop("role").join(asked, ["conv_id", "turn"], "left").withColumn("asked", F.coalesce("asked", F.lit("")))
+    coded = encode(encode(both, "asked", "prompt_ids", tokenizer=tokenizer, packed=True, drop=["asked"]), "text", "answer_ids", tokenizer=tokenizer, packed=True, drop=["text"])
+    return coded.select("conv_id", "turn", F.concat("prompt_ids", "answer_ids").alias("ids"), (F.octet_length("prompt_ids") / 4).cast("long").alias("prompt_tokens"))
+
+
+def pack_conversations(conversations: DataFrame, tokenizer: str | None = None, *, max_tokens: int = 2048, max_segments: int = 64, max_loss_tokens: int = 1024) -> DataFrame:
+    """Pack instruction data under all three limits; one row per piece, with conv_id and turn. An empty table gives an empty result."""
+    import public_tokenizers
+
+    tokenizer = tokenizer or public_tokenizers.path("word_bpe_49k.json")
+    examples = instruction_examples(conversations, tokenizer)
+    return pack(examples, max_tokens=max_tokens, max_segments=max_segments, max_loss_tokens=max_loss_tokens, prompt="prompt_tokens", end_id=1)
+
+
 def op4_packing(spark, sf_dir: str) -> DataFrame:
     """Pack every document into sequences of 2048 tokens; one row per piece."""
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -46,9 +46,9 @@ def append_columns(
     """
     gone = {x.lower() for x in (*(f.name for f in fields), *drop)}
     keep = [F.col(quoted(c)) for c in df.columns if c.lower() not in gone]
-    # inputs stand last and are taken by place, so their names meet nobody's
     given = [F.col(quoted(c)) if isinstance(c, str) else c for c in inputs]
-    sent = df.select(*keep, *[c.alias(unused(df, f"in{i}")) for i, c in enumerate(given)])
+    # columns are taken by place: on the way their names meet nobody's, whatever characters they have
+    sent = df.select(*[c.alias(f"c{i}") for i, c in enumerate([*keep, *given])])
     schema = T.StructType([*df.select(*keep).schema.fields, *fields])
     n, names = len(keep), [f.name for f in schema.fields]
 

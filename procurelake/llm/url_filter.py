@@ -85,7 +85,8 @@ def filter_urls(df: DataFrame, rules: DataFrame, url: str = "url", default: str
     met = expressions.withColumn("short", short_hash(F.col("digest"))).join(known, "short").where(F.col("digest") == F.col("rule_digest"))
     order = F.struct((F.col("host_length") + F.col("path_length")).alias("length"), "host_length", "action", "rule")
     best = met.groupBy("host", "path").agg(F.max(order).alias("best"))
-    judged = rows.join(best, ["host", "path"], "left")
+    # dealt out anew, so that the join can split the rows of a host and path that very many share
+    judged = rows.join(best.repartition(F.xxhash64("path", "host")), ["host", "path"], "left")
     return judged.select(
         *rows.columns, F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict")
     )

@@ -1,0 +1,404 @@
+"""Whole queries of operators that SQL cannot express, against plain versions; edge cases that operators share."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+from math import exp, log2
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from procurelake.llm import bpe, exact_dedup, langid, near_join, packing, quality, secrets, toxicity, vector_dedup
+from procurelake.llm.packing import Packer, instruction_examples, pack_conversations
+from procurelake.llm.shared import unused
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+
+
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(PATH)
+
+
+def documents(spark, folder, texts):
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{folder}/documents.parquet")
+
+
+# secrets
+
+
+def plain_base(text):
+    out = []
+    for m in re.finditer(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text, re.I | re.A):
+        if len(m[2]) >= 12:
+            out.append(("assign", m.start(), m.end()))
+    out += [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    return out + [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+
+
+def plain_spans(text):
+    """Windows counted anew at each place; what is explained is cut out character by character."""
+    found = plain_base(text)
+    for cls in secrets.CLASSES:
+        added = []
+        for run in re.finditer(f"[{cls.chars}]{{{cls.width},}}", text):
+            r = run[0]
+            if re.search(secrets.ALLOW[0], r) or re.search(secrets.ALLOW[1], r):
+                continue
+            explained = set()
+            for m in re.finditer(secrets.ALLOW[2], r):
+                lo, hi = m.span()
+                if len(set(m[0])) > 1:
+                    for _ in range(2 * cls.width):
+                        lo -= lo > 0 and r[lo - 1] not in "-_/=+"
+                        hi += hi < len(r) and r[hi] not in "-_/=+"
+                explained |= {*range(lo, hi)}
+            covered = set()
+            for i in range(len(r) - cls.width + 1):
+                w = r[i : i + cls.width]
+                entropy = -sum(c / cls.width * log2(c / cls.width) for c in Counter(w).values())
+                if not explained & {*range(i, i + cls.width)} and entropy >= cls.bits - 1e-9 and all(set(w) & set(n) for n in cls.needs):
+                    covered |= {*range(i, i + cls.width)}
+            # windows that touch or overlap are one span, as long as no explained part lies between them
+            start = None
+            for i in range(len(r) + 1):
+                if i in covered and start is None:
+                    start = i
+                elif i not in covered and start is not None:
+                    added.append((cls.kind, run.start() + start, run.start() + i))
+                    start = None
+        found += [(k, s, e) for k, s, e in added if not any(a < e and s < b for _, a, b in found)]
+    order = ["assign", "access", "hex", "entropy_hex", "entropy_key"]
+    return sorted(found, key=lambda x: (x[1], order.index(x[0])))
+
+
+def secret_texts():
+    rng = random.Random(11)
+    key = lambda n, chars="abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789": "".join(rng.choice(chars) for _ in range(n))
+    parts = [
+        lambda: f"password = '{key(rng.randint(8, 20))}'", lambda: f'API_KEY: "{key(14)}"', lambda: "AKIA" + key(rng.randint(12, 18), "ABCDEFGHIJ0123456789"), lambda: key(rng.randint(12, 40), "0123456789abcdef"),
+        lambda: key(rng.randint(18, 60)), lambda: f"/srv/example/{key(24)}", lambda: f"{key(22)}{'A' * rng.randint(5, 7)}{key(22)}", lambda: "0" * rng.randint(15, 30), lambda: "123e4567-e89b-12d3-a456-426614174000",
+        lambda: "word-and-word_and/word-and-more", lambda: f"dummy{key(30)}", lambda: key(30, "0123456789ABCDEF"), lambda: "é plain wörds", lambda: f"{key(21)}-{key(21)}=changeme-{key(25)}",
+    ]
+    return [None, "", *[" ".join(rng.choice(parts)() for _ in range(rng.randint(1, 8))) for _ in range(250)], "0" * 21, "a" * 50_000 + key(30)]
+
+
+def test_op5_against_plain_version(spark, tmp_path):
+    texts = secret_texts()
+    documents(spark, tmp_path, texts)
+    got = {r.doc_id: r for r in secrets.op5_secrets(spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        spell = lambda spans: ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
+        spans = plain_spans(t or "")
+        base = [x for x in spans if x[0] in secrets.BASE_KINDS]
+        r = got[i]
+        assert r.spans == spell(spans), t
+        assert r.base_sha256 == hashlib.sha256(spell(base).encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(x[0] == k for x in base) for k in secrets.BASE_KINDS)
+    assert sum(len(r.spans) > 0 for r in got.values()) > 150
+
+
+def test_runs_of_one_character_have_no_entropy():
+    """One more equal character than the window is wide was an error once."""
+    assert secrets.Scanner(secrets.CLASSES, ()).spans("0" * 30) == [("hex", 0, 30)]
+    assert list(secrets.entropy_windows("z" * 21, secrets.CLASSES[1])) == []
+
+
+# tokens
+
+
+def test_op1_columns(spark, tmp_path, library):
+    texts = [None, "", "Don't stop; it's 42 o'clock!", "ÄÖ ǅ x²", "<|endoftext|> end", "long " * 4000, "'s'll 'Re"]
+    documents(spark, tmp_path, texts)
+    for r in bpe.op1_bpe(spark, str(tmp_path)).collect():
+        ids = library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_words_that_come_again(library, monkeypatch):
+    """A table of known words that is full over and over changes no ids."""
+    monkeypatch.setattr(bpe, "KNOWN_WORDS", 6)
+    model = bpe.WordBpe(open(PATH, encoding="utf-8").read())
+    texts = ["a b c d", "e f g h a", "a e i j k l m", "b a", "it's a b's"]
+    for t in texts * 3:
+        assert model.encode_texts([t])[0] == np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_ties_go_to_the_piece_that_waits_first():
+    packer = Packer(10, 9, 10, window=6)
+    rows = [r for i in range(8) for r in packer.feed(i, 5, 0)] + list(packer.finish())
+    placed = sorted((s, o, e) for e, _, _, _, s, o in rows)
+    assert [e for _, _, e in placed] == list(range(8))
+
+
+def test_instruction_data_keeps_all_three_limits(spark, library):
+    turns = []
+    for c in range(40):
+        turns += [(c, 0, "user", "please " * (c + 3)), (c, 1, "assistant", f"answer {c} " * (c % 7 + 1)), (c, 2, "user", None), (c, 3, "assistant", "done")]
+    turns += [(99, 0, "assistant", "opens"), (99, 5, "user", "nobody answers"), (None, 1, "assistant", "alone"), (7, 1, "assistant", "again")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(3)
+    examples = instruction_examples(df, PATH).collect()
+    assert len(examples) == 40 * 2 + 3
+    count = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    one = next(r for r in examples if (r.conv_id, r.turn) == (5, 1))
+    assert one.prompt_tokens == count("please " * 8) and len(one.ids) // 4 == one.prompt_tokens + count("answer 5 " * 6)
+    assert next(r for r in examples if r.conv_id == 99).prompt_tokens == 0
+    rows = pack_conversations(df, max_tokens=64, max_segments=3, max_loss_tokens=20).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.sequence_id, []).append(r)
+    assert all(sum(r.length for r in s) <= 64 and len(s) <= 3 and sum(r.loss_tokens for r in s) <= 20 for s in by.values())
+    assert sum(r.length for r in rows) == sum(len(r.ids) // 4 + 1 for r in examples)
+    assert sum(r.loss_tokens for r in rows) == sum(len(r.ids) // 4 + 1 - r.prompt_tokens for r in examples)
+    assert pack_conversations(df.limit(0)).count() == 0
+
+
+# index, vectors, near join
+
+
+def test_directories_below_a_full_directory(spark):
+    """Slots that no depth of their directory relieves get one of their own; texts are found through all of them."""
+    df = spark.createDataFrame([(i, f"text {i % 60}") for i in range(120)], "doc_id long, text string")
+    crowded = lambda t: F.shiftrightunsigned(F.xxhash64(t), 5)  # noqa: E731  the leading five bits are the same
+    index, found = exact_dedup.open_index(df, "doc_id", "text", 4, 4, crowded)
+    rows = index.collect()
+    assert len(found) > 1 and len(rows) == 60 and max(r.depth for r in rows) > 4 and min(r.depth for r in rows) > 4
+    assert max(Counter(r.bucket for r in rows).values()) <= 4
+    got = exact_dedup.exact_dedup(df, capacity=4, max_depth=4, key=crowded).collect()
+    assert all((r.keep_id, r.group_size, r.kept) == (r.doc_id % 60 + 60, 2, r.doc_id >= 60) for r in got)
+    same = lambda t: F.lit(7).cast("long")  # noqa: E731  one key for all: a chain
+    got = exact_dedup.exact_dedup(df, capacity=4, max_depth=16, key=same).collect()
+    assert all((r.keep_id, r.group_size) == (r.doc_id % 60 + 60, 2) for r in got)
+
+
+def test_vector_labels_and_sizes(spark):
+    """Labels with commas stay apart from vectors; very large and very small numbers are as good as others."""
+    rows = [(1, [2.0], "a,1.0"), (2, [1.0, 2.0], "a"), (3, [1e200, 1e200], "b"), (4, [1e-200, 1e-200], "b"), (5, [1e-200, -1e-200], "b"), (6, [3.0, 3.0], "b"), (7, [1.0, 2.0], "A")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    seen = []
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_dedup.near_vectors(df, report=lambda n, share: seen.append((n, share))).collect()}
+    assert got == {1: (0, 1), 2: (0, 2), 3: (2, 3), 4: (2, 3), 5: (0, 5), 6: (2, 3), 7: (0, 7)}
+    assert seen and all(share >= vector_dedup.RECALL for _, share in seen)
+
+
+def test_audits_see_what_is_missing(spark, monkeypatch):
+    """Audits count against brute force: clusters that were taken apart miss the target."""
+    monkeypatch.setattr(vector_dedup, "AUDIT_SHARE", 1)
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(60):
+        v = rng.normal(size=16)
+        rows += [(2 * i, "x", (v / np.linalg.norm(v)).tolist()), (2 * i + 1, "x", (v / np.linalg.norm(v)).tolist())]
+    nodes = spark.createDataFrame(rows, "node long, label string, u array<float>")
+    whole = nodes.select("node", F.expr("node - node % 2").alias("cluster"))
+    told = []
+    assert vector_dedup.audit(nodes, whole, 0.98, 5, lambda n, share: told.append((n, share))) is None
+    below = vector_dedup.audit(nodes, whole.where("node > 20"), 0.98, 5, lambda n, share: told.append((n, share)))
+    assert [r.label for r in below.collect()] == ["x"] and told[0] == (120, 1.0) and told[1][1] < 0.9
+
+
+def test_near_join_audit_and_prefixes(spark, monkeypatch):
+    """Questions answer as sets do, and a forest that is far too small is searched on with shorter prefixes."""
+    rng = random.Random(5)
+    sets = [np.unique(np.array([rng.randrange(400) for _ in range(60)], np.uint64)) for _ in range(30)]
+    sets += [s[: int(len(s) * 0.9)] for s in sets[:10]]
+    asked = near_join.Questions(sets, 0.8)
+    for s in sets:
+        want = [i for i, q in enumerate(sets) if len(set(s) & set(q)) / len(set(s) | set(q)) >= 0.8]
+        assert asked.linked(s) == want[: near_join.AUDIT_LINKS]
+    assert near_join.Questions([], 0.8).linked(sets[0]) == [] and asked.linked(np.empty(0, np.uint64)) == []
+    monkeypatch.setattr(near_join, "AUDIT_SHARE", 1)
+    texts = []
+    for k in range(40):
+        base = [f"w{k}x{j}" for j in range(60)]
+        texts += [" ".join(base), " ".join([*base[:-4], "a", "b", "c", f"d{k}"])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    told = []
+    got = {r.doc_id: r.class_id for r in near_join.near_duplicates(df, trees=1, deepest=8, recall=0.1, report=lambda *x: told.append(x)).collect()}
+    assert told[0][2] < near_join.FOUND and told[-1][0] < told[0][0]
+    # 56 of 64 shingles are shared where four words differ: similar enough
+    assert sum(got[2 * k + 1] == 2 * k for k in range(40)) >= 36
+
+
+# languages
+
+
+SAID = {
+    "en": "the house is on the hill and the dog runs with the children over there",
+    "de": "das haus steht auf dem hügel und der hund läuft mit den kindern dort",
+    "fr": "la maison est sur la colline et le chien court avec les enfants là bas",
+}
+
+
+def spoken(rng, k, n):
+    return " ".join(rng.choice(SAID[k].split()) for _ in range(n))
+
+
+def test_languages_of_held_out_texts(spark):
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(spoken(rng, k, 30), k) for k in SAID for _ in range(20)], "text string, lang string")
+    languages, table = langid.fit_languages(docs)
+    rows = [(i, f"http://h{i % 9}.example.org/", f"<html><p>{spoken(rng, k, 6)}</p></html>", k) for i, k in enumerate([*SAID] * 40)]
+    got = langid.identify(spark.createDataFrame(rows, "page_id long, url string, html string, truth string"), languages, table).collect()
+    assert np.mean([r.lang == r.truth for r in got]) >= 0.95 and np.mean([r.text_lang == r.truth for r in got]) >= 0.9
+
+
+def test_fusion_against_plain_python(spark):
+    """All four kinds of evidence multiplied, a page's own text taken out of its host's, domain's and suffix's counts."""
+    rng = random.Random(9)
+    docs = spark.createDataFrame([(spoken(rng, k, 30), k) for k in SAID for _ in range(10)], "text string, lang string")
+    languages, table = langid.fit_languages(docs)
+    rows = []
+    for i in range(60):
+        k = rng.choice(languages)
+        declared = rng.choice([f' lang="{k}"', f' LANG={rng.choice(languages)}', ' lang="zz"', ""])
+        rows.append((i, rng.choice([f"http://a.{k}.org/x", f"https://b.site.{k}", "http://c.d.com/", None]), f"<html{declared}><b>{spoken(rng, k, rng.randint(0, 4))}</b></html>"))
+    rows += [(100, None, None), (101, "", "")]
+    logs = {}
+    for i, _, html in rows:
+        text = re.sub(r"<[^>]*>", " ", html or "").strip()
+        places = langid.trigrams(text)
+        logs[i] = table.astype(float)[:, places].sum(1) / np.sqrt(max(1, len(places)))
+    post = {i: np.exp(x - x.max()) / np.exp(x - x.max()).sum() for i, x in logs.items()}
+    host = {i: (u.split("://")[1].split("/")[0] if u and "://" in u else "") for i, u, _ in rows}
+    said = {}
+    for i, _, html in rows:
+        m = re.search(r"(?i)<html[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", html or "")
+        said[i] = "" if not m else m[1].lower() if m[1].lower() in languages else "other"
+    total = sum(post.values())
+    share = total / total.sum()
+    domain, suffix = (lambda h: ".".join(h.split(".")[-2:])), (lambda h: h.split(".")[-1])
+    mine = lambda same: [i for i in host if same(i)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"post": F.lit("p"), "said": F.lit("s"), "text": F.lit("t"), "host_n": F.lit(1)}).repartition(3)
+    got = {r.page_id: r for r in langid.identify(df, languages, table).collect()}
+    assert len(got) == len(rows) and {(r.post, r.said, r.text, r.host_n) for r in got.values()} == {("p", "s", "t", 1)}
+    for i in host:
+        at_host, at_domain, at_suffix = mine(lambda j: host[j] == host[i]), mine(lambda j: domain(host[j]) == domain(host[i])), mine(lambda j: suffix(host[j]) == suffix(host[i]))
+        d = (sum(post[j] for j in at_domain) - post[i] + langid.PARENT * share) / (len(at_domain) - 1 + langid.PARENT)
+        h = (sum(post[j] for j in at_host) - post[i] + langid.PARENT * d) / (len(at_host) - 1 + langid.PARENT)
+        s = (sum(post[j] for j in at_suffix) - post[i] + langid.DECLARED * share) / (total - post[i] + langid.DECLARED)
+        counts = sum(post[j] for j in mine(lambda j: said[j] == said[i]))
+        word = np.log((counts + langid.DECLARED * counts.sum() / total.sum()) / (total + langid.DECLARED))
+        all_ = logs[i] + np.log(h) + np.log(s) + word
+        p = np.exp(all_ - all_.max()) / np.exp(all_ - all_.max()).sum()
+        assert got[i].confidence == pytest.approx(p.max(), rel=1e-6) and got[i].host == host[i]
+        assert np.isclose(p[languages.index(got[i].lang)], p.max())
+
+
+# classifiers
+
+
+def scored_tables(spark, folder, column):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices([f"w{j}" for j in range(50)], k=25) + (["good"] if i % 2 else ["bad"])) for i in range(200)] + [None, "", "Unseen words ONLY"]
+    documents(spark, folder, texts)
+    spark.createDataFrame([(i, i % 2, i % 2) for i in range(180)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return texts
+
+
+def test_op9_scores_against_plain_sums(spark, tmp_path):
+    texts = scored_tables(spark, tmp_path, "quality")
+    got = {r.doc_id: r for r in quality.op9_quality(spark, str(tmp_path)).collect()}
+    docs, labels = spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet")
+    w = quality.fit_quality(docs, labels, learn_from=quality.crc_part("doc_id", 4) != 2).astype(float)
+    features = quality.Features()
+    right = []
+    for i, t in enumerate(texts):
+        places, n = features.of(t or "")
+        margin = w[-1] + sum(w[p] * quality.SCALE / n for p in places.tolist())
+        r = got[i]
+        assert r.score == pytest.approx(1 / (1 + exp(-margin)), abs=1e-6) and r.predicted == int(r.score >= 0.7)
+        assert r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
+        right += [r.predicted == i % 2] if r.held_out and i < 180 else []
+    assert len(got) == len(texts) and np.mean(right) >= 0.9
+
+
+def test_op10_scores_against_plain_sums(spark, tmp_path):
+    texts = scored_tables(spark, tmp_path, "toxic")
+    got = {r.doc_id: r for r in toxicity.op10_toxicity(spark, str(tmp_path)).collect()}
+    docs, labels = spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet")
+    w = toxicity.fit_toxicity(docs, labels, learn_from=quality.crc_part("doc_id", 5) != 0).astype(float)
+    features = toxicity.Features()
+    right = []
+    for i, t in enumerate(texts):
+        margin = w[-1] + sum(w[p] for p in features.of(t or "").tolist())
+        r = got[i]
+        assert r.score == pytest.approx(1 / (1 + exp(-margin)), abs=1e-6) and r.predicted == int(r.score >= 0.5)
+        assert r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+        right += [r.predicted == i % 2] if r.held_out and i < 180 else []
+    assert len(got) == len(texts) and np.mean(right) >= 0.9
+
+
+def test_penalty_lowers_false_positives_on_mentions(spark):
+    """Toxic sentences mention one group more often: without the penalty its neutral mentions are rejected, with it they are not."""
+    rng = random.Random(4)
+    calm, rude = "tea road lamp coat seat bread field glass".split(), "vile scum trash filth".split()
+    rows = []
+    for i in range(600):
+        bad = i % 2
+        group = "muslim" if rng.random() < (0.9 if bad else 0.1) else "christian"
+        rows.append((i, " ".join([group, *rng.choices(calm, k=6), *(rng.choices(rude, k=1) if bad and rng.random() < 0.6 else [])]), bad))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    neutral = [" ".join(["the", g, *rng.choices(calm, k=6)]) for g in ("muslim", "hindu", "christian") for _ in range(30)]
+    wrong, gap = [], []
+    for penalty in (0.0, toxicity.PENALTY):
+        value = toxicity.margin(toxicity.fit_toxicity(docs, labels, penalty=penalty))
+        wrong.append(sum(value(t) >= 0 for t in neutral))
+        gap.append(abs(value("the muslim baker") - value("the christian baker")))
+    assert gap[0] > 0.5 and gap[1] < 0.5 * gap[0]
+    assert wrong[1] < wrong[0]
+
+
+# what all operators share
+
+
+def test_names_that_clash(spark):
+    """Columns with the names that operators use inside pass through untouched, however they are spelled."""
+    rows = [(1, "Some text with words in it now", "a"), (2, "some TEXT with words in it now", "b"), (3, None, "c")]
+    names = ["__text", "in0", "text_sha", "gone_id", "row", "score", "Spans", "tick`s"]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept string").withColumns({n: F.lit(n) for n in names})
+    assert unused(df, "spans") != "spans" and unused(df, "free") == "free"
+    for out in (
+        secrets.redact_secrets(df), exact_dedup.drop_copies(df), near_join.keep_one_of_each_class(df), bpe.encode(df, tokenizer=PATH).drop("ids"),
+        quality.score_quality(df, None, out="s").drop("s"), packing.pack(df, "text", tokenizer=PATH, end_id=1).select(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c != "text"]),
+    ):
+        got = out.collect()
+        assert got and set(out.columns) <= set(df.columns) and all(r[n] == n for r in got for n in names)
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Empty tables, repeated ids and rows, null ids, columns of any name: every stage runs and keeps what it must."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, `row` string"
+    labels = "doc_id long, quality int, toxic int"
+    long_text = " ".join(f"word{i}" for i in range(30_000))
+    rows = [(1, "a first text of some words", 9), (1, "quite another text of other words", 9), (1, "quite another text of other words", 9), (None, None, None), (None, "", 0), (2, long_text, 9), (3, "x password=abcdefabcdef01 y", 9)]
+    for name, data in (("empty", []), ("some", rows)):
+        folder = f"{tmp_path}/{name}"
+        spark.createDataFrame([(i, t, "en", "s", n, "mine", "own") for i, t, n in data], schema).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(i, 1, 0) for i, *_ in data[:1]], labels).write.parquet(f"{folder}/labels.parquet")
+        now = spark.read.parquet(f"{folder}/documents.parquet")
+        for k, (stage, fn) in enumerate(pipeline.STAGES):
+            out = fn(spark, now, folder)
+            assert k == 4 or out.columns == now.columns
+            out.write.parquet(f"{folder}/{stage}")
+            now = spark.read.parquet(f"{folder}/{stage}")
+            if k < 4:
+                texts = sorted((r.text or "") for r in now.collect())
+                assert all((r.score, r.row) == ("mine", "own") for r in now.collect())
+        if name == "some":
+            # one of the repeated rows and one of the empty texts went
+            assert texts == sorted(["a first text of some words", "quite another text of other words", "", long_text, "x [secret] y"])
+        assert pipeline.run(spark, folder).count() == now.count()

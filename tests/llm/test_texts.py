@@ -149,22 +149,6 @@ def test_swaps():
     assert swapped("nothing here", IDENTITY) is None
 
 
-def test_penalty_shrinks_identity_weight(spark):
-    """Where labels go with one group's mention, the penalty takes the group's own weight away."""
-    rng = random.Random(4)
-    rows = []
-    for i in range(300):
-        bad = i % 2
-        words = [rng.choice(["muslim", "christian"]) if rng.random() < 0.3 else ("muslim" if bad else "christian")] + rng.choices(["tea", "road", "lamp", "coat", "seat"], k=6) + ["vile" if bad else "kind"]
-        rows.append((i, " ".join(words), bad))
-    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, toxic int").select("doc_id", "text"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
-    gap = []
-    for penalty in (0.0, 1.0):
-        value = margin(fit_toxicity(docs, labels, penalty=penalty))
-        gap.append(abs(value("the muslim baker") - value("the christian baker")))
-    assert gap[1] < 0.5 * gap[0] or gap[0] == gap[1] == 0
-
-
 def test_pipeline(spark, tmp_path):
     """Each stage against a plain version of what it decides."""
     pipeline = pytest.importorskip("corpus_pipeline")
