@@ -66,7 +66,8 @@ def embedding_text(spark, sf_dir):
 
 def append_text(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    both = X.append_text(F.substring("text", 1, 300), F.substring("text", 251, 100), 350)
+    # what is added lies in the text already, or is new
+    both = X.append_text("text", F.when(F.col("doc_id") % 2 == 0, F.substring("text", 251, 100)).otherwise(F.col("source")))
     return d.select("doc_id", F.length(both).alias("length"), F.sha2(both, 256).alias("digest"))
 
 
@@ -175,8 +176,8 @@ ORACLE_SQL = {
     "highlight_terms": f"SELECT item_id, regexp_replace({_ESCAPED.format('text')}, '(the|ing)', '<mark>\\1</mark>', 'gi') AS marked, true AS safe FROM benchmark",
     "sanitize_text": r"SELECT conv_id, turn, sha256(regexp_replace(coalesce(text, ''), '[\x00-\x08\x0A-\x1F]', '', 'g')) AS digest FROM conversations",
     "embedding_text": "SELECT doc_id, sha256(substr(concat_ws(chr(10) || chr(10), nullif(source, ''), nullif(lang, ''), nullif(text, '')), 1, 6000)) AS digest FROM documents",
-    "append_text": r"""WITH p AS (SELECT doc_id, substr(text, 1, 300) AS o, regexp_replace(regexp_replace(substr(text, 251, 100), '\s+', ' ', 'g'), '^ +| +$', '', 'g') AS n FROM documents),
-      b AS (SELECT doc_id, substr(CASE WHEN n = '' OR contains(o, n) THEN o WHEN o = '' THEN n ELSE o || ' ' || n END, 1, 350) AS t FROM p) SELECT doc_id, CAST(length(t) AS INT) AS length, sha256(t) AS digest FROM b""",
+    "append_text": r"""WITH p AS (SELECT doc_id, coalesce(text, '') AS o, regexp_replace(regexp_replace(coalesce(CASE WHEN doc_id % 2 = 0 THEN substr(text, 251, 100) ELSE source END, ''), '\s+', ' ', 'g'), '^ +| +$', '', 'g') AS n FROM documents),
+      b AS (SELECT doc_id, substr(CASE WHEN n = '' OR contains(o, n) THEN o WHEN o = '' THEN n ELSE o || ' ' || n END, 1, 200000) AS t FROM p) SELECT doc_id, CAST(length(t) AS INT) AS length, sha256(t) AS digest FROM b""",
     "needs_ocr": "SELECT doc_id, length(trim(text)) < 25 * (doc_id % 40 + 1) AS needs_ocr FROM documents",
     "enrich_gate": """WITH f AS (SELECT CAST(user_id AS VARCHAR) AS tender_id, user_id, ['closing_at', 'briefing_at', 'value_estimated', 'contact_email'][event_id % 4 + 1] AS field, event_type AS value,
         event_id / 1e6::DOUBLE + (event_id % 7) / 10.0::DOUBLE + 0.3::DOUBLE AS confidence FROM events), now AS (SELECT tender_id, field, avg(confidence) + 0.25::DOUBLE AS c FROM f WHERE user_id % 3 <> 0 GROUP BY 1, 2),

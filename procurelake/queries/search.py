@@ -35,6 +35,13 @@ def synonym_match(spark, sf_dir):
     return _find(spark, sf_dir, "thing edes -oning", WORDS)
 
 
+def synonym_titles(spark, sf_dir):
+    """The engine's own synonyms on tender titles: delivery is asked for and supply is found, an item is left out."""
+    terms = expand('delivery tender -road -"item 7"', synonym_index())
+    titles = tenders(spark, sf_dir).select("id", M.words_of(F.concat_ws(" ", "title", F.when(F.col("id") % 4 == 0, F.lit("rfp")).otherwise(F.lit("other")))).alias("words"))
+    return titles.where(M.matches(terms, F.col("words"))).select("id")
+
+
 def phrase_match(spark, sf_dir):
     return _find(spark, sf_dir, '"attion to thanedble"')
 
@@ -49,7 +56,7 @@ def count_agreement(spark, sf_dir):
 
 
 def postings_index(spark, sf_dir):
-    docs = M.with_index(table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "id"), {"text": "B"})
+    docs = M.with_index(table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id"), {"text": "B"})
     p = M.postings(docs)
     return p.select("lexeme", "id", F.size("positions").alias("n"), F.col("positions")[0]["pos"].alias("first_pos"))
 
@@ -142,7 +149,7 @@ def alert_digests(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        keyword_match, keyword_negation, synonym_match, phrase_match, websearch_or, count_agreement, postings_index, cosine_topk, urgency_score, hybrid_score, buyer_ilike,
+        keyword_match, keyword_negation, synonym_match, synonym_titles, phrase_match, websearch_or, count_agreement, postings_index, cosine_topk, urgency_score, hybrid_score, buyer_ilike,
         browse_order_page, filter_compose_page, search_page, alert_match_topk, alert_anti_join, alert_totals, alert_digests,
     )
 }
@@ -165,11 +172,12 @@ ORACLE_SQL = {
     "keyword_match": f"WITH {_W} SELECT id FROM docs WHERE {_HAS.format('onan')} AND {_HAS.format('edes')}",
     "keyword_negation": f"WITH {_W} SELECT id FROM docs WHERE {_HAS.format('edes')} AND NOT {_HAS.format('onan')}",
     "synonym_match": f"WITH {_W} SELECT id FROM docs WHERE ({_HAS.format('thing')} OR {_HAS.format('ering')} OR {_HAS.format('oning')}) AND ({_HAS.format('edes')} OR {_HAS.format('anat')}) AND NOT {_HAS.format('oning')}",
+    "synonym_titles": f"WITH {TENDER_SQL} SELECT id FROM tenders WHERE id % 4 = 0 AND id % 50 <> 7",
     "phrase_match": f"WITH {_W} SELECT id FROM docs WHERE contains(' ' || array_to_string(w, ' ') || ' ', ' attion to thanedble ')",
     "websearch_or": f"WITH {_W} SELECT id FROM docs WHERE {_HAS.format('onan')} OR ({_HAS.format('anat')} AND NOT {_HAS.format('edes')})",
     "count_agreement": f"WITH {_W} SELECT count(*) AS total, min(id) AS first_id FROM docs WHERE {_HAS.format('onan')}",
-    "postings_index": r"""WITH w AS (SELECT item_id AS id, unnest(regexp_extract_all(lower(text), '([\p{L}\p{N}\p{M}_]+)', 1)) AS lexeme, generate_subscripts(regexp_extract_all(lower(text), '([\p{L}\p{N}\p{M}_]+)', 1), 1) AS pos FROM benchmark)
-      SELECT lexeme, id, CAST(count(*) AS INT) AS n, CAST(min(pos) AS INT) AS first_pos FROM w GROUP BY 1, 2""",
+    "postings_index": r"""WITH w AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '([\p{L}\p{N}\p{M}_]+)', 1) AS ws FROM documents), f AS (SELECT id, unnest(ws) AS lexeme, generate_subscripts(ws, 1) AS pos FROM w)
+      SELECT lexeme, id, CAST(count(*) AS INT) AS n, CAST(min(pos) AS INT) AS first_pos FROM f GROUP BY 1, 2""",
     "cosine_topk": f"""WITH s AS (SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], {_VECTOR}) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product({_VECTOR}, {_VECTOR}))), 9) AS similarity FROM embeddings)
       SELECT * FROM s ORDER BY similarity DESC, vec_id LIMIT 20""",
     "urgency_score": f"WITH {TENDER_SQL} SELECT id, round({_U}, 9) AS urgency FROM tenders",
