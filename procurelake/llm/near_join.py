@@ -14,6 +14,7 @@ pairs are never listed.
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +68,10 @@ class Questions:
         """The sets whose Jaccard similarity with ``found`` reaches the threshold, the first few of them."""
         if not len(self.keys) or not len(found):
             return []
+        # a set that is similar enough has one at least of so many shingles, whichever they are
+        some = found[: len(found) - ceil(self.threshold * len(found) - 1e-9) + 1]
+        if not (self.keys[np.minimum(np.searchsorted(self.keys, some), len(self.keys) - 1)] == some).any():
+            return []
         at = np.minimum(np.searchsorted(self.keys, found), len(self.keys) - 1)
         at = at[self.keys[at] == found]
         n = self.ends[at + 1] - self.ends[at]
