@@ -233,6 +233,19 @@ def match_relation(indexed: DataFrame, query: str | None, *, stemmed: bool = Fal
     return found, terms
 
 
+#: The columns of a search result.
+PROJECTION = (
+    "id", "tender_number", "title", "description", "province", "status", "published_at", "closing_at", "briefing_at", "compulsory_briefing",
+    "value_estimated", "currency", "original_url", "source_urls", "field_provenance", "authority_score", "buyer_name",
+)
+
+
+def projected(tenders: DataFrame, organisations: DataFrame) -> DataFrame:
+    """OP-P1, SRC-18. The columns of a search result, the buyer by the name of its organisation."""
+    named = tenders.drop("buyer_name").join(organisations.select(F.col("id").alias("buyer_org_id"), F.col("name").alias("buyer_name")), "buyer_org_id", "left")
+    return named.select(*PROJECTION)
+
+
 def search(indexed: DataFrame, query: str | None, as_of: Column, *, limit: int = 20, offset: int = 0, vector=None, embeddings: DataFrame | None = None, model: str | None = None, stemmed: bool = False, synonyms: dict | None = None, stored: DataFrame | None = None, **conditions) -> DataFrame:
     """OP-X11, OP-X12. One page of results, best first; ``score`` is null when browsing.
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from procurelake.functions.keys import content_hash, object_key
 from procurelake.schemas import registry
+from procurelake.shared import stash
 
 #: Polling interval by tier where the registry names none, in minutes.
 TIER_FREQUENCY = {1: 30, 2: 90, 3: 300, 4: 1440}
@@ -31,6 +32,38 @@ def adapter(key: str):
     return put
 
 
+def run_adapters(spark: SparkSession, sources: list[tuple[str, str, dict]]) -> tuple[DataFrame | None, list[tuple[str, str]]]:
+    """SRC-17. (notices of all sources, errors): ``sources`` are (source_id, adapter, options); a source that fails is named with its error and the others' notices stay.
+
+    Each scan is built and its rows written before the next, so what a source reads cannot fail the others later.
+    """
+    notices, errors = None, []
+    for source_id, name, options in sources:
+        try:
+            if name not in ADAPTERS:
+                raise KeyError(f"no adapter {name!r}; there are {sorted(ADAPTERS)}")
+            rows = stash(ADAPTERS[name](spark, source_id, **options), "notices")
+        except Exception as e:  # whatever a source does wrong is its own error
+            errors.append((source_id, f"{type(e).__name__}: {e}"))
+            continue
+        notices = rows if notices is None else notices.unionByName(rows)
+    return notices, errors
+
+
+def seed_registry(registered: DataFrame, organisations: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """SNK-15. (new organisations, new sources) of the registry's rows; what is there by name already stays as it is.
+
+    ``organisations(name)`` and ``sources(name)`` are those stored; a name that the registry repeats counts once.
+    """
+    fresh = registered.where("name is not null").dropDuplicates(["name"])
+    orgs = fresh.select("name", "type", "province", "website").join(organisations.select("name"), "name", "left_anti")
+    rows = fresh.select(
+        "name", F.col("tender_url").alias("crawl_url"), F.coalesce("platform", F.lit("UNKNOWN")).alias("platform"), F.coalesce("crawl_method", F.lit("NONE")).alias("crawl_method"), "adapter", "triage_tier",
+        F.coalesce("authority_score", F.lit(50)).alias("authority_score"), "frequency_min", F.coalesce("status", F.lit("DISCOVERY")).alias("status"), F.nullif("note", F.lit("")).alias("note"),
+    )
+    return orgs, rows.join(sources.select("name"), "name", "left_anti")
+
+
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
     """SRC-14. Registered sources; a missing interval comes from the tier."""
     rows = spark.read.schema(registry()).option("multiLine", True).json(path)

@@ -142,6 +142,14 @@ def test_vectors_in_search(spark):
         M.embed_pending(indexed.withColumn("buyer_name", F.lit("b")), stored, "new", lambda texts: [[1.0]] * len(texts), 3).collect()
 
 
+def test_projection(spark):
+    rows = frame(spark, [(1, "road", None, None, 50, NOW), (2, "pad", None, None, 50, NOW)])
+    other = {c: F.lit(None).cast("string") for c in M.PROJECTION if c not in rows.columns}
+    df = rows.withColumns(other).withColumns({"buyer_org_id": F.when(F.col("id") == 1, F.lit(7)), "internal": F.lit("x")})
+    got = M.projected(df, spark.createDataFrame([(7, "City")], "id int, name string"))
+    assert got.columns == list(M.PROJECTION) and len(got.columns) == 17 and {r.id: r.buyer_name for r in got.collect()} == {1: "City", 2: None}
+
+
 # alerts
 
 

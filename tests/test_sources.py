@@ -117,3 +117,23 @@ def test_adapters_are_registered_once():
     with pytest.raises(ValueError):
         registry.adapter("only-here")(lambda: None)
     registry.ADAPTERS.pop("only-here")
+
+
+def test_adapters_fail_on_their_own(spark):
+    registry.adapter("works")(lambda spark, source_id, n=1: spark.range(n).select(F.lit(source_id).alias("source_id"), F.col("id").alias("title")))
+    registry.adapter("breaks")(lambda spark, source_id: spark.range(1).select(F.lit(source_id).alias("source_id"), F.raise_error(F.lit("gone")).cast("long").alias("title")))
+    try:
+        rows, errors = registry.run_adapters(spark, [("a", "works", {"n": 2}), ("b", "breaks", {}), ("c", "unheard of", {}), ("d", "works", {})])
+        assert sorted(r.source_id for r in rows.collect()) == ["a", "a", "d"] and [e[0] for e in errors] == ["b", "c"] and "gone" in errors[0][1]
+        assert registry.run_adapters(spark, []) == (None, [])
+    finally:
+        registry.ADAPTERS.pop("works")
+        registry.ADAPTERS.pop("breaks")
+
+
+def test_seed(spark, tmp_path):
+    (tmp_path / "r.json").write_text(json.dumps([{"ref": "a", "name": "A", "triage_tier": 2, "note": ""}, {"ref": "a2", "name": "A"}, {"ref": "b", "name": "B"}, {"ref": "c"}]))
+    stored = spark.createDataFrame([("B",)], "name string")
+    orgs, sources = registry.seed_registry(registry.read_registry(spark, str(tmp_path / "r.json")), stored, stored.limit(0))
+    assert [r.name for r in orgs.collect()] == ["A"] and sorted(r.name for r in sources.collect()) == ["A", "B"]
+    assert {(r.platform, r.crawl_method, r.status, r.authority_score, r.note) for r in sources.collect()} == {("UNKNOWN", "NONE", "DISCOVERY", 50, None)}
