@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from procurelake.llm import exact_dedup, near_join, url_filter, vector_dedup
+from procurelake.llm import decontaminate, divergence, exact_dedup, fill_middle, near_join, url_filter, vector_dedup
 from procurelake.llm.bpe import op1_bpe
 from procurelake.llm.langid import op8_langid
 from procurelake.llm.packing import op4_packing
@@ -21,6 +21,9 @@ QUERIES = {
     "op8_langid": op8_langid,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
+    "op11_decontaminate": decontaminate.op11_decontaminate,
+    "op12_fill_in_middle": fill_middle.op12_fill_in_middle,
+    "op13_source_divergence": divergence.op13_source_divergence,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -28,4 +31,7 @@ ORACLE_SQL: dict[str, str] = {
     "op3_vector_dedup": vector_dedup.ORACLE,
     "op6_url_filter": url_filter.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
+    "op11_decontaminate": decontaminate.ORACLE,
+    "op12_fill_in_middle": fill_middle.ORACLE,
+    "op13_source_divergence": divergence.ORACLE,
 }

@@ -6,6 +6,7 @@ worker, so that a word costs one dictionary look-up when it comes again.
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import numpy as np
@@ -66,3 +67,34 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
     for i in range(k):
         total = mix(total * np.uint64(GOLDEN) + words[i : n - k + 1 + i] + np.uint64(k))
     return np.unique(total)
+
+
+#: Bytes of a word from which its digest stands for it in tables that are broadcast, so that their size has a bound.
+LONG_WORD = 64
+#: Bytes of a text that are cut into words at a time.
+CHUNK_BYTES = 4 << 20
+
+
+def byte_table(kept: str) -> bytes:
+    """A table for ``bytes.translate``: A-Z in lower case, bytes of ``kept`` and of non-ASCII characters as they are, all others a space."""
+    stay = {*kept.encode(), *range(0x80, 0x100)}
+    return bytes(b if b in stay else b + 32 if 0x41 <= b <= 0x5A and b + 32 in stay else 0x20 for b in range(256))
+
+
+def chunks(text: bytes, table: bytes):
+    """The translated text in pieces of about CHUNK_BYTES that end between words; a longer word is not cut."""
+    if len(text) <= CHUNK_BYTES:
+        yield text.translate(table)
+        return
+    lo = 0
+    whole = text.translate(table)
+    while lo < len(whole):
+        hi = whole.find(b" ", lo + CHUNK_BYTES)
+        hi = len(whole) if hi < 0 else hi
+        yield whole[lo:hi]
+        lo = hi
+
+
+def short(word: bytes) -> bytes:
+    """The word, or a mark that no word has and its SHA-256 if it is long."""
+    return word if len(word) <= LONG_WORD else b"\x01" + hashlib.sha256(word).hexdigest().encode()
