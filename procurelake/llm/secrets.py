@@ -2,8 +2,9 @@
 
 Fixed patterns find the base spans. Beside them, every long run of key-like characters is a candidate: a
 window slides over it, its Shannon entropy kept by incremental counts, for each character class on its own;
-windows above the class's threshold are merged into spans. Allow-list patterns that are anchored explain a
-whole candidate, others the part of it around them. Texts are scanned whole; spans count code points, ends exclusive.
+windows above the class's threshold are merged into spans, which take in the letters and digits next to them. Allow-list patterns that are anchored explain a
+whole candidate, others their own characters. Of a span that others overlap, the rest is kept, however short.
+Texts are scanned whole; spans count code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -43,13 +44,12 @@ CLASSES = (
     EntropyClass("entropy_hex", "0-9a-fA-F", 20, 3.0, ("0123456789", "abcdefABCDEF")),
     EntropyClass("entropy_key", "A-Za-z0-9+/_=-", 20, 3.7, ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")),
 )
-#: No secrets: candidates that are identifiers in UUID form or words joined by marks (anchored), parts with a placeholder.
+#: No secrets: candidates that are identifiers in UUID form or words joined by marks (anchored), placeholders.
 ALLOW = (
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
     r"^[A-Za-z]+([-_/=+][A-Za-z]+)*$",
     r"(?i)example|placeholder|changeme|dummy|(.)\1{5}",
 )
-MARKS = re.compile("[-_/=+]")
 
 
 def entropy_windows(text: str, cls: EntropyClass) -> Iterable[tuple[int, int]]:
@@ -107,42 +107,63 @@ class Scanner:
         self.placeholders = [re.compile(a) for a in allow if not a.startswith("^")]
         self.order = {k: i for i, k in enumerate((*BASE_KINDS, *(c.kind for c in classes)))}
 
-    def unexplained(self, run: str, width: int) -> Iterable[tuple[int, str]]:
-        """The parts of a candidate, with their places, that no placeholder explains.
-
-        A word explains what it is joined to without a mark, up to two windows away; repeated characters explain themselves.
-        """
-        zones = []
-        for m in (m for a in self.placeholders for m in a.finditer(run)):
-            lo, hi = m.span()
-            if len({*m.group()}) > 1:
-                before, after = MARKS.split(run[max(0, lo - 2 * width) : lo]), MARKS.split(run[hi : hi + 2 * width])
-                lo, hi = lo - len(before[-1]), hi + len(after[0])
-            zones.append((lo, hi))
+    def unexplained(self, run: str) -> Iterable[tuple[int, str]]:
+        """The parts of a candidate, with their places, between its placeholders; a placeholder explains its own characters and no others."""
         at = 0
-        for lo, hi in sorted(zones):
+        for lo, hi in merged(m.span() for a in self.placeholders for m in a.finditer(run)):
             if at < lo:
                 yield at, run[at:lo]
-            at = max(at, hi)
+            at = hi
         yield at, run[at:]
 
     def spans(self, text: str) -> list[tuple[str, int, int]]:
         found = base_spans(text)
-        taken = [(s, e) for _, s, e in found]
         for cls, runs in self.classes:
             added = []
             for run in runs.finditer(text):
                 if any(a.search(run.group()) for a in self.allow):
                     continue
-                for lo, hi in (x for at, part in self.unexplained(run.group(), cls.width) for x in ((at + lo, at + hi) for lo, hi in entropy_windows(part, cls))):
-                    start, end = run.start() + lo, run.start() + hi
-                    if not any(s < end and start < e for s, e in taken):
-                        added.append((cls.kind, start, end))
-            taken += [(s, e) for _, s, e in added]
-            found += added
+                start = run.start()
+                for at, part in self.unexplained(run.group()):
+                    added += [(start + at + lo, start + at + hi) for lo, hi in merged(widened(part, *span) for span in entropy_windows(part, cls))]
+            found += [(cls.kind, *span) for span in uncovered(added, merged((s, e) for _, s, e in found))]
         return sorted(found, key=lambda x: (x[1], self.order[x[0]]))
 
 
+def widened(part: str, lo: int, hi: int) -> tuple[int, int]:
+    """The span with the letters and digits next to it: they belong to one key, though their own windows were a little too even."""
+    while lo and part[lo - 1].isalnum():
+        lo -= 1
+    while hi < len(part) and part[hi].isalnum():
+        hi += 1
+    return lo, hi
+
+
+def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The union of spans, in order."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted(spans):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], hi))
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def uncovered(spans: list[tuple[int, int]], taken: list[tuple[int, int]]) -> Iterable[tuple[int, int]]:
+    """What of each span (in order, apart) no ``taken`` one (likewise) covers; one walk over both."""
+    k = 0
+    for lo, hi in spans:
+        while k < len(taken) and taken[k][1] <= lo:
+            k += 1
+        i = k
+        while lo < hi:
+            start, end = taken[i] if i < len(taken) else (hi, hi)
+            if lo < min(start, hi):
+                yield lo, min(start, hi)
+            lo, i = max(lo, end), i + 1
+
+
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 ARROW_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
@@ -152,7 +173,7 @@ def scan_secrets(
 ) -> DataFrame:
     """Append the array of (kind, start, end) found in each whole text, by start and then kind.
 
-    Base kinds overlap freely with one another; an entropy span is added only where no earlier span lies.
+    Base kinds overlap freely with one another; of an entropy span the parts that no earlier kind covers are added.
     Null and empty texts have an empty array; repeated rows are scanned each; a column named ``out`` is
     replaced and others pass through; an empty table stays empty. No shuffle.
     """
