@@ -1,8 +1,10 @@
-"""Hashed linear models trained by follow-the-regularised-leader updates, in shards whose weights are averaged."""
+"""Hashed linear models trained by follow-the-regularised-leader updates on a bounded sample of labelled rows."""
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -10,12 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from procurelake.llm.shared import append_columns, text_or_empty
+from procurelake.llm.shared import append_columns, quoted, text_or_empty
 
 #: Buckets of a model as a power of two: 2^18 weights of 4 bytes, 1 MB to broadcast.
 BITS = 18
-#: Labelled rows that a model is fitted on at most, about; and rows of a shard from which another is opened, up to SHARDS.
-SAMPLE, SHARD_ROWS, SHARDS = 40_000, 10_000, 4
+#: Labelled rows that a model is fitted on at most, about: all their sparse features go to one task.
+SAMPLE = 20_000
 
 
 class Ftrl:
@@ -49,47 +51,49 @@ class Ftrl:
         return self.weights(np.arange(self.bias + 1)).astype("<f4")
 
 
-def sampled(labelled: DataFrame, id_col: str, most: int) -> tuple[DataFrame, int]:
-    """About ``most`` of the rows, chosen by a hash of the id, and their number; all rows if there are no more."""
+def sampled(labelled: DataFrame, id_col: str, most: int) -> DataFrame:
+    """About ``most`` of the rows, chosen by a hash of the id; all rows if there are no more."""
     n = labelled.count()
     if n <= most:
-        return labelled, n
-    return labelled.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.lit(1 << 20)) < int(most / n * (1 << 20))), most
+        return labelled
+    return labelled.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.lit(1 << 20)) < int(most / n * (1 << 20)))
 
 
-def fit_shards(examples: DataFrame, n: int, learn: Callable[[list[str], list[int]], np.ndarray]) -> np.ndarray | None:
-    """Train a model on each shard of ``examples(text, label)`` and average the weights; None without examples.
+def fit(examples: DataFrame, encode: Callable[[], Callable[[str], Any]], learn: Callable[[list, list[int]], np.ndarray]) -> np.ndarray | None:
+    """Train one model on ``examples(text, label, order)``, whatever their number; None without any.
 
-    Each shard is one task's group of SHARD_ROWS rows, more only where SHARDS shards share the whole sample;
-    the driver gets one weight vector from each.
+    ``encode()`` makes a function from a text to its features, which runs where the texts are; the trainer gets
+    the features of the sample alone, never texts, in order of ``order``. The driver gets the weight vector.
     """
-    shards = max(1, min(SHARDS, n // SHARD_ROWS))
-    dealt = examples.withColumn("shard", F.pmod(F.xxhash64("order"), F.lit(shards)))
 
-    def train(table: pa.Table) -> pa.Table:
+    def make():
+        features = encode()
+        return lambda texts: [pa.array([pickle.dumps(features(t.as_py() or "")) for t in texts], pa.binary())]
+
+    encoded = append_columns(examples, ["text"], [T.StructField("features", T.BinaryType())], make, drop=["text"])
+
+    def train(table):
         table = table.sort_by("order")
-        weights = learn(table["text"].to_pylist(), table["label"].to_pylist())
-        return pa.table({"weights": pa.array([weights.tobytes()], pa.binary()), "n": pa.array([table.num_rows], pa.int64())})
+        weights = learn([pickle.loads(x.as_py()) for x in table["features"]], table["label"].to_pylist())
+        return pa.table({"weights": pa.array([weights.tobytes()], pa.binary())})
 
-    parts = dealt.groupBy("shard").applyInArrow(train, "weights binary, n bigint").collect()
-    if not parts:
-        return None
-    stacked = np.stack([np.frombuffer(p.weights, "<f4") for p in parts])
-    return np.average(stacked, axis=0, weights=[p.n for p in parts]).astype("<f4")
+    found = encoded.groupBy(F.pmod("order", F.lit(1)).alias("model")).applyInArrow(train, "weights binary").collect()
+    return np.frombuffer(found[0].weights, "<f4") if found else None
 
 
-def labelled_texts(df: DataFrame, labels: DataFrame, id_col: str, text: str, label: str, learn_from, most: int) -> tuple[DataFrame, int]:
-    """(text, label, order) of a bounded sample of the labelled rows that ``learn_from`` admits, and their number.
+def labelled_texts(df: DataFrame, labels: DataFrame, id_col: str, text: str, label: str, learn_from, most: int) -> DataFrame:
+    """(text, label, order) of a bounded sample of the labelled rows that ``learn_from`` admits.
 
-    A null label or id is no label; of several labels of one id the largest counts. The labels are bounded
-    by the sample before they are broadcast to the texts.
+    A null label or id is no label; of several labels of one id the largest counts; a label whose id no row
+    has teaches nothing, and rows repeated with id and text are examples each. The labels are bounded by the
+    sample before they are broadcast to the texts. Other columns are not read, whatever their names.
     """
-    clean = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & learn_from)
-    one = clean.groupBy(id_col).agg(F.max(label).cast("int").alias("__label"))
-    some, n = sampled(one, id_col, most)
-    texts = df.select(id_col, text_or_empty(text).alias("text"))
-    joined = texts.join(F.broadcast(some), id_col)
-    return joined.select("text", F.col("__label").alias("label"), F.xxhash64(F.col(id_col), "text").alias("order")), n
+    own = F.col(quoted(id_col))
+    clean = labels.where(F.col(quoted(label)).isNotNull() & own.isNotNull() & learn_from)
+    one = clean.groupBy(own.alias("id")).agg(F.max(quoted(label)).cast("int").alias("label"))
+    texts = df.select(own.alias("id"), text_or_empty(text).alias("text"))
+    joined = texts.join(F.broadcast(sampled(one, "id", most)), "id")
+    return joined.select("text", "label", F.xxhash64("id", "text").alias("order"))
 
 
 def score_texts(df: DataFrame, text: str, out: str, weights: np.ndarray | None, margin: Callable, drop=()) -> DataFrame:

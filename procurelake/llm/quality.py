@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from procurelake.llm.linear import BITS, SAMPLE, Ftrl, fit_shards, labelled_texts, score_texts
+from procurelake.llm.linear import BITS, SAMPLE, Ftrl, fit, labelled_texts, score_texts
 from procurelake.llm.words import GOLDEN, WordTable, bare, mix
 
 THRESHOLD = 0.7
@@ -33,7 +33,7 @@ def shape(word: str) -> str:
 
 def two_hashes(word: str) -> int:
     """The word's hash in the upper half, its shape's in the lower."""
-    return xxhash.xxh32_intdigest(bare(word)) << 32 | xxhash.xxh32_intdigest(shape(word[:64]))
+    return xxhash.xxh32_intdigest(bare(word)) << 32 | xxhash.xxh32_intdigest(shape(word))
 
 
 class Features:
@@ -57,14 +57,21 @@ class Features:
         return np.concatenate(out).astype(np.int64), n
 
 
+def encoder(bits: int):
+    """A function from a text to the distinct places of its features and their values."""
+    features = Features(bits)
+
+    def encode(text: str) -> tuple[np.ndarray, np.ndarray]:
+        places, n = features.of(text)
+        places, counts = np.unique(places, return_counts=True)
+        return places.astype(np.int32), (counts * (SCALE / max(1, n))).astype(np.float32)
+
+    return encode
+
+
 def learner(bits: int, epochs: int):
-    def learn(texts: list[str], labels: list[int]) -> np.ndarray:
-        features, model = Features(bits), Ftrl(bits)
-        examples = []
-        for text in texts:
-            places, n = features.of(text)
-            places, counts = np.unique(places, return_counts=True)
-            examples.append((places.astype(np.int32), (counts * (SCALE / max(1, n))).astype(np.float32)))
+    def learn(examples: list[tuple[np.ndarray, np.ndarray]], labels: list[int]) -> np.ndarray:
+        model = Ftrl(bits)
         for _ in range(epochs):
             for (places, values), label in zip(examples, labels, strict=True):
                 model.learn(places, values, label)
@@ -84,9 +91,12 @@ def margin(weights: np.ndarray):
 
 
 def fit_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", *, learn_from=None, sample: int = SAMPLE, epochs: int = EPOCHS) -> np.ndarray | None:
-    """The model's weights, from a bounded sample (``sample`` rows, about) of the labelled rows that ``learn_from`` admits; None without any."""
-    examples, n = labelled_texts(df, labels, id_col, text, "quality", F.lit(True) if learn_from is None else learn_from, sample)
-    return fit_shards(examples, n, learner(BITS, epochs))
+    """The model's weights, from a bounded sample (``sample`` rows, about) of the labelled rows that ``learn_from`` admits; None without any.
+
+    Null texts count as empty and teach the bias; nulls, repeated rows, empty tables and other columns are as ``labelled_texts`` says.
+    """
+    examples = labelled_texts(df, labels, id_col, text, "quality", F.lit(True) if learn_from is None else learn_from, sample)
+    return fit(examples, lambda: encoder(BITS), learner(BITS, epochs))
 
 
 def score_quality(df: DataFrame, weights: np.ndarray | None, text: str = "text", out: str = "score", drop=()) -> DataFrame:

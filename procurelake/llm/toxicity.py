@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from procurelake.llm.linear import BITS, SAMPLE, Ftrl, fit_shards, labelled_texts, score_texts
+from procurelake.llm.linear import BITS, SAMPLE, Ftrl, fit, labelled_texts, score_texts
 from procurelake.llm.quality import crc_part
 from procurelake.llm.words import GOLDEN, WordTable, bare, mix
 
@@ -61,19 +61,26 @@ class Features:
         return np.unique(mix(words * np.uint64(GOLDEN)) >> self.shift).astype(np.int64)
 
 
-def learner(bits: int, epochs: int, penalty: float, kinds: dict[str, str]):
-    def learn(texts: list[str], labels: list[int]) -> np.ndarray:
-        features, model = Features(bits), Ftrl(bits, alpha=ALPHA, l1=L1)
-        examples = []
-        for text in texts:
-            others = [features.of(x) for step in (1, 2) if (x := swapped(text, kinds, step))]
-            examples.append((features.of(text), others))
+def encoder(bits: int, kinds: dict[str, str]):
+    """A function from a text to its places and, for each swap of its identity terms, the places that go and come."""
+    features = Features(bits)
+
+    def encode(text: str) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        places = features.of(text)
+        others = [features.of(x) for step in (1, 2) if (x := swapped(text, kinds, step))]
+        return places.astype(np.int32), [(np.setdiff1d(places, x), np.setdiff1d(x, places)) for x in others]
+
+    return encode
+
+
+def learner(bits: int, epochs: int, penalty: float):
+    def learn(examples: list, labels: list[int]) -> np.ndarray:
+        model = Ftrl(bits, alpha=ALPHA, l1=L1)
         for _ in range(epochs):
             for (places, others), label in zip(examples, labels, strict=True):
                 model.learn(places, np.ones(len(places)), label)
-                for other in others:
+                for gone, come in others:
                     # gradient of penalty * (margin(x) - margin(x'))^2, which only the swapped features bear
-                    gone, come = np.setdiff1d(places, other), np.setdiff1d(other, places)
                     apart = np.concatenate([gone, come])
                     sign = np.concatenate([np.ones(len(gone)), -np.ones(len(come))])
                     weights = model.weights(apart)
@@ -91,9 +98,13 @@ def margin(weights: np.ndarray):
 def fit_toxicity(
     df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", *, learn_from=None, sample: int = SAMPLE, epochs: int = EPOCHS, penalty: float = PENALTY, kinds=None
 ) -> np.ndarray | None:
-    """The model's weights, from a bounded sample (``sample`` rows, about) of the labelled rows that ``learn_from`` admits; None without any."""
-    examples, n = labelled_texts(df, labels, id_col, text, "toxic", F.lit(True) if learn_from is None else learn_from, sample)
-    return fit_shards(examples, n, learner(BITS, epochs, penalty, IDENTITY if kinds is None else kinds))
+    """The model's weights, from a bounded sample (``sample`` rows, about) of the labelled rows that ``learn_from`` admits; None without any.
+
+    Null texts count as empty and teach the bias; nulls, repeated rows, empty tables and other columns are as ``labelled_texts`` says.
+    """
+    examples = labelled_texts(df, labels, id_col, text, "toxic", F.lit(True) if learn_from is None else learn_from, sample)
+    terms = IDENTITY if kinds is None else kinds
+    return fit(examples, lambda: encoder(BITS, terms), learner(BITS, epochs, penalty))
 
 
 def score_toxicity(df: DataFrame, weights: np.ndarray | None, text: str = "text", out: str = "score", drop=()) -> DataFrame:
