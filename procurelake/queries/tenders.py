@@ -114,6 +114,22 @@ def upsert_versions(spark, sf_dir):
     return versions.groupBy("kind").agg(F.count("*").alias("n"), F.max("version_no").alias("top"))
 
 
+def upsert_identity(spark, sf_dir):
+    """Arrivals of which a third has no natural key: they meet the others of the batch, and stored tenders, by fingerprint; what is not tracked is folded too."""
+    t = tenders(spark, sf_dir)
+    buyer = F.col("buyer_org_id").cast("string")
+    shaped = t.select(
+        F.when(F.col("id") % 3 != 0, F.concat(F.lit("k"), buyer)).alias("natural_key"), F.concat(F.lit("f"), buyer, F.lit("-"), (F.col("id") % 8 % 5).cast("string")).alias("fingerprint"), "title", "status",
+        "authority_score", F.array(F.concat(F.lit("u"), (F.col("id") % 4).cast("string"))).alias("source_urls"), F.col("id").alias("seen_at"),
+    )
+    stored = t.where("id % 7 = 0").groupBy("buyer_org_id").agg(F.min("id").alias("first")).select(
+        F.concat(F.lit("s"), F.col("buyer_org_id").cast("string")).alias("tender_id"), F.lit(None).cast("string").alias("natural_key"), F.concat(F.lit("f"), F.col("buyer_org_id").cast("string"), F.lit("-0")).alias("fingerprint"),
+        F.lit(1).alias("version_no"), F.lit("stored").alias("title"), F.lit("OPEN").alias("status"), F.lit(50).alias("authority_score"), F.array(F.lit("u9"), F.lit("u1")).alias("source_urls"),
+    )
+    state, _ = V.upsert(stored, shaped)
+    return state.select("tender_id", "natural_key", "fingerprint", "version_no", "title", "status", "authority_score", F.array_join("source_urls", ",").alias("urls"))
+
+
 def resolve_buyers(spark, sf_dir):
     """Suppliers' nations as buyers, against aliases of the even nations only."""
     n = table(spark, sf_dir, "nation")
@@ -190,7 +206,7 @@ def version_numbers(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        norm_number, norm_org, fingerprint_sha, natural_key_dedupe, duplicate_clusters, jaccard_titles, authority_merge, version_diff, change_kind, insert_ignore, coalesce_update, upsert_versions, resolve_buyers,
+        norm_number, norm_org, fingerprint_sha, natural_key_dedupe, duplicate_clusters, jaccard_titles, authority_merge, version_diff, change_kind, insert_ignore, coalesce_update, upsert_versions, upsert_identity, resolve_buyers,
         wall_time_sast, date_only_rule, month_windows, closing_status, shape_rows, low_confidence_routing, date_quarantine, stats_by_group, open_tenders, table_counts, lateral_latest, version_numbers,
     )
 }
@@ -243,6 +259,21 @@ ORACLE_SQL = {
         WHEN dt OR ds OR c IS DISTINCT FROM oc THEN 'DETAILS_CHANGED' END AS kind FROM d),
       n AS (SELECT kind, row_number() OVER (PARTITION BY buyer_org_id ORDER BY id) AS version_no FROM v WHERE kind IS NOT NULL)
       SELECT kind, count(*) AS n, CAST(max(version_no) AS INT) AS top FROM n GROUP BY 1""",
+    "upsert_identity": f"""{_WITH},
+      a AS (SELECT id, CASE WHEN id % 3 <> 0 THEN 'k' || buyer_org_id END AS nk, 'f' || buyer_org_id || '-' || (id % 8 % 5) AS fp, title, status, authority_score, 'u' || (id % 4) AS url FROM tenders),
+      stored AS (SELECT DISTINCT 's' || buyer_org_id AS sid, 'f' || buyer_org_id || '-0' AS fp FROM tenders WHERE id % 7 = 0),
+      prints AS (SELECT fp, min(nk) AS nk FROM a WHERE nk IS NOT NULL GROUP BY 1),
+      rooted AS (SELECT a.*, CASE WHEN a.nk IS NOT NULL THEN 'n:' || a.nk WHEN p.nk IS NOT NULL THEN 'n:' || p.nk ELSE 'f:' || a.fp END AS root, s.sid FROM a LEFT JOIN prints p ON p.fp = a.fp LEFT JOIN stored s ON s.fp = a.fp),
+      named AS (SELECT *, coalesce(sid, min(sid) OVER (PARTITION BY root), sha256(root || '|' || min(id) OVER (PARTITION BY root))) AS tid FROM rooted),
+      chain AS (SELECT sid AS tid, -1 AS id, NULL AS nk, fp, 'stored' AS title, 'OPEN' AS status, 50 AS authority_score, ['u9', 'u1'] AS urls FROM stored UNION ALL SELECT tid, id, nk, fp, title, status, authority_score, [url] FROM named),
+      d AS (SELECT *, row_number() OVER w AS k, lag(title) OVER w AS ot, lag(status) OVER w AS os FROM chain WINDOW w AS (PARTITION BY tid ORDER BY id)),
+      first_url AS (SELECT tid, url, min(k) AS k FROM (SELECT tid, k, unnest(urls) AS url FROM d) GROUP BY 1, 2),
+      e AS (SELECT d.*, k = 1 AND id >= 0 AS made, id >= 0 AND k > 1 AND (title <> ot OR status <> os) AS changed, EXISTS (SELECT 1 FROM first_url u WHERE u.tid = d.tid AND u.k = d.k) AS brings FROM d),
+      lists AS (SELECT tid, string_agg(url, ',' ORDER BY k, url DESC) AS urls FROM first_url GROUP BY 1)
+      SELECT e.tid AS tender_id, arg_min(nk, k) FILTER (nk IS NOT NULL) AS natural_key, arg_max(fp, k) FILTER (id < 0 OR made OR changed OR brings) AS fingerprint,
+        CAST(max(CASE WHEN id < 0 THEN 1 ELSE 0 END) + count(*) FILTER (made OR changed) AS INT) AS version_no, arg_max(title, k) AS title, arg_max(status, k) AS status,
+        max(authority_score) FILTER (id < 0 OR made OR changed OR brings) AS authority_score, any_value(lists.urls) AS urls
+      FROM e JOIN lists USING (tid) GROUP BY e.tid""",
     "resolve_buyers": "SELECT s_suppkey, 'The ' || (SELECT string_agg(upper(w[1]) || lower(w[2:]), ' ') FROM unnest(string_split(n_name, ' ')) AS u(w)) AS buyer_name, CASE WHEN n_nationkey % 2 = 0 THEN CAST(n_nationkey AS VARCHAR) END AS known_org, n_nationkey % 2 <> 0 AS made FROM supplier JOIN nation ON s_nationkey = n_nationkey",
     "wall_time_sast": "SELECT event_id, strftime(ts - INTERVAL 2 HOUR, '%Y-%m-%d %H:%M:%S') AS utc, event_id % 4 IN (0, 3) AS corrected FROM events",
     "date_only_rule": """WITH o AS (SELECT o_orderkey, o_orderdate + to_hours(CAST(o_orderkey % 3 * 11 AS INT)) AS closing FROM orders), d AS (SELECT *, hour(closing) IN (0, 22) AND minute(closing) = 0 AND second(closing) = 0 AS date_only FROM o)

@@ -79,6 +79,46 @@ def test_upsert_folds_arrivals(spark):
     assert (last.title, last.status, last.closing_at, last.version_no) == ("Old", "CANCELLED", datetime(2026, 1, 2), 4) and "title" in TRACKED
 
 
+STORED = "tender_id string, natural_key string, fingerprint string, version_no int, title string, closing_at timestamp, source_urls array<string>, documents array<struct<url:string,filename:string>>, review_items array<struct<field:string,confidence:double>>, authority_score int, field_provenance map<string,string>, buyer_org_id string"
+ARRIVING = STORED.replace("tender_id string, ", "").replace("version_no int, ", "") + ", seen_at int"
+
+
+def test_arrivals_of_one_batch_are_identified(spark):
+    """One with and one without a natural key but the same fingerprint are one tender, whichever comes first; so are those that others connect."""
+    row = lambda nk, fp, at: (nk, fp, "T", None, [f"u{at}"], [], [], 10, {}, None, at)
+    none = spark.createDataFrame([], STORED)
+    for rows, n in (
+        ([row("k1", "f1", 1), row(None, "f1", 2)], 1), ([row(None, "f1", 1), row("k1", "f1", 2), row("k1", "f2", 3), row(None, "f2", 4)], 1),
+        ([row("k1", "f1", 1), row("k2", "f1", 2), row(None, "f3", 3), row("k2", "f3", 4), row(None, "f9", 5)], 2), ([row(None, None, 1), row(None, None, 2)], 2), ([], 0),
+    ):
+        incoming = spark.createDataFrame(rows, ARRIVING)
+        state, versions = upsert(none, incoming)
+        assert state.count() == n == versions.where("kind = 'CREATED'").count()
+        again, more = upsert(state, incoming.where("fingerprint is not null"))
+        assert sorted(map(tuple, again.select("tender_id", "version_no").collect())) == sorted(map(tuple, state.select("tender_id", "version_no").collect())) and more.count() == 0
+    # an arrival that only others connect with a stored tender is that tender; one that a stored tender matches stays with it
+    stored = spark.createDataFrame([("s1", "k1", "f0", 3, "T", None, ["u0"], [], [], 10, {}, None), ("s2", "k5", "f5", 1, "T", None, ["u5"], [], [], 10, {}, None)], STORED)
+    state, _ = upsert(stored, spark.createDataFrame([row(None, "f1", 1), row("k1", "f1", 2), row("k5", "f1", 3)], ARRIVING))
+    assert {r.tender_id: set(r.source_urls) for r in state.collect()} == {"s1": {"u0", "u1", "u2"}, "s2": {"u5", "u3"}}
+
+
+def test_upsert_keeps_what_is_not_tracked(spark):
+    at = lambda d: datetime(2026, 1, d)
+    stored = spark.createDataFrame([("t", "k", "f0", 4, "Old", at(9), ["a", "b"], [("d1", "x")], [("closing_at", 0.5)], 60, {"title": "old"}, "o1")], STORED)
+    rows = [
+        ("k", "f1", "Old", at(9), ["c", "a"], [("d1", "other"), ("d2", "y")], [("closing_at", 0.1), ("value", 0.2)], 40, {"title": "new url"}, None, 1),
+        ("k", "f2", "New", at(12), ["a"], None, None, 90, {"title": "changed"}, "o2", 2),
+        ("k", "f3", "New", None, ["b"], [("d3", "z")], [("requirements", 0.3)], 99, {"title": "nothing new"}, "o3", 3),
+    ]
+    state, versions = upsert(stored, spark.createDataFrame(rows, ARRIVING))
+    r = state.first()
+    assert (r.tender_id, r.version_no, r.title, r.closing_at, r.fingerprint) == ("t", 5, "New", at(12), "f2")
+    assert r.source_urls == ["a", "b", "c"] and [(d.url, d.filename) for d in r.documents] == [("d1", "x"), ("d2", "y")]
+    assert [(i.field, i.confidence) for i in r.review_items] == [("closing_at", 0.5), ("value", 0.2)]
+    assert (r.authority_score, r.field_provenance, r.buyer_org_id) == (90, {"title": "changed"}, "o2")
+    assert [(v.kind, v.version_no) for v in versions.collect()] == [("EXTENDED", 5)]
+
+
 def test_timezone_repairs(spark):
     raw = json.dumps(item(1))
     archive = spark.createDataFrame([("o-1", "r-0", "{}", 1), ("o-1", "r-1", raw, 2), ("o-2", "r-2", None, 1)], "ocid string, release_id string, raw string, archived_at int")
