@@ -26,14 +26,14 @@ def duplicate_links(tenders: DataFrame, key: str = "id", closing_day: str = "clo
     def star(on: list[str], where) -> DataFrame:
         rows = tenders.where(where).select(*on, key)
         low = rows.groupBy(*on).agg(F.min(key).alias("a"))
-        return rows.join(low, on).where(F.col(key) != F.col("a")).select("a", F.col(key).alias("b"))
+        return rows.join(low.repartition(F.xxhash64(*on, F.lit(1))), on).where(F.col(key) != F.col("a")).select("a", F.col(key).alias("b"))
 
     known = (F.col("buyer_key") != "") | F.col("buyer_key").isNotNull()
     equal = star(["fingerprint"], F.col("fingerprint").isNotNull())
     numbered = star(["buyer_key", "normalized_tender_number"], known & (F.col("normalized_tender_number") != ""))
     words = tenders.where(known & F.col(closing_day).isNotNull()).select("buyer_key", F.col(closing_day).alias("day"), key, F.array_sort(word_set("title")).alias("words")).where(F.size("words") > 0)
     low = words.groupBy("buyer_key", "day", "words").agg(F.min(key).alias("a"))
-    same = words.join(low, ["buyer_key", "day", "words"]).where(F.col(key) != F.col("a")).select("a", F.col(key).alias("b"))
+    same = words.join(low.repartition(F.xxhash64("buyer_key", "day", "words", F.lit(1))), ["buyer_key", "day", "words"]).where(F.col(key) != F.col("a")).select("a", F.col(key).alias("b"))
     # a pair with similarity t shares a word among the first n - ceil(t n) + 1 of each, words in one fixed order: rarest first
     each = low.select("buyer_key", "day", "a", F.explode("words").alias("word"))
     rarity = each.groupBy("word").agg(F.count("*").alias("n"))

@@ -158,12 +158,15 @@ def resolve_reviews(queue: DataFrame, decisions: DataFrame) -> tuple[DataFrame,
     """OP-D13. (values to write, queue after): ``decisions(id, action, value, decided_at)`` with approve, correct or reject.
 
     Approved and corrected values are written with human confidence 1; an approval of an item without a
-    value writes nothing and leaves it open, and so does a decision on a resolved item.
+    value writes nothing and leaves it open, and so does a decision on a resolved item. Of several valid
+    decisions on an item the first by time counts, as it would have resolved the item before the others came;
+    of those at one time, the first by action and value.
     """
     open_ = queue.where("resolved_at is null")
     both = open_.join(decisions.select("id", "action", F.col("value").alias("given"), "decided_at"), "id")
     value = F.when(F.col("action") == "correct", F.col("given")).when(F.col("action") == "approve", F.col("value"))
-    valid = both.withColumn("final", value).where(F.col("action").isin("reject") | F.col("final").isNotNull())
+    valid = both.withColumn("final", value).where(F.col("action").isin("reject") | (F.col("action").isin("approve", "correct") & F.col("final").isNotNull()))
+    valid = valid.groupBy("id").agg(F.min_by(F.struct("tender_id", "field", "action", "final", "decided_at"), F.struct("decided_at", "action", "final")).alias("d")).select("id", "d.*")
     writes = valid.where("action != 'reject'").select("tender_id", "field", F.col("final").alias("value"), F.lit(1.0).alias("confidence"), F.lit("HUMAN_VERIFIED").alias("kind"))
     done = valid.select("id", F.col("decided_at").alias("__at"), F.col("action").alias("__how"))
     after = queue.join(done, "id", "left").withColumn("resolved_at", F.coalesce("resolved_at", "__at")).withColumn("resolution", F.coalesce("resolution", "__how"))

@@ -36,8 +36,9 @@ def is_structured(raw) -> Column:
 
 
 def after_run(jobs: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """OP-D11. Jobs after ``outcomes(job_id, ok, error, at)``: DONE, RETRY_BACKOFF with the next time, or FAILED at the last attempt."""
-    both = jobs.join(outcomes.select("job_id", "ok", F.col("error").alias("__error"), "at"), "job_id", "left")
+    """OP-D11. Jobs after ``outcomes(job_id, ok, error, at)``: DONE, RETRY_BACKOFF with the next time, or FAILED at the last attempt. Of several outcomes of a job the first counts."""
+    one = outcomes.groupBy("job_id").agg(F.min_by(F.struct("ok", "error", "at"), F.struct("at", "ok", "error")).alias("o"))
+    both = jobs.join(one.select("job_id", "o.ok", F.col("o.error").alias("__error"), "o.at"), "job_id", "left")
     ran = F.col("ok").isNotNull()
     attempts = F.col("attempts") + F.when(ran & ~F.col("ok"), 1).otherwise(0)
     state = F.when(~ran, F.col("state")).when(F.col("ok"), "DONE").when(attempts >= MOST_ATTEMPTS, "FAILED").otherwise("RETRY_BACKOFF")

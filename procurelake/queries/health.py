@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from procurelake.functions.times import backoff_minutes
 from procurelake.plans import health as H
 from procurelake.plans import schedule as S
-from procurelake.queries.tables import HEALTH_AS_OF, health_now, HEALTH_SQL, checks, instant, jobs, sources
+from procurelake.plans import stats
+from procurelake.queries.tables import HEALTH_AS_OF, health_now, HEALTH_SQL, checks, instant, jobs, sources, table
+from procurelake.sources.adapter_source import due_between
 
 WEEK_AGO = "2024-01-24 00:00:00"
 
@@ -116,11 +118,30 @@ def audit_read(spark, sf_dir):
     return S.audit_query(audit, action="click", email="USER1", limit=50).select("id", "logged_at", "action", "user_email")
 
 
+def due_ticks(spark, sf_dir):
+    """How often each source falls due in a day, first and last, in seconds."""
+    day = lambda text: F.lit(text).cast("timestamp")
+    t = due_between(sources(spark, sf_dir), day(WEEK_AGO), day("2024-01-25 00:00:00"))
+    at = F.unix_timestamp("due_at")
+    return t.groupBy("source_id").agg(F.count("*").alias("n"), F.min(at).alias("first_due"), F.max(at).alias("last_due"))
+
+
+def pager_lines(spark, sf_dir):
+    """What the pager prints, with its exit code."""
+    code, lines = H.pager_report(_judged(spark, sf_dir))
+    return lines.select(F.lit(code).alias("code"), "line")
+
+
+def outcome_counts(spark, sf_dir):
+    """Interactions by outcome."""
+    return stats.outcome_counts(table(spark, sf_dir, "events").select(F.col("event_type").alias("outcome")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         health_episodes, open_episodes, health_verdicts, health_paging, health_summary, latest_error, last_run_distinct_on, live_job_distinct_on, mttr_report, episode_stamps,
-        crawl_stats_json, jobs_by_state, freshness_by_tier, adapter_health_silent, recent_failures_topk, due_sources, runnable_jobs, backoff_schedule, job_state_machine, source_transitions, audit_read,
+        due_ticks, pager_lines, outcome_counts, crawl_stats_json, jobs_by_state, freshness_by_tier, adapter_health_silent, recent_failures_topk, due_sources, runnable_jobs, backoff_schedule, job_state_machine, source_transitions, audit_read,
     )
 }
 
@@ -149,6 +170,10 @@ ORACLE_SQL = {
     "health_summary": f"""{_WITH}{_JUDGED} SELECT count(*) AS sources_total, count(*) FILTER (state NOT IN ('PUBLISH_NOTHING', 'DISCOVERY')) AS crawlable, count(*) FILTER (state = 'OK') AS healthy,
       round(100.0::DOUBLE * count(*) FILTER (state = 'OK') / count(*) FILTER (state NOT IN ('PUBLISH_NOTHING', 'DISCOVERY')), 1) AS healthy_pct, count(*) FILTER (page) AS paging,
       100.0::DOUBLE * count(*) FILTER (state = 'OK') / count(*) FILTER (state NOT IN ('PUBLISH_NOTHING', 'DISCOVERY')) >= 95 AS sla_met FROM ranked""",
+    "due_ticks": f"""{_WITH}, t AS (SELECT source_id, 60 * frequency_min AS step, epoch(TIMESTAMP '{WEEK_AGO}')::BIGINT AS a, epoch(TIMESTAMP '2024-01-25 00:00:00')::BIGINT AS b FROM sources)
+      SELECT source_id, b // step - a // step AS n, (a // step + 1) * step AS first_due, b // step * step AS last_due FROM t WHERE b // step > a // step""",
+    "pager_lines": f"{_WITH}{_JUDGED} SELECT 2 AS code, state || ' ' || source_id AS line FROM ranked WHERE page",
+    "outcome_counts": "SELECT event_type AS outcome, count(*) AS n FROM events GROUP BY 1",
     "latest_error": f"{_WITH} SELECT source_id, arg_max(error, checked_at) AS last_error, max(checked_at) AS checked_at FROM checks WHERE error IS NOT NULL GROUP BY 1",
     "last_run_distinct_on": f"""{_WITH} SELECT DISTINCT ON (source_id) source_id, job_id, state, CASE WHEN state = 'DONE' THEN k + k % 3 ELSE 0 END AS notices_last_run
       FROM jobs WHERE state IN ('DONE', 'FAILED') ORDER BY source_id, run_time DESC, job_id DESC""",

@@ -12,6 +12,7 @@ from procurelake.operators import versions as V
 from procurelake.plans import schedule, stats
 from procurelake.queries.tables import TENDER_AS_OF, tender_now, TENDER_SQL, table, tenders
 from procurelake.sources.ocds import month_windows as windows
+from procurelake.sources.ocds import windows_of
 
 
 def norm_number(spark, sf_dir):
@@ -154,6 +155,12 @@ def month_windows(spark, sf_dir):
     return windows(spark, "2023-11-15", "2025-02-10")
 
 
+def buyer_windows(spark, sf_dir):
+    """The months between each buyer's first and last notice, as windows to read again."""
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("buyer_org_id")).agg(F.min("o_orderdate").cast("date").alias("start"), F.max("o_orderdate").cast("date").alias("end"))
+    return windows_of(o)
+
+
 def closing_status(spark, sf_dir):
     t = tenders(spark, sf_dir)
     state = N.tender_status("closing_at", "closing_confidence", tender_now(), F.col("id") % 17 == 0, F.col("id") % 19 == 0)
@@ -207,7 +214,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         norm_number, norm_org, fingerprint_sha, natural_key_dedupe, duplicate_clusters, jaccard_titles, authority_merge, version_diff, change_kind, insert_ignore, coalesce_update, upsert_versions, upsert_identity, resolve_buyers,
-        wall_time_sast, date_only_rule, month_windows, closing_status, shape_rows, low_confidence_routing, date_quarantine, stats_by_group, open_tenders, table_counts, lateral_latest, version_numbers,
+        wall_time_sast, date_only_rule, month_windows, buyer_windows, closing_status, shape_rows, low_confidence_routing, date_quarantine, stats_by_group, open_tenders, table_counts, lateral_latest, version_numbers,
     )
 }
 
@@ -279,6 +286,8 @@ ORACLE_SQL = {
     "date_only_rule": """WITH o AS (SELECT o_orderkey, o_orderdate + to_hours(CAST(o_orderkey % 3 * 11 AS INT)) AS closing FROM orders), d AS (SELECT *, hour(closing) IN (0, 22) AND minute(closing) = 0 AND second(closing) = 0 AS date_only FROM o)
       SELECT o_orderkey, date_only, strftime(CASE WHEN date_only THEN date_trunc('day', closing + INTERVAL 2 HOUR) + INTERVAL 9 HOUR ELSE closing END, '%Y-%m-%d %H:%M:%S') AS closing FROM d""",
     "month_windows": """SELECT greatest(m, DATE '2023-11-15')::DATE AS from_day, least(last_day(m), DATE '2025-02-10')::DATE AS to_day FROM (SELECT unnest(generate_series(DATE '2023-11-01', DATE '2025-02-10', INTERVAL 1 MONTH))::DATE AS m)""",
+    "buyer_windows": """WITH b AS (SELECT o_custkey AS buyer_org_id, min(o_orderdate)::DATE AS s, max(o_orderdate)::DATE AS e FROM orders GROUP BY 1),
+      m AS (SELECT *, unnest(generate_series(date_trunc('month', s), e::TIMESTAMP, INTERVAL 1 MONTH))::DATE AS m FROM b) SELECT buyer_org_id, greatest(m, s)::DATE AS from_day, least(last_day(m), e)::DATE AS to_day FROM m""",
     "closing_status": f"""{_WITH} SELECT id, CASE WHEN id % 17 = 0 THEN 'CANCELLED' WHEN id % 19 = 0 THEN 'AWARDED' WHEN closing_at IS NULL OR closing_confidence < 0.8::DOUBLE THEN 'UNKNOWN' WHEN closing_at <= TIMESTAMP '{TENDER_AS_OF}' THEN 'CLOSED'
       WHEN closing_at <= TIMESTAMP '{TENDER_AS_OF}' + INTERVAL 72 HOUR THEN 'CLOSING_SOON' ELSE 'OPEN' END AS status_now FROM tenders""",
     "shape_rows": f"""{_WITH} SELECT id, buyer_name, closing_confidence >= 0.8::DOUBLE AS verified, CASE WHEN id % 2 <> 0 THEN 'assumed' END AS note, CASE WHEN closing_confidence < 0.8::DOUBLE THEN 'u/' || id END AS verify_at_source FROM tenders""",

@@ -90,7 +90,7 @@ def sitemap_notices(locs: DataFrame) -> DataFrame:
     return as_notices(locs.select("source_id", F.col("loc").alias("source_url"), F.replace(slug, F.lit("-"), F.lit(" ")).alias("title"), F.lit('{"format": "sitemap"}').alias("raw")))
 
 
-def posts_to_notices(posts: DataFrame, source_id: str) -> DataFrame:
+def posts_to_notices(posts: DataFrame, source_id: str | Column) -> DataFrame:
     """SRC-10. Posts (id, date, date_gmt, link, title.rendered, excerpt.rendered); ``date_gmt`` is UTC, else ``date`` is local."""
     plain = lambda c: F.nullif(F.trim(F.regexp_replace(c, "<[^>]+>", "")), F.lit(""))
     gmt = parse_iso(F.nullif(F.col("date_gmt"), F.lit("")), "+00:00")

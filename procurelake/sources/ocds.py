@@ -31,7 +31,7 @@ def given(x) -> Column:
     return F.nullif(x if isinstance(x, Column) else F.col(x), F.lit(""))
 
 
-def release_to_notice(releases: DataFrame, source_id: str, *, map_value: bool = False) -> DataFrame:
+def release_to_notice(releases: DataFrame, source_id: str | Column, *, map_value: bool = False) -> DataFrame:
     """SRC-5. Map releases to notices, repairing the timestamps that claim UTC.
 
     With ``map_value`` the amount is mapped too, zero meaning none.
@@ -83,6 +83,11 @@ def archive_rows(releases: DataFrame) -> DataFrame:
 
 def month_windows(spark: SparkSession, start: str, end: str) -> DataFrame:
     """SRC-3. (from_day, to_day) of each month that [start, end] touches, the first and last clipped; none if start is later."""
-    bounds = spark.range(1).select(F.to_date(F.lit(start)).alias("s"), F.to_date(F.lit(end)).alias("e")).where("s <= e")
-    months = bounds.select("s", "e", F.explode(F.expr("sequence(trunc(s, 'MM'), e, interval 1 month)")).alias("m"))
-    return months.select(F.greatest("m", "s").alias("from_day"), F.least(F.last_day("m"), F.col("e")).alias("to_day"))
+    return windows_of(spark.range(1).select(F.to_date(F.lit(start)).alias("start"), F.to_date(F.lit(end)).alias("end")))
+
+
+def windows_of(spans: DataFrame) -> DataFrame:
+    """SRC-3 for a table of ``spans(..., start, end)`` in days: the other columns with (from_day, to_day) of each month that a span touches; a null or reversed span has none."""
+    rest = [c for c in spans.columns if c not in ("start", "end")]
+    months = spans.where("start <= end").withColumn("m", F.explode(F.expr("sequence(trunc(start, 'MM'), end, interval 1 month)")))
+    return months.select(*rest, F.greatest("m", "start").alias("from_day"), F.least(F.last_day("m"), F.col("end")).alias("to_day"))
