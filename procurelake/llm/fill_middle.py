@@ -1,10 +1,10 @@
 """Fill-in-middle transformation (operator 12), in relations of units.
 
 A text is cut into units, the matches of a pattern, of which prefix, middle and suffix have whole numbers. The
-matches come in two levels, so that no text costs a row for every code point: blocks of units are exploded
-with their positions, and window sums over a text's blocks give the units and code points before each. Cut
-requests meet the block that holds their unit; only these blocks are exploded into units, window sums of the
-unit lengths run over them, and the requests are joined by unit ordinal. The offsets are aggregated per
+matches come in two levels, so that no text costs a row for every code point: the lengths of blocks of units
+are exploded with their positions, and window sums over a text's blocks give the code points before each. Cut
+requests are joined to the block that holds their unit; only these blocks are exploded into units, window sums
+of the unit lengths run over them, and the requests are joined by unit ordinal. The offsets are aggregated per
 document, joined back, and substrings make the output. All of it is DataFrame functions.
 
 A document is known by id and text digest: rows equal in both have the same cuts, so no row number has to
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from procurelake.llm.shared import quoted, text_or_empty, unused
 
-#: Units of a block; about the square root of a long text's units would be least work, the value is not critical.
-BLOCK = 64
+#: Units of a block; about the square root of half a text's units is least work, the value is not critical.
+BLOCK = 40
 #: A unit per code point.
 CODE_POINT = r"(?s)."
 #: The marks before prefix, suffix and middle; per cent of plain texts and of texts with the suffix first.
@@ -55,30 +55,34 @@ def n_units(text: Column, unit: str) -> Column:
 def cut_offsets(keyed: DataFrame, unit: str) -> DataFrame:
     """(id, sha, first_at, second_at): code points before the two cuts of each of ``keyed(id, sha, text, first, second)``.
 
-    ``first`` and ``second`` are numbers of units; rows that are equal count once.
+    ``first`` and ``second`` are numbers of units; rows that are equal count once. A cut after the last unit
+    is in no block and stays null. All relations are dealt out by id and digest once, while they are one
+    small row per text (lengths of its blocks, the blocks with a cut); ordinals are compared as a residual
+    condition of the joins, so that these do not deal out the exploded rows anew.
     """
-    cuts = F.transform(F.array("first", "second"), lambda c: c)
-    # a block holds the units [from, from + units); it carries its text only if it holds a cut
-    block = keyed.select("id", "sha", "first", "second", F.posexplode(blocks_of(F.col("text"), unit)).alias("k", "block"))
-    start = F.col("k").cast("long") * BLOCK
-    holds = F.exists(F.array("first", "second"), lambda c: (c >= start) & (c < start + BLOCK))
-    rows = block.select(
-        "id", "sha", "k", "first", "second",
-        F.char_length("block").cast("long").alias("chars"), F.when(holds, F.col("block")).alias("block"),
-    ).groupBy("id", "sha", "k").agg(*[F.max(c).alias(c) for c in ("first", "second", "chars", "block")])
-    doc = Window.partitionBy("id", "sha").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("before", F.coalesce(F.sum("chars").over(doc), F.lit(0).cast("long")))
-    held = placed.where("block is not null")
-    # units of the blocks that hold a cut, with the code points of the text before each
-    units = held.select("id", "sha", "k", "before", F.posexplode(units_of(F.col("block"), unit)).alias("i", "unit"))
-    inside = Window.partitionBy("id", "sha", "k").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    ordinal = (F.col("k").cast("long") * BLOCK + F.col("i")).alias("ordinal")
-    at = (F.col("before") + F.coalesce(F.sum(F.char_length("unit")).over(inside), F.lit(0).cast("long"))).alias("at")
-    ordinals = units.select("id", "sha", "k", ordinal, at)
-    requests = held.select("id", "sha", "k", F.posexplode(cuts).alias("which", "ordinal"))
-    met = requests.join(ordinals, ["id", "sha", "k", "ordinal"])
-    which = lambda n, name: F.max(F.when(F.col("which") == n, F.col("at"))).alias(name)
-    return met.groupBy("id", "sha").agg(which(0, "first_at"), which(1, "second_at"))
+    cut = keyed.select("id", "sha", "first", "second", blocks_of(F.col("text"), unit).alias("blocks"))
+    numbered = F.transform("blocks", lambda b, k: F.struct(k.alias("k"), F.when((k == F.floor(F.col("first") / BLOCK)) | (k == F.floor(F.col("second") / BLOCK)), b).alias("block")))
+    lean = cut.select("id", "sha", "first", "second", F.transform("blocks", lambda b: F.char_length(b)).alias("chars"), F.filter(numbered, lambda x: x["block"].isNotNull()).alias("held"))
+    lean = lean.dropDuplicates(["id", "sha"])
+    running = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0).cast("long")
+
+    # code points before each block
+    sizes = lean.select("id", "sha", F.posexplode("chars").alias("k", "chars"))
+    before = F.coalesce(F.sum("chars").over(running(Window.partitionBy("id", "sha").orderBy("k"))), none)
+    sizes = sizes.select("id", "sha", "k", before.alias("before"))
+    requests = lean.select(F.col("id").alias("rid"), F.col("sha").alias("rsha"), F.posexplode(F.array("first", "second")).alias("which", "ordinal"))
+    mine = (F.col("rid") == F.col("id")) & (F.col("rsha") == F.col("sha"))
+    placed = requests.join(sizes, mine & (F.floor(F.col("ordinal") / BLOCK) - F.col("k") == 0)).select("rid", "rsha", "which", "ordinal", "before")
+
+    # code points before each unit of the blocks that hold a cut
+    held = lean.select("id", "sha", F.explode("held").alias("h"))
+    units = held.select("id", "sha", "h.k", F.posexplode(units_of(F.col("h.block"), unit)).alias("i", "unit"))
+    inside = F.coalesce(F.sum(F.char_length("unit")).over(running(Window.partitionBy("id", "sha", "k").orderBy("i"))), none)
+    units = units.select("id", "sha", (F.col("k").cast("long") * BLOCK + F.col("i")).alias("u"), inside.alias("inside"))
+    met = placed.join(units, mine & (F.col("ordinal") - F.col("u") == 0))
+    at = lambda n, name: F.max(F.when(F.col("which") == n, F.col("before") + F.col("inside"))).alias(name)
+    return met.groupBy("id", "sha").agg(at(0, "first_at"), at(1, "second_at"))
 
 
 def fill_in_middle(df: DataFrame, id_col: str = "doc_id", text: str = "text", *, unit: str = CODE_POINT, out: str = "fim") -> DataFrame:
@@ -99,12 +103,11 @@ def fill_in_middle(df: DataFrame, id_col: str = "doc_id", text: str = "text", *,
     plain = (F.length(own) == 0) | own.contains(PREFIX) | own.contains(SUFFIX) | own.contains(MIDDLE) | (h(3) % 100 >= PLAIN_FROM)
     form = F.when(plain, "plain").when(h(4) % 100 < SPM_BELOW, "spm").otherwise("psm")
     a, b = h(1) % (marked + 1), h(2) % (marked + 1)
-    full = df.withColumns({mark["sha"]: F.sha2(own, 256), mark["n"]: n, mark["form"]: form})
+    full = df.withColumns({mark["sha"]: F.unhex(F.sha2(own, 256)), mark["n"]: n, mark["form"]: form})
     full = full.withColumns({mark["first"]: F.least(a, b), mark["second"]: F.greatest(a, b)})
     cut = full.where(F.col(mark["form"]) != "plain").select(
         F.col(quoted(id_col)).cast("string").alias("id"), F.col(mark["sha"]).alias("sha"), own.alias("text"), F.col(mark["first"]).alias("first"), F.col(mark["second"]).alias("second")
     )
-    # a cut after the last unit is held by no block: it lies at the end
     offsets = cut_offsets(cut.withColumn("id", F.coalesce("id", F.lit(""))), unit)
     offsets = offsets.select(F.col("id").alias(mark["id"]), F.col("sha").alias(mark["met"]), F.struct("first_at", "second_at").alias(unused(full, "offsets")))
     met_id, met_sha, at = offsets.columns
