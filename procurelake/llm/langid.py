@@ -22,8 +22,8 @@ from procurelake.llm.words import mix
 BITS, PSEUDO = 16, 0.5
 #: Weight of a level's parent in the smoothing of priors, in pages; and of the overall share in the confusion tables.
 PARENT, DECLARED = 5.0, 2.0
-#: Languages that a model may have, so that its table stays under 32 MB.
-MAX_LANGUAGES = 64
+#: Languages whose models are broadcast together (16 MB).
+LANGUAGES = 64
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -54,13 +54,21 @@ def fit_languages(df: DataFrame, text: str = "text", lang: str = "lang") -> tupl
             yield pa.RecordBatch.from_arrays([pa.array([k] * len(places), pa.string()), pa.array(places), pa.array(n[places])], names=["lang", "place", "n"])
 
     counted = sent.mapInArrow(count, "lang string, place long, n long").groupBy("lang", "place").agg(F.sum("n").alias("n"))
-    names = sorted(r.lang for r in sent.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    totals = np.full((len(names), 1 << BITS), PSEUDO)
-    for r in counted.toLocalIterator():  # at most 2^16 rows a language
-        totals[names.index(r.lang), r.place] += r.n
-    return names, np.log(totals / totals.sum(1, keepdims=True)).astype("<f4")
+    names, logs = [], []
+    totals = np.full(1 << BITS, PSEUDO)
+    for r in stash(counted, "trigrams").orderBy("lang").toLocalIterator():  # at most 2^16 rows a language, one language after the other
+        if not names or names[-1] != r.lang:
+            if names:
+                logs.append(np.log(totals / totals.sum()).astype("<f4"))
+            names.append(r.lang)
+            totals = np.full(1 << BITS, PSEUDO)
+        totals[r.place] += r.n
+    if names:
+        logs.append(np.log(totals / totals.sum()).astype("<f4"))
+    # a language of which no text has a trigram says the same of all texts
+    silent = [r.lang for r in sent.select("lang").distinct().collect() if r.lang not in {*names}]
+    rows = dict(zip(names, logs, strict=True)) | {k: np.full(1 << BITS, -BITS * np.log(2), "<f4") for k in silent}
+    return sorted(rows), np.stack([rows[k] for k in sorted(rows)]) if rows else np.zeros((0, 1 << BITS), "<f4")
 
 
 def page_text(html):
@@ -95,26 +103,36 @@ def identify(df: DataFrame, languages: list[str], table: np.ndarray, *, url: str
     if not n:
         keep = [F.col(quoted(c)) for c in df.columns if c.lower() not in names]
         return df.select(*keep, host.alias("host"), declared.alias("declared"), *[F.lit(None).cast("string").alias(c) for c in outs[2:4]], F.lit(None).cast("double").alias("confidence"))
-    broad = df.sparkSession.sparkContext.broadcast(table)
 
-    def make():
-        logs = broad.value.astype(np.float64)
+    def scorer(block: np.ndarray):
+        broad = df.sparkSession.sparkContext.broadcast(block)
 
-        def compute(texts: pa.Array):
-            out = []
-            for t in texts:
-                places = trigrams((t.as_py() or "").strip())
-                # neighbouring trigrams repeat each other's evidence: it grows with the root of the length
-                out.append((logs[:, places].sum(1) / np.sqrt(max(1, len(places)))).tolist())
-            return [pa.array(out, pa.list_(pa.float64()))]
+        def make():
+            logs = broad.value.astype(np.float64)
 
-        return compute
+            def compute(texts: pa.Array):
+                out = []
+                for t in texts:
+                    places = trigrams((t.as_py() or "").strip())
+                    # neighbouring trigrams repeat each other's evidence: it grows with the root of the length
+                    out.append((logs[:, places].sum(1) / np.sqrt(max(1, len(places)))).tolist())
+                return [pa.array(out, pa.list_(pa.float64()))]
+
+            return compute
+
+        return make
 
     parts = F.split("host", r"\.")
     # the columns that pass through travel as one, so that none meets a name of this function's own
     passed = F.struct(*[F.col(quoted(c)) for c in df.columns if c.lower() not in names], F.lit(None).cast("int").alias(unused(df, "none"))).alias("row")
     ready = df.select(passed, F.coalesce(host, F.lit("")).alias("host"), F.coalesce(declared, F.lit("")).alias("declared"), page_text(F.col(quoted(html))).alias("text"))
-    scored = append_columns(ready, ["text"], [T.StructField("logs", T.ArrayType(T.DoubleType()))], make, drop=["text"])
+    # a model of LANGUAGES languages is broadcast at a time; each writes what it makes of the texts before the next
+    starts, scored = range(0, n, LANGUAGES), ready
+    for k, lo in enumerate(starts):
+        last = k == len(starts) - 1
+        scored = append_columns(scored, ["text"], [T.StructField(f"logs{k}", T.ArrayType(T.DoubleType()))], scorer(table[lo : lo + LANGUAGES]), drop=["text"] if last else [])
+        scored = scored if last else stash(scored, "logs")
+    scored = scored.withColumn("logs", F.concat(*[F.col(f"logs{k}") for k in range(len(starts))])).drop(*[f"logs{k}" for k in range(len(starts))])
     known = F.when(F.col("declared").isin(*languages), F.col("declared")).when(F.col("declared") == "", "").otherwise("other")
     scored = scored.withColumn("post", softmax(F.col("logs"), n)).withColumn("said", known)
     scored = stash(scored, "pages")
@@ -131,7 +149,8 @@ def identify(df: DataFrame, languages: list[str], table: np.ndarray, *, url: str
     hosts = hosts.withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.element_at(parts, -1))
     domains = hosts.groupBy("domain").agg(sums("host_sums", n, "domain_sums"), F.sum("host_n").alias("domain_n"))
     suffixes = hosts.groupBy("suffix").agg(sums("host_sums", n, "suffix_sums"))
-    hosts = hosts.join(domains, "domain").join(suffixes, "suffix").drop("domain", "suffix")
+    # domains and suffixes that very many hosts share (com) are split by the joins
+    hosts = hosts.join(apart(domains, "domain"), "domain").join(apart(suffixes, "suffix"), "suffix").drop("domain", "suffix")
     judged = scored.join(apart(hosts, "host"), "host")
 
     def fused(i: int):

@@ -289,6 +289,11 @@ def near_duplicates(
     gives an empty result. ``report`` is told what the audits measure.
     """
     base = df.select(F.col(quoted(id_col)).alias("id"), text_or_empty(text).alias("text"))
+    if not base.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        # ids that repeat, null ones too, do not tell texts apart: the row's number is added to them
+        numbered = stash(base.select(F.struct("id", F.monotonically_increasing_id().alias("number")).alias("key"), "text"), "numbered")
+        found = near_duplicates(numbered, "key", "text", size=size, threshold=threshold, trees=trees, deepest=deepest, recall=recall, report=report)
+        return found.select(F.col("key.id").alias(id_col), F.col("class_id.id").alias("class_id"), "n_links", F.col("set_id.id").alias("set_id"), "kept")
     questions, digests = audit_questions(base.select("text"), size, threshold)
     signed = with_sets(base.withColumn("row", F.monotonically_increasing_id()), "text", size, signature=trees * deepest, questions=questions)
     rows = stash(signed, "signed")

@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from procurelake.llm.exact_dedup import LOWER, UPPER
+from procurelake.llm.shared import quoted, stash
 
 #: Rules up to this number are broadcast (under 30 MB); more are joined by shuffle.
 BROADCAST_RULES = 100_000
+#: Shapes of rules up to this number are looked up one by one; beyond it every host suffix and path prefix is.
+SHAPES = 500
 RULES = T.StructType([T.StructField(n, T.StringType()) for n in ("action", "host", "path")])
 #: The rules of the query.
 PRODUCTION_RULES = [
@@ -62,20 +65,29 @@ def filter_urls(df: DataFrame, rules: DataFrame, url: str = "url", default: str
     path together, then the longer host) wins; without a rule the verdict is ``default``. Null urls and urls
     without ``://`` have an empty host and path and match no rule. Rows keep their number, repeated or not;
     long urls make one expression per shape, so their length does not matter. Each distinct host and path
-    is judged once, so a host with a third of all rows is combined before the shuffle.
+    is judged once, so a host with a third of all rows is combined before the shuffle. Without rules every
+    row gets the default; an empty table stays empty; other columns pass through whatever their names.
     """
-    ready = prepared(rules).persist()
+    ready = stash(prepared(rules), "rules")
     n_rules = ready.count()
-    shapes = [(r.labels, r.path_length) for r in ready.select("labels", "path_length").distinct().orderBy("labels", "path_length").collect()]
-    host, path = url_parts(F.col(url))
+    shapes = [(r.labels, r.path_length) for r in ready.select("labels", "path_length").distinct().limit(SHAPES + 1).collect()]
+    host, path = url_parts(F.col(quoted(url)))
     outs = ("host", "path", "rule", "verdict")
-    rows = df.select(*[c for c in df.columns if c not in outs], host.alias("host"), path.alias("path"))
+    kept = [c for c in df.columns if c.lower() not in outs]
+    # the columns that pass through travel as one and by place, so that none meets a name of this function's own
+    passed = F.struct(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(kept)], F.lit(None).cast("int").alias("none"))
+    rows = df.select(passed.alias("row"), host.alias("host"), path.alias("path"))
+    back = [F.col(f"row.c{i}").alias(c) for i, c in enumerate(kept)]
     if not shapes:
-        return rows.select("*", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+        return rows.select(*back, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     parts = rows.select("host", "path").distinct()
-    shape = F.array(*[F.struct(F.lit(a).alias("labels"), F.lit(b).alias("path_length")) for a, b in shapes])
     n_labels = F.size(F.split("host", r"\."))
-    possible = F.filter(shape, lambda s: (s["labels"] <= n_labels) & (s["path_length"] <= F.length("path")))
+    if len(shapes) <= SHAPES:
+        shape = F.array(*[F.struct(F.lit(a).alias("labels"), F.lit(b).alias("path_length")) for a, b in sorted(shapes)])
+        possible = F.filter(shape, lambda s: (s["labels"] <= n_labels) & (s["path_length"] <= F.length("path")))
+    else:
+        lengths = F.sequence(F.lit(0), F.length("path"))
+        possible = F.flatten(F.transform(F.sequence(F.lit(1), n_labels), lambda a: F.transform(lengths, lambda b: F.struct(a.alias("labels"), b.alias("path_length")))))
     exploded = parts.where("host != ''").select("host", "path", F.explode(possible).alias("s"))
     suffix = F.expr("substring_index(host, '.', -s.labels)")
     expressions = exploded.select("host", "path", F.sha2(F.concat(suffix, F.expr("left(path, s.path_length)")), 256).alias("digest"))
@@ -88,7 +100,7 @@ def filter_urls(df: DataFrame, rules: DataFrame, url: str = "url", default: str
     # dealt out anew, so that the join can split the rows of a host and path that very many share
     judged = rows.join(best.repartition(F.xxhash64("path", "host")), ["host", "path"], "left")
     return judged.select(
-        *rows.columns, F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict")
+        *back, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict")
     )
 
 

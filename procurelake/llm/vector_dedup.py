@@ -129,6 +129,10 @@ def nearest_in_group(k: int, threshold: float):
     return fn
 
 
+#: Large labels up to this number are broadcast (under 20 MB); more are joined by shuffle.
+BROADCAST_LABELS = 100_000
+
+
 def leaves(nodes: DataFrame, first: int, dims: int) -> DataFrame:
     """(node, open, grp) of each node in the leaf of each of ``TREES`` random trees: the signs of projections, within the label.
 
@@ -152,7 +156,8 @@ def leaves(nodes: DataFrame, first: int, dims: int) -> DataFrame:
     field = T.StructField("codes", T.ArrayType(T.LongType()))
     coded = append_columns(nodes.select("node", "label", "open", "u"), ["u"], [field], make, drop=["u"])
     sizes = nodes.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") > LEAF).select("label", F.ceil(F.log2(F.col("n") / LEAF)).cast("int").alias("bits"))
-    each = coded.join(F.broadcast(sizes), "label", "left").select("node", "open", "label", F.least(F.coalesce("bits", F.lit(0)), F.lit(DEEPEST)).alias("bits"), F.posexplode("codes").alias("tree", "code"))
+    few = sizes.count() <= BROADCAST_LABELS
+    each = coded.join(F.broadcast(sizes) if few else apart(sizes, "label"), "label", "left").select("node", "open", "label", F.least(F.coalesce("bits", F.lit(0)), F.lit(DEEPEST)).alias("bits"), F.posexplode("codes").alias("tree", "code"))
     leaf = F.xxhash64("label", F.col("tree") + first, F.expr("code & (shiftleft(1L, bits) - 1)"))
     each = stash(each.select("node", "open", leaf.alias("leaf"), F.expr("shiftright(code, bits)").alias("rest")), "leaves")
     large = each.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > 4 * LEAF).select("leaf", F.ceil(F.log2(F.col("n") / LEAF)).cast("int").alias("more"))

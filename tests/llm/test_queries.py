@@ -14,7 +14,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from procurelake.llm import bpe, exact_dedup, langid, near_join, packing, quality, secrets, toxicity, vector_dedup
+from procurelake.llm import bpe, decontaminate, exact_dedup, fill_middle, langid, near_join, packing, quality, secrets, toxicity, url_filter, vector_dedup
 from procurelake.llm.packing import Packer, instruction_examples, pack_conversations
 from procurelake.llm.shared import unused
 
@@ -244,6 +244,28 @@ def test_near_join_audit_and_prefixes(spark, monkeypatch):
     assert sum(got[2 * k + 1] == 2 * k for k in range(40)) >= 36
 
 
+def test_links_found_of_planted_copies(spark):
+    """Of near copies of every similarity from the threshold on, asked by every text, nearly all links are found; the same for texts without ids."""
+    rng = random.Random(17)
+    texts = []
+    for k in range(150):
+        base = [f"w{rng.randrange(3000)}" for _ in range(60)]
+        texts.append(base)
+        for _ in range(rng.randrange(4)):
+            other = list(base)
+            for _ in range(rng.randrange(3)):  # each word changes up to five shingles
+                other[rng.randrange(60)] = f"v{rng.randrange(10**6)}"
+            texts.append(other)
+    sets = [{tuple(t[i : i + 5]) for i in range(56)} for t in texts]
+    linked = [sum(j != i and len(s & x) / len(s | x) >= 0.8 for j, x in enumerate(sets)) for i, s in enumerate(sets)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = near_join.near_duplicates(df).collect()
+    found = {r.doc_id: r.n_links for r in got}
+    assert sum(linked) > 200 and all(found[i] <= n for i, n in enumerate(linked)) and sum(found.values()) >= 0.999 * sum(linked)
+    nameless = near_join.near_duplicates(df.withColumn("doc_id", F.lit(None).cast("long"))).collect()
+    assert Counter(r.n_links for r in nameless) == Counter(found.values()) and sum(r.kept for r in nameless) == sum(r.kept for r in got)
+
+
 # languages
 
 
@@ -267,6 +289,31 @@ def test_languages_of_held_out_texts(spark):
     assert np.mean([r.lang == r.truth for r in got]) >= 0.95 and np.mean([r.text_lang == r.truth for r in got]) >= 0.9
 
 
+def test_languages_in_blocks(spark, monkeypatch):
+    """More languages than one broadcast holds are judged as if it held them all."""
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(spoken(rng, k, 30), k) for k in SAID for _ in range(20)] + [(f"{chr(97 + i % 26)}{i}q " * 9, f"l{i:02}") for i in range(70)] + [("", "mute")], "text string, lang string")
+    languages, table = langid.fit_languages(docs)
+    assert len(languages) == 74 == len(table) and languages == sorted(languages)
+    pages = spark.createDataFrame([(i, "http://h.org", f"<p>{spoken(rng, k, 6)}</p>") for i, k in enumerate([*SAID] * 5)], "page_id long, url string, html string")
+    seen = lambda: sorted((r.page_id, r.lang, r.text_lang, round(r.confidence, 9)) for r in langid.identify(pages, languages, table).collect())
+    blocks = seen()
+    monkeypatch.setattr(langid, "LANGUAGES", 1000)
+    assert seen() == blocks and {x[2] for x in blocks} == {*SAID}
+
+
+def test_many_shapes_of_rules(spark, monkeypatch):
+    """With more shapes than are looked up one by one, all suffixes and prefixes are: the same result."""
+    rng = random.Random(5)
+    hosts = ["com", "a.com", "b.a.com", "net", "x.y.net"]
+    rules = spark.createDataFrame([(rng.choice(["allow", "block"]), rng.choice(hosts), "/" + "p/" * rng.randrange(4)) for _ in range(20)], url_filter.RULES)
+    urls = spark.createDataFrame([(f"http://{rng.choice(['', 'w.'])}{rng.choice(hosts)}/{'p/' * rng.randrange(6)}",) for _ in range(80)], "url string")
+    seen = lambda: sorted(map(str, url_filter.filter_urls(urls, rules).collect()))
+    few = seen()
+    monkeypatch.setattr(url_filter, "SHAPES", 2)
+    assert seen() == few
+
+
 def test_fusion_against_plain_python(spark):
     """All four kinds of evidence multiplied, a page's own text taken out of its host's, domain's and suffix's counts."""
     rng = random.Random(9)
@@ -380,11 +427,16 @@ def test_penalty_lowers_false_positives_on_mentions(spark):
 def test_names_that_clash(spark):
     """Columns with the names that operators use inside pass through untouched, however they are spelled."""
     rows = [(1, "Some text with words in it now", "a"), (2, "some TEXT with words in it now", "b"), (3, None, "c")]
-    names = ["__text", "in0", "text_sha", "gone_id", "row", "score", "Spans", "tick`s"]
+    names = ["__text", "in0", "text_sha", "gone_id", "row", "score", "Spans", "tick`s", "a.b", "ROWS", "c0", "Label", "order"]
     df = spark.createDataFrame(rows, "doc_id long, text string, kept string").withColumns({n: F.lit(n) for n in names})
     assert unused(df, "spans") != "spans" and unused(df, "free") == "free"
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int").withColumn("__label", F.lit(7)).withColumn("a.b", F.lit(8))
+    rules = spark.createDataFrame(url_filter.PRODUCTION_RULES, url_filter.RULES)
     for out in (
         secrets.redact_secrets(df), exact_dedup.drop_copies(df), near_join.keep_one_of_each_class(df), bpe.encode(df, tokenizer=PATH).drop("ids"),
+        url_filter.filter_urls(df.withColumn("Host", F.lit("h")).withColumn("u.rl", F.lit("http://x.example.com/en/")), rules, "u.rl").where("rule = 'example.com/en/'").drop("host", "path", "rule", "verdict", "u.rl"),
+        quality.score_quality(df, quality.fit_quality(df, labels), out="s").drop("s"), toxicity.score_toxicity(df, toxicity.fit_toxicity(df, labels), out="s").drop("s"),
+        decontaminate.decontaminate(df, df.select(F.col("doc_id").alias("item_id"), F.lit("other").alias("text"))), fill_middle.fill_in_middle(df).drop("fim"),
         quality.score_quality(df, None, out="s").drop("s"), packing.pack(df, "text", tokenizer=PATH, end_id=1).select(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c != "text"]),
     ):
         got = out.collect()
