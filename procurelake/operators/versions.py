@@ -99,10 +99,15 @@ def upsert(existing: DataFrame, incoming: DataFrame, order: str = "seen_at") ->
     field or brings a new url; the fingerprint and the provenance are those of the last that did, and the
     documents and review items of one that did not are not taken. An empty batch changes nothing; columns of neither kind are not kept.
     """
-    fields = [f for f in TRACKED if f in incoming.columns]
-    more = [c for c in (*UNITED, "authority_score", "field_provenance", *LAST_GIVEN, *FIRST_GIVEN) if c in incoming.columns]
-    kinds = dict(incoming.dtypes)
-    arrivals = identities(existing, incoming, order).withColumn("__at", F.struct(F.col(order), F.to_json(F.struct(*fields)), F.col("fingerprint")))
+    return fold(existing, identities(existing, incoming, order), order)
+
+
+def fold(existing: DataFrame, identified: DataFrame, order: str = "seen_at") -> tuple[DataFrame, DataFrame]:
+    """``upsert`` of arrivals that have their tender_id already."""
+    fields = [f for f in TRACKED if f in identified.columns]
+    more = [c for c in (*UNITED, "authority_score", "field_provenance", *LAST_GIVEN, *FIRST_GIVEN) if c in identified.columns]
+    kinds = dict(identified.dtypes)
+    arrivals = identified.withColumn("__at", F.struct(F.col(order), F.to_json(F.struct(*fields)), F.col("fingerprint")))
     key = Window.partitionBy("tender_id")
     held = [F.col(c) if c in existing.columns else F.lit(None).cast(kinds[c]).alias(c) for c in more]
     old = existing.select("tender_id", "natural_key", "fingerprint", "version_no", *[F.col(f).alias(f) for f in fields], *held)

@@ -9,12 +9,17 @@ from procurelake.functions import times as T
 from procurelake.operators import dedupe as D
 from procurelake.operators import normalize as N
 from procurelake.operators import versions as V
+from procurelake.operators.stores import TenderStore, UniqueTable
 from procurelake.plans import schedule, stats
 from procurelake.queries.tables import TENDER_AS_OF, tender_now, TENDER_SQL, table, tenders
+from procurelake.shared import fresh_folder
 from procurelake.sources.ocds import month_windows as windows
 from procurelake.sources.ocds import windows_of
 
 
+STORED_UNTIL = "1996-01-01"
+
+
 def norm_number(spark, sf_dir):
     t = tenders(spark, sf_dir)
     return t.select("id", "tender_number", K.tender_number_key("tender_number").alias("number_key"))
@@ -131,6 +136,27 @@ def upsert_identity(spark, sf_dir):
     return state.select("tender_id", "natural_key", "fingerprint", "version_no", "title", "status", "authority_score", F.array_join("source_urls", ",").alias("urls"))
 
 
+def archived_once(spark, sf_dir):
+    """Three batches of releases into a stored table with a unique key, the second of them twice; what is stored after."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("ocid"), F.col("o_orderpriority").alias("release_id"), F.col("o_orderkey").alias("id"))
+    store = UniqueTable(spark, fresh_folder(spark, "archive"), o.schema, ["ocid", "release_id"], buckets=8)
+    for part in (0, 1, 1, 2):
+        store.insert(o.where(F.col("id") % 3 == part), "id")
+    return store.all()
+
+
+def stored_state(spark, sf_dir):
+    """Tenders folded into a store in two batches by publishing date, the second of them twice; the state after it."""
+    t = tenders(spark, sf_dir)
+    buyer = F.col("buyer_org_id").cast("string")
+    shaped = t.select(F.concat(F.lit("k"), buyer).alias("natural_key"), F.concat(F.lit("f"), buyer).alias("fingerprint"), "title", "status", "authority_score", F.struct("published_at", "id").alias("seen_at"))
+    store = TenderStore(spark, fresh_folder(spark, "tenders"), shaped.drop("seen_at").schema, buckets=8)
+    day = F.col("seen_at.published_at") < F.lit(STORED_UNTIL).cast("date")
+    for number, part in ((0, day), (1, ~day), (1, ~day)):
+        store.upsert(shaped.where(part), number, F.lit(f"2026-01-0{number + 1}"))
+    return store.tenders().select("natural_key", "version_no", "title", "status", "authority_score", F.date_format("updated_at", "yyyy-MM-dd").alias("updated_on"))
+
+
 def resolve_buyers(spark, sf_dir):
     """Suppliers' nations as buyers, against aliases of the even nations only."""
     n = table(spark, sf_dir, "nation")
@@ -213,7 +239,7 @@ def version_numbers(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        norm_number, norm_org, fingerprint_sha, natural_key_dedupe, duplicate_clusters, jaccard_titles, authority_merge, version_diff, change_kind, insert_ignore, coalesce_update, upsert_versions, upsert_identity, resolve_buyers,
+        norm_number, norm_org, fingerprint_sha, natural_key_dedupe, duplicate_clusters, jaccard_titles, authority_merge, version_diff, change_kind, insert_ignore, coalesce_update, upsert_versions, upsert_identity, archived_once, stored_state, resolve_buyers,
         wall_time_sast, date_only_rule, month_windows, buyer_windows, closing_status, shape_rows, low_confidence_routing, date_quarantine, stats_by_group, open_tenders, table_counts, lateral_latest, version_numbers,
     )
 }
@@ -281,6 +307,13 @@ ORACLE_SQL = {
         CAST(max(CASE WHEN id < 0 THEN 1 ELSE 0 END) + count(*) FILTER (made OR changed) AS INT) AS version_no, arg_max(title, k) AS title, arg_max(status, k) AS status,
         max(authority_score) FILTER (id < 0 OR made OR changed OR brings) AS authority_score, any_value(lists.urls) AS urls
       FROM e JOIN lists USING (tid) GROUP BY e.tid""",
+    "archived_once": "SELECT DISTINCT ON (o_custkey, o_orderpriority) o_custkey AS ocid, o_orderpriority AS release_id, o_orderkey AS id FROM orders ORDER BY o_custkey, o_orderpriority, o_orderkey % 3, o_orderkey",
+    "stored_state": f"""{_WITH}, d AS (SELECT *, published_at >= DATE '{STORED_UNTIL}' AS late, lag(title) OVER w AS ot, lag(status) OVER w AS os, row_number() OVER w AS k, row_number() OVER (PARTITION BY buyer_org_id ORDER BY published_at DESC, id DESC) AS back,
+        first_value(published_at) OVER w AS begun FROM tenders WINDOW w AS (PARTITION BY buyer_org_id ORDER BY published_at, id)),
+      e AS (SELECT *, k = 1 OR title <> ot OR status <> os AS takes FROM d),
+      f AS (SELECT buyer_org_id, max(authority_score) FILTER (takes) AS score, max(authority_score) FILTER (takes AND NOT late) AS early_score, count(*) FILTER (takes) AS n, count(*) FILTER (takes AND late) AS n_late, arg_max(title, k) AS title, arg_max(status, k) AS status,
+        arg_max(title, k) FILTER (NOT late) AS early_title, arg_max(status, k) FILTER (NOT late) AS early_status, count(*) FILTER (NOT late) AS n_early FROM e GROUP BY 1)
+      SELECT 'k' || buyer_org_id AS natural_key, CAST(n AS INT) AS version_no, title, status, score AS authority_score, CASE WHEN n_early = 0 OR n_late > 0 THEN '2026-01-02' ELSE '2026-01-01' END AS updated_on FROM f""",
     "resolve_buyers": "SELECT s_suppkey, 'The ' || (SELECT string_agg(upper(w[1]) || lower(w[2:]), ' ') FROM unnest(string_split(n_name, ' ')) AS u(w)) AS buyer_name, CASE WHEN n_nationkey % 2 = 0 THEN CAST(n_nationkey AS VARCHAR) END AS known_org, n_nationkey % 2 <> 0 AS made FROM supplier JOIN nation ON s_nationkey = n_nationkey",
     "wall_time_sast": "SELECT event_id, strftime(ts - INTERVAL 2 HOUR, '%Y-%m-%d %H:%M:%S') AS utc, event_id % 4 IN (0, 3) AS corrected FROM events",
     "date_only_rule": """WITH o AS (SELECT o_orderkey, o_orderdate + to_hours(CAST(o_orderkey % 3 * 11 AS INT)) AS closing FROM orders), d AS (SELECT *, hour(closing) IN (0, 22) AND minute(closing) = 0 AND second(closing) = 0 AS date_only FROM o)

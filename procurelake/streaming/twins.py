@@ -122,6 +122,12 @@ def append_new(keys: list[str], path: str):
     return sink
 
 
+def insert_stream(rows: DataFrame, table, checkpoint: str, order: str | None = None, trigger: dict | None = None):
+    """SNK-2, SNK-10 on a stream: each batch goes into a ``UniqueTable``, which reads stored rows only where its filters suspect a key."""
+    writer = rows.writeStream.foreachBatch(lambda batch, n: table.insert(batch, order)).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
 def ingest_releases(releases: DataFrame, path: str, checkpoint: str):
     """Idempotent ingest of a stream of archive rows (ocid, release_id, ...): whatever has been stored is not stored again."""
     writer = releases.where("ocid is not null").writeStream.foreachBatch(append_new(["ocid", "release_id"], path))
