@@ -6,9 +6,14 @@ from pyspark.sql import functions as F
 
 from procurelake.functions.vectors import cosine
 from procurelake.plans import alerts as A
-from procurelake.queries.tables import TENDER_AS_OF, tender_now, TENDER_SQL, table, tenders
+from procurelake.queries.tables import PROVINCE_NAMES, TENDER_AS_OF, tender_now, TENDER_SQL, table, tenders
 from procurelake.search import match as M
 from procurelake.search.parse import expand, synonym_index
+from procurelake.search.store import IndexStore
+from procurelake.shared import fresh_folder
+from procurelake.streaming.alert_stream import matched, stored_clauses
+
+PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED")
 
 #: Synonyms among words that the invented prose has.
 WORDS = "thing ering oning\nthe there\nedes anat\n"
@@ -61,6 +66,37 @@ def postings_index(spark, sf_dir):
     return p.select("lexeme", "id", F.size("positions").alias("n"), F.col("positions")[0]["pos"].alias("first_pos"))
 
 
+def index_kept_up(spark, sf_dir):
+    """An index of all documents, of which a third get another text, a seventh go, some come anew and some come back, merged in between: what a search finds then."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    store = IndexStore(spark, fresh_folder(spark, "index"), docs.schema, {"text": "B"})
+    store.change(docs.where("id % 4 != 1"))
+    store.change(docs.where("id % 3 = 0").withColumn("text", F.concat(F.lit("onan "), "text")), docs.where("id % 7 = 0").select("id"))
+    store.merge()
+    store.change(docs.where("id % 4 = 1"))
+    store.change(docs.where("id % 14 = 0"), docs.where("id % 11 = 0").select("id"))
+    return M.matching_ids(store.postings(), expand("onan edes", {}))
+
+
+def _asking(spark, sf_dir):
+    """Every customer's alert: words, provinces, categories and a window, each for some."""
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    words = F.concat(F.lit("item "), (k % 50).cast("string"), F.when(k % 4 == 0, F.lit(" -urgent")).otherwise(F.lit("")))
+    return c.select(
+        k.alias("alert_id"), F.when(k % 3 != 0, words).alias("keywords"), F.when(k % 2 == 0, F.array(F.element_at(F.array(*map(F.lit, PROVINCE_NAMES)), (k % 9 + 1).cast("int")))).alias("provinces"),
+        F.when(k % 5 != 0, F.array(F.get(F.array(*map(F.lit, PRIORITIES)), (k % 5 - 1).cast("int")), F.lit("none"))).alias("categories"), F.when(k % 10 == 1, 900).alias("closing_within_days"), (k % 13 != 0).alias("active"),
+    )
+
+
+def alert_clauses_met(spark, sf_dir):
+    """How many tenders every customer's alert meets, by the stored clauses that the alert stream uses, and the first and last of them."""
+    alerts = _asking(spark, sf_dir).withColumn("asked", F.xxhash64(F.to_json(F.struct("keywords", "provinces", "categories", "closing_within_days", "active"))))
+    once = alerts.groupBy("asked").agg(*[F.min(c).alias(c) for c in ("keywords", "provinces", "categories", "closing_within_days", "active")]).withColumnRenamed("asked", "alert_id")
+    met = matched(_alert_tenders(spark, sf_dir).withColumn("categories", F.array("title_head")), stored_clauses(once), tender_now()).select("alert_id", "tender_id").distinct()
+    counts = met.groupBy("alert_id").agg(F.count("*").alias("n"), F.min("tender_id").alias("first_id"), F.max("tender_id").alias("last_id"))
+    return alerts.join(counts.withColumnRenamed("alert_id", "asked"), "asked").select("alert_id", "n", "first_id", "last_id")
+
+
 def _vector(spark):
     return F.array(*[F.lit(float((i * 37) % 11 - 5)) for i in range(64)])
 
@@ -119,6 +155,7 @@ def _alerts(spark, sf_dir):
 def _alert_tenders(spark, sf_dir):
     t = M.with_index(tenders(spark, sf_dir), {"title": "A"})
     prov = F.create_map(F.lit("closing_at"), F.struct(F.lit("SOURCE").alias("source"), F.lit("s").alias("source_id"), F.col("closing_confidence").alias("confidence"), F.lit(None).cast("string").alias("note")))
+    t = t.withColumn("title_head", F.element_at(F.split("title", " supply"), 1))
     return t.withColumns({"field_provenance": prov, "categories": F.array().cast("array<string>"), "created_at": F.col("published_at")})
 
 
@@ -150,7 +187,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         keyword_match, keyword_negation, synonym_match, synonym_titles, phrase_match, websearch_or, count_agreement, postings_index, cosine_topk, urgency_score, hybrid_score, buyer_ilike,
-        browse_order_page, filter_compose_page, search_page, alert_match_topk, alert_anti_join, alert_totals, alert_digests,
+        browse_order_page, filter_compose_page, search_page, alert_match_topk, alert_anti_join, alert_totals, alert_digests, alert_clauses_met, index_kept_up,
     )
 }
 
@@ -169,6 +206,12 @@ _MATCHED = f"""{_ALERTS}, met AS (SELECT alert_id, id AS tender_id, closing_at,
 ranked AS (SELECT *, row_number() OVER (PARTITION BY alert_id ORDER BY closing_at NULLS LAST, published_at DESC, tender_id) AS rank FROM met)"""
 
 ORACLE_SQL = {
+    "index_kept_up": f"WITH {_W}, kept AS (SELECT id, w, id % 14 = 0 OR id % 4 = 1 AS plain FROM docs WHERE id % 11 <> 0 OR id % 4 = 1 AND id % 14 <> 0 AND id % 11 <> 0), there AS (SELECT * FROM kept WHERE id % 14 = 0 OR id % 4 = 1 OR id % 7 <> 0) SELECT id FROM there WHERE {_HAS.format('edes')} AND ({_HAS.format('onan')} OR (NOT plain AND id % 3 = 0))",
+    "alert_clauses_met": f"""WITH {TENDER_SQL}, asking AS (SELECT c_custkey AS alert_id, c_custkey AS k FROM customer WHERE c_custkey % 13 <> 0 AND (c_custkey % 3 <> 0 OR c_custkey % 2 = 0 OR c_custkey % 5 <> 0)),
+      t AS (SELECT *, regexp_extract_all(lower(title), '[a-z0-9]+') AS w, string_split(title, ' supply')[1] AS head FROM tenders WHERE status IN ('OPEN', 'CLOSING_SOON'))
+      SELECT alert_id, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM asking JOIN t ON (k % 3 = 0 OR (list_has_all(w, ['item', CAST(k % 50 AS VARCHAR)]) AND (k % 4 <> 0 OR NOT list_contains(w, 'urgent'))))
+        AND (k % 2 <> 0 OR province = {list(PROVINCE_NAMES)}[k % 9 + 1]) AND (k % 5 = 0 OR head = {list(PRIORITIES)}[k % 5])
+        AND (k % 10 <> 1 OR (closing_confidence >= 0.8::DOUBLE AND closing_at BETWEEN TIMESTAMP '{TENDER_AS_OF}' AND TIMESTAMP '{TENDER_AS_OF}' + INTERVAL 900 DAY)) GROUP BY 1""",
     "keyword_match": f"WITH {_W} SELECT id FROM docs WHERE {_HAS.format('onan')} AND {_HAS.format('edes')}",
     "keyword_negation": f"WITH {_W} SELECT id FROM docs WHERE {_HAS.format('edes')} AND NOT {_HAS.format('onan')}",
     "synonym_match": f"WITH {_W} SELECT id FROM docs WHERE ({_HAS.format('thing')} OR {_HAS.format('ering')} OR {_HAS.format('oning')}) AND ({_HAS.format('edes')} OR {_HAS.format('anat')}) AND NOT {_HAS.format('oning')}",
