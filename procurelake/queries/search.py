@@ -10,7 +10,9 @@ from procurelake.queries.tables import PROVINCE_NAMES, TENDER_AS_OF, tender_now,
 from procurelake.search import match as M
 from procurelake.search.parse import expand, synonym_index
 from procurelake.search.store import IndexStore
-from procurelake.shared import fresh_folder
+from procurelake.search.trigrams import names_like, trigram_postings
+from procurelake.search.vector_index import VectorLists
+from procurelake.shared import apart, fresh_folder
 from procurelake.streaming.alert_stream import matched, stored_clauses
 
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED")
@@ -123,6 +125,29 @@ def buyer_ilike(spark, sf_dir):
     return tenders(spark, sf_dir).where(M.filters(buyer="CUSTOMER#12%4")).select("id", "buyer_name")
 
 
+def buyer_trigrams(spark, sf_dir):
+    """Tenders of the buyers that a pattern finds, by the trigrams of the buyers' names."""
+    t = tenders(spark, sf_dir).select("id", "buyer_name")
+    stored = trigram_postings(t, "buyer_name")
+    found = names_like(stored, t, "%tomer#1_2%", "buyer_name")
+    return t.join(apart(found.withColumnRenamed("name", "buyer_name"), "buyer_name"), "buyer_name").select("id", "buyer_name")
+
+
+def vector_lists_exact(spark, sf_dir):
+    """Every fiftieth vector against all, by the stored lists, all of them asked."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    index = VectorLists(spark, fresh_folder(spark, "vectors"), "vec_id").build(e)
+    found = index.search(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), "embedding"), 10, None)
+    return found.groupBy("query").agg(F.count("*").alias("n"), F.round(F.min("similarity"), 6).alias("least"), F.round(F.max("similarity"), 6).alias("most"))
+
+
+def vector_lists_probed(spark, sf_dir):
+    """The same with the nearest lists only; what it finds is in the result above, its recall is tested."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    index = VectorLists(spark, fresh_folder(spark, "vectors"), "vec_id").build(e)
+    return index.search(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), "embedding"), 10).select("query", F.col("key").alias("vec_id"), F.round("similarity", 6).alias("similarity"), "rank")
+
+
 def browse_order_page(spark, sf_dir):
     t = tenders(spark, sf_dir)
     return t.orderBy(*M.browse_order()).offset(40).limit(20).select("id", "closing_at", "authority_score", "published_at")
@@ -187,7 +212,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         keyword_match, keyword_negation, synonym_match, synonym_titles, phrase_match, websearch_or, count_agreement, postings_index, cosine_topk, urgency_score, hybrid_score, buyer_ilike,
-        browse_order_page, filter_compose_page, search_page, alert_match_topk, alert_anti_join, alert_totals, alert_digests, alert_clauses_met, index_kept_up,
+        browse_order_page, filter_compose_page, search_page, alert_match_topk, alert_anti_join, alert_totals, alert_digests, alert_clauses_met, index_kept_up, buyer_trigrams, vector_lists_exact, vector_lists_probed,
     )
 }
 
@@ -206,6 +231,10 @@ _MATCHED = f"""{_ALERTS}, met AS (SELECT alert_id, id AS tender_id, closing_at,
 ranked AS (SELECT *, row_number() OVER (PARTITION BY alert_id ORDER BY closing_at NULLS LAST, published_at DESC, tender_id) AS rank FROM met)"""
 
 ORACLE_SQL = {
+    "buyer_trigrams": f"WITH {TENDER_SQL} SELECT id, buyer_name FROM tenders WHERE buyer_name ILIKE '%tomer#1_2%'",
+    "vector_lists_exact": """WITH u AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
+      s AS (SELECT a.vec_id AS query, list_dot_product(a.e, b.e) / (a.n * b.n) AS c FROM u a JOIN u b ON a.vec_id % 50 = 0 WHERE a.n > 0 AND b.n > 0),
+      r AS (SELECT query, c, row_number() OVER (PARTITION BY query ORDER BY c DESC) AS k FROM s) SELECT query, count(*) AS n, round(min(c), 6) AS least, round(max(c), 6) AS most FROM r WHERE k <= 10 GROUP BY 1""",
     "index_kept_up": f"WITH {_W}, kept AS (SELECT id, w, id % 14 = 0 OR id % 4 = 1 AS plain FROM docs WHERE id % 11 <> 0 OR id % 4 = 1 AND id % 14 <> 0 AND id % 11 <> 0), there AS (SELECT * FROM kept WHERE id % 14 = 0 OR id % 4 = 1 OR id % 7 <> 0) SELECT id FROM there WHERE {_HAS.format('edes')} AND ({_HAS.format('onan')} OR (NOT plain AND id % 3 = 0))",
     "alert_clauses_met": f"""WITH {TENDER_SQL}, asking AS (SELECT c_custkey AS alert_id, c_custkey AS k FROM customer WHERE c_custkey % 13 <> 0 AND (c_custkey % 3 <> 0 OR c_custkey % 2 = 0 OR c_custkey % 5 <> 0)),
       t AS (SELECT *, regexp_extract_all(lower(title), '[a-z0-9]+') AS w, string_split(title, ' supply')[1] AS head FROM tenders WHERE status IN ('OPEN', 'CLOSING_SOON'))

@@ -9,10 +9,11 @@ from procurelake.functions import times as T
 from procurelake.operators import dedupe as D
 from procurelake.operators import normalize as N
 from procurelake.operators import versions as V
+from procurelake.operators.growing import GrowingClusters
 from procurelake.operators.stores import TenderStore, UniqueTable
 from procurelake.plans import schedule, stats
 from procurelake.queries.tables import TENDER_AS_OF, tender_now, TENDER_SQL, table, tenders
-from procurelake.shared import fresh_folder
+from procurelake.shared import fresh_folder, stash
 from procurelake.sources.ocds import month_windows as windows
 from procurelake.sources.ocds import windows_of
 
@@ -57,6 +58,16 @@ def duplicate_clusters(spark, sf_dir):
     return D.clusters(t, D.duplicate_links(t))
 
 
+def clusters_over_time(spark, sf_dir):
+    """The links between duplicates added to stored clusters in three batches; every node's cluster after the last."""
+    links = D.duplicate_links(_keyed(spark, sf_dir).select("id", "fingerprint", "buyer_key", "normalized_tender_number", "closing_day", "title"))
+    links = stash(links, "links")
+    store = GrowingClusters(spark, fresh_folder(spark, "clusters"), buckets=8)
+    for part in (2, 0, 1):
+        store.add(links.where(F.col("b") % 3 == part))
+    return store.clusters()
+
+
 def jaccard_titles(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
     return p.select("p_partkey", F.round(K.title_similarity("p_name", "p_type"), 6).alias("similarity"), K.titles_similar("p_name", F.concat("p_name", F.lit(" x"))).alias("similar"))
@@ -239,7 +250,7 @@ def version_numbers(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        norm_number, norm_org, fingerprint_sha, natural_key_dedupe, duplicate_clusters, jaccard_titles, authority_merge, version_diff, change_kind, insert_ignore, coalesce_update, upsert_versions, upsert_identity, archived_once, stored_state, resolve_buyers,
+        norm_number, norm_org, fingerprint_sha, natural_key_dedupe, duplicate_clusters, clusters_over_time, jaccard_titles, authority_merge, version_diff, change_kind, insert_ignore, coalesce_update, upsert_versions, upsert_identity, archived_once, stored_state, resolve_buyers,
         wall_time_sast, date_only_rule, month_windows, buyer_windows, closing_status, shape_rows, low_confidence_routing, date_quarantine, stats_by_group, open_tenders, table_counts, lateral_latest, version_numbers,
     )
 }
@@ -333,3 +344,4 @@ ORACLE_SQL = {
     "version_numbers": """WITH o AS (SELECT o_custkey AS tender_id, o_orderkey FROM orders), old AS (SELECT tender_id, count(*) AS top FROM o WHERE o_orderkey % 3 = 0 GROUP BY 1)
       SELECT n.tender_id, o_orderkey, CAST(coalesce(top, 0) + row_number() OVER (PARTITION BY n.tender_id ORDER BY o_orderkey) AS INT) AS version_no FROM o n LEFT JOIN old USING (tender_id) WHERE o_orderkey % 3 <> 0""",
 }
+ORACLE_SQL["clusters_over_time"] = f"SELECT id AS node, cluster FROM (SELECT *, count(*) OVER (PARTITION BY cluster) AS n FROM ({ORACLE_SQL['duplicate_clusters']})) WHERE n > 1"

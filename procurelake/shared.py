@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import itertools
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,10 +29,31 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Paths that were stashed in each open scope, the innermost last.
+SCOPES: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def stashes_removed(spark: SparkSession) -> Iterator[None]:
+    """A scope whose stashed tables are removed when it ends; results that are made of them have to be written within it."""
+    SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in SCOPES.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: lineage ends here, so a lost executor costs one stage."""
+    """Write ``df`` as Parquet into the shared folder and read it back: lineage ends here, so a lost executor costs one stage.
+
+    The table stays until the innermost scope of ``stashes_removed`` ends, if there is one.
+    """
     spark = df.sparkSession
     path = fresh_folder(spark, name)
+    if SCOPES:
+        SCOPES[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import os
+
 from datetime import datetime
 
 import pytest
@@ -120,3 +122,17 @@ def test_vectors(spark):
     assert one(spark, V.vector_literal(F.array(F.lit(0.5), F.lit(1.0)), 2)) == "[0.5,1]"
     with pytest.raises(Exception, match="needs 3"):
         one(spark, V.vector_literal(a, 3))
+
+
+def test_stashes_go_with_their_scope(spark):
+    from procurelake.shared import shared_folder, stash, stashes_removed
+
+    here = lambda: {x for x in os.listdir(shared_folder(spark).removeprefix("file://")) if x.startswith("scoped")}
+    stash(spark.range(3), "scoped")
+    kept = here()
+    with stashes_removed(spark):
+        outer = stash(spark.range(5), "scoped")
+        with stashes_removed(spark):
+            assert stash(outer, "scoped").count() == 5 and len(here()) == 3
+        assert outer.count() == 5
+    assert here() == kept and len(kept) == 1

@@ -302,6 +302,33 @@ def test_review_cycle(spark):
     assert [(r.tender_id, r.field) for r in E.enqueue_reviews(queue, items).collect()] == [("u", "closing_at")]
 
 
+def test_first_decision_and_outcome_count(spark):
+    at = lambda d: datetime(2026, 1, d)
+    queue = spark.createDataFrame([(1, "t", "closing_at", "v1", at(1), None, None)], "id long, tender_id string, field string, value string, queued_at timestamp, resolved_at timestamp, resolution string")
+    decisions = spark.createDataFrame([(1, "correct", "late", at(4)), (1, "correct", None, at(2)), (1, "approve", None, at(3)), (1, "reject", None, at(5)), (1, "odd", "x", at(1))], "id long, action string, value string, decided_at timestamp")
+    writes, after = E.resolve_reviews(queue, decisions)
+    assert [(w.value, w.kind) for w in writes.collect()] == [("v1", "HUMAN_VERIFIED")]
+    assert [(r.resolution, r.resolved_at) for r in after.collect()] == [("approve", at(3))]
+    jobs = spark.createDataFrame([(1, 0, "FETCHING", None, None)], "job_id long, attempts int, state string, next_retry_at timestamp, error string")
+    outcomes = spark.createDataFrame([(1, True, None, at(2)), (1, False, "late", at(3))], "job_id long, ok boolean, error string, at timestamp")
+    assert [(r.state, r.attempts) for r in schedule.after_run(jobs, outcomes).collect()] == [("DONE", 0)]
+
+
+def test_overview_is_its_parts(spark):
+    from procurelake.plans import health as H
+
+    at = lambda m: datetime(2026, 1, 1) + timedelta(minutes=m)
+    sources = spark.createDataFrame([(1, 1, 30, "ACTIVE", "a", at(0), at(5)), (2, 2, 90, "ACTIVE", None, None, at(5))], "source_id long, triage_tier int, frequency_min int, status string, adapter string, last_success timestamp, last_checked timestamp")
+    checks = spark.createDataFrame([(1, at(0), True, None, None), (2, at(1), False, "e", None), (2, at(5), False, "f", None)], "source_id long, checked_at timestamp, ok boolean, error string, started_at timestamp")
+    jobs = spark.createDataFrame([(7, 1, at(0), "DONE", 0, None, 2, 1, '{"created": 2, "updated": 1}')], "job_id long, source_id long, run_time timestamp, state string, attempts int, next_retry_at timestamp, created int, updated int, extracted_fields string")
+    seen = H.overview(sources, checks, jobs, F.lit(at(10)))
+    assert [(r.source_id, r.state) for r in seen["verdicts"].collect()] == [(2, "DEGRADED"), (1, "OK")]
+    assert seen["summary"].first().healthy == 1 and seen["crawl"].first().tenders_created == 2 and seen["mttr"].first().episodes == 1
+    assert [r.error for r in seen["failures"].collect()] == ["f", "e"] and {r.adapter for r in seen["adapters"].collect()} == {"a", "(none)"} and seen["freshness"].count() == 2
+    code, lines = H.pager_report(seen["verdicts"])
+    assert code == 1 and lines.count() == 0
+
+
 def test_shape_with_highlights(spark):
     prov = f"field_provenance map<string,{PROVENANCE}>"
     rows = [(1, "a", {"closing_at": ("INFERRED", "s", 0.75, "note")}, "<mark>a</mark>", None), (2, "b", {"closing_at": ("SOURCE", "s", 0.98, None)}, None, None)]
