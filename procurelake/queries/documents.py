@@ -71,6 +71,16 @@ def append_text(spark, sf_dir):
     return d.select("doc_id", F.length(both).alias("length"), F.sha2(both, 256).alias("digest"))
 
 
+def document_verdicts(spark, sf_dir):
+    """Documents as files, of which some are no PDF and some scans."""
+    k = F.col("doc_id")
+    d = table(spark, sf_dir, "documents").select(
+        "doc_id", F.when(k % 7 != 0, F.concat(F.lit("f"), k.cast("string"), F.when(k % 3 == 0, ".PDF").when(k % 3 == 1, ".docx").otherwise(""))).alias("filename"),
+        F.when(k % 4 == 0, "%PDF-1.7").otherwise("PK").alias("head"), "text", (k % 60).cast("int").alias("pages"),
+    )
+    return R.document_verdict(d).select("doc_id", "kind", "needs_ocr", F.array_join("warnings", "; ").alias("warnings"))
+
+
 def needs_ocr(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 40 + 1).cast("int").alias("pages"))
     return R.text_verdict(d).select("doc_id", "needs_ocr")
@@ -148,7 +158,7 @@ def review_resolve(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        exact_dup_docs, object_key, changed_bulletins, page_link_counts, platform_classify, html_escape, highlight_terms, sanitize_text, embedding_text, append_text, needs_ocr,
+        exact_dup_docs, object_key, changed_bulletins, page_link_counts, platform_classify, html_escape, highlight_terms, sanitize_text, embedding_text, append_text, needs_ocr, document_verdicts,
         extract_notices, extract_documents, enrich_gate, review_depth, review_page, review_enqueue, review_resolve,
     )
 }
@@ -178,6 +188,10 @@ ORACLE_SQL = {
     "embedding_text": "SELECT doc_id, sha256(substr(concat_ws(chr(10) || chr(10), nullif(source, ''), nullif(lang, ''), nullif(text, '')), 1, 6000)) AS digest FROM documents",
     "append_text": r"""WITH p AS (SELECT doc_id, coalesce(text, '') AS o, regexp_replace(regexp_replace(coalesce(CASE WHEN doc_id % 2 = 0 THEN substr(text, 251, 100) ELSE source END, ''), '\s+', ' ', 'g'), '^ +| +$', '', 'g') AS n FROM documents),
       b AS (SELECT doc_id, substr(CASE WHEN n = '' OR contains(o, n) THEN o WHEN o = '' THEN n ELSE o || ' ' || n END, 1, 200000) AS t FROM p) SELECT doc_id, CAST(length(t) AS INT) AS length, sha256(t) AS digest FROM b""",
+    "document_verdicts": """WITH f AS (SELECT *, CASE WHEN doc_id % 7 <> 0 THEN 'f' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.PDF' WHEN 1 THEN '.docx' ELSE '' END END AS name, doc_id % 60 AS pages FROM documents),
+      k AS (SELECT *, doc_id % 4 = 0 OR coalesce(name LIKE '%.PDF', false) AS pdf, length(trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS n FROM f)
+      SELECT doc_id, CASE WHEN pdf THEN 'pdf' ELSE 'unknown' END AS kind, pdf AND pages > 0 AND n < 25 * pages AS needs_ocr,
+        CASE WHEN NOT pdf THEN 'unsupported document type: ' || coalesce(name, 'unknown') WHEN pages > 0 AND n < 25 * pages THEN 'scanned document (' || n || ' characters on ' || pages || ' pages), needs OCR' ELSE '' END AS warnings FROM k""",
     "needs_ocr": "SELECT doc_id, length(trim(text)) < 25 * (doc_id % 40 + 1) AS needs_ocr FROM documents",
     "enrich_gate": """WITH f AS (SELECT CAST(user_id AS VARCHAR) AS tender_id, user_id, ['closing_at', 'briefing_at', 'value_estimated', 'contact_email'][event_id % 4 + 1] AS field, event_type AS value,
         event_id / 1e6::DOUBLE + (event_id % 7) / 10.0::DOUBLE + 0.3::DOUBLE AS confidence FROM events), now AS (SELECT tender_id, field, avg(confidence) + 0.25::DOUBLE AS c FROM f WHERE user_id % 3 <> 0 GROUP BY 1, 2),

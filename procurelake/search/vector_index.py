@@ -3,7 +3,9 @@
 Centroids come from Spark's k-means on a bounded sample of unit vectors (SAMPLE, by a hash of the id); every
 vector is in a list. Lists are partitions of the stored table, cut into blocks of bounded size. Queries are a
 table: each is sent to its nearest lists, lists that no query asks for are not read, cosines are computed in
-double precision in each block, and the best of each block are ranked together. With all lists asked for the result is exact.
+double precision in each block, and the best of each block are ranked together. How many lists a query reads is
+chosen when the index is built: an audit asks for the nearest of some vectors exactly and takes the fewest lists that
+hold the target share of them. Where vectors have no clusters these are most lists. With all lists asked the result is exact.
 """
 
 from __future__ import annotations
@@ -16,8 +18,10 @@ from pyspark.sql import types as T
 
 from procurelake.shared import stash
 
-#: Lists; vectors that the centroids are fitted on, about; rows of a block, on average; lists that a query reads.
-LISTS, SAMPLE, BLOCK, PROBES = 64, 50_000, 4096, 8
+#: Lists; vectors that the centroids are fitted on, about; rows of a block, on average.
+LISTS, SAMPLE, BLOCK = 64, 50_000, 4096
+#: Vectors that the audit asks with, about, and neighbours of each; the share of them to find; the number of lists that it chose.
+AUDIT, NEIGHBOURS, FOUND, CHOSEN = 400, 20, 0.95, 0
 
 
 def usable(column: str):
@@ -62,8 +66,21 @@ class VectorLists:
         cut.drop("blocks").repartition("list", "block").write.partitionBy("list").parquet(f"{self.path}/rows")
         blocks.write.parquet(f"{self.path}/sizes")
         own.select(self.key, "v").limit(0).write.parquet(f"{self.path}/schema")
+        some = own.where(F.pmod(F.xxhash64(self.key, F.lit(5)), F.lit(max(1, n // AUDIT))) == 0).select(F.col(self.key).alias("query"), "v")
+        near = self.search(some, NEIGHBOURS + 1, None, embedding="v").where("query != key").select("query", "key")
+        met = near.join(placed.select(F.col(self.key).alias("key"), "list"), "key").join(self.nearest(some, len(centroids) or 1).select("query", F.posexplode("lists").alias("at", "list")), ["query", "list"])
+        counts = {r["at"]: r["count"] for r in met.groupBy("at").count().collect()}  # one row for each list at most
+        held, probes = 0, 0
+        while probes < len(centroids) and held < FOUND * sum(counts.values()):
+            held, probes = held + counts.get(probes, 0), probes + 1
+        self.spark.createDataFrame([(max(1, probes), held / max(1, sum(counts.values())))], "probes int, recall double").write.parquet(f"{self.path}/audit")
         return self
 
+    def audit(self) -> tuple[int, float]:
+        """(lists that a query reads, share of the audit's neighbours that these hold)."""
+        r = self.spark.read.parquet(f"{self.path}/audit").first()
+        return r.probes, r.recall
+
     def nearest(self, vectors: DataFrame, probes: int) -> DataFrame:
         """``vectors(..., v)`` with the numbers of the ``probes`` nearest lists, nearest first; list 0 where there are no centroids."""
         found = self.spark.read.parquet(f"{self.path}/centroids").orderBy("list").collect()
@@ -81,14 +98,15 @@ class VectorLists:
 
         return vectors.mapInArrow(run, schema)
 
-    def search(self, queries: DataFrame, k: int = 20, probes: int | None = PROBES, query: str = "query", embedding: str = "embedding") -> DataFrame:
+    def search(self, queries: DataFrame, k: int = 20, probes: int | None = CHOSEN, query: str = "query", embedding: str = "embedding") -> DataFrame:
         """(query, key, similarity, rank): the ``k`` most similar rows of each of ``queries(query, embedding)``; ties by key.
 
-        Only the ``probes`` nearest lists are searched, or all of them, exactly, if it is None. Queries without
+        Only the ``probes`` nearest lists are searched, as many as the audit chose by default, or all of them, exactly, if it is None. Queries without
         a direction find nothing; equal queries under different names are answered each.
         """
         asked = queries.where(usable(embedding)).select(F.col(query).alias("query"), F.col(embedding).cast("array<double>").alias("v"))
         sizes = self.spark.read.parquet(f"{self.path}/sizes")
+        probes = self.audit()[0] if probes == CHOSEN else probes
         if probes is None:
             sent = asked.withColumn("list", F.explode(F.array(*[F.lit(r.list) for r in sizes.select("list").collect()]) if sizes.count() else F.array().cast("array<bigint>")))
         else:

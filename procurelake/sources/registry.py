@@ -90,6 +90,23 @@ def text_verdict(documents: DataFrame) -> DataFrame:
     return documents.withColumn("needs_ocr", F.length(F.trim(F.coalesce("text", F.lit("")))) < OCR_CHARS_PER_PAGE * F.greatest("pages", F.lit(1)))
 
 
+def document_verdict(files: DataFrame) -> DataFrame:
+    """SRC-16. ``files(filename, head, text, pages)`` with kind, needs_ocr and warnings; ``head`` is the beginning of the file, ``text`` what was got out of it.
+
+    A file is a PDF by its first bytes or its name; one of another kind has no text and is reported, as is one
+    with too little text for its pages. A null name is an unknown one; null text or pages count as none.
+    """
+    name = F.coalesce("filename", F.lit(""))
+    pdf = (F.substring(F.coalesce("head", F.lit("")), 1, 5) == "%PDF-") | F.endswith(F.lower(name), F.lit(".pdf"))
+    text = F.when(pdf, F.coalesce("text", F.lit(""))).otherwise("")
+    pages, length = F.coalesce("pages", F.lit(0)), F.length(F.btrim(text, F.lit(" \t\n\r\f\v")))
+    ocr = pdf & (pages > 0) & (length < OCR_CHARS_PER_PAGE * pages)
+    unknown = F.concat(F.lit("unsupported document type: "), F.when(name != "", name).otherwise("unknown"))
+    scanned = F.format_string("scanned document (%d characters on %d pages), needs OCR", length, pages)
+    warnings = F.array_compact(F.array(F.when(~pdf, unknown), F.when(ocr, scanned)))
+    return files.withColumns({"text": text, "kind": F.when(pdf, "pdf").otherwise("unknown"), "needs_ocr": ocr, "warnings": warnings})
+
+
 def page_evidence(pages: DataFrame, html: str = "html") -> DataFrame:
     """SRC-13. The pages with pdf_links, total_links and scripts counted in their first half million characters."""
     body = F.substring(F.coalesce(F.col(html), F.lit("")), 1, PAGE_CHARS)
