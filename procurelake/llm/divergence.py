@@ -33,6 +33,8 @@ MIN_DOCS, TOP_TERMS, SMOOTHING, SCALE = 30, 50, 5, 1_000_000_000
 BLOCK_TERMS, HELD = 200_000, 500_000
 #: Sources and terms of a cell of comparisons, about.
 CELL_SOURCES, CELL_TERMS, LEAST_CELLS = 128, 4096, 16
+#: Parts of a group's terms that are ranked on their own first.
+TERM_PARTS = 16
 #: Bytes of groups up to which they are broadcast.
 BROADCAST_BYTES = 16 << 20
 #: Fixed value: terms are runs of these characters and of any that are not ASCII, A-Z in lower case.
@@ -98,20 +100,12 @@ class Automata:
             yield from map(itemgetter(1), found.iter(f" {piece.decode('utf-8', 'replace')} "))
 
 
-#: The automata that this worker built last, by the number of their broadcast.
-BUILT: dict[int, Automata] = {}
-
-
 def occurrences(docs: DataFrame, terms: list[tuple[int, str, str]]) -> DataFrame:
     """(lang, source, term, n): partial counts of the given terms (number, language, key) in the documents."""
     shared = docs.sparkSession.sparkContext.broadcast(terms)
-    own = shared._jbroadcast.id() if hasattr(shared, "_jbroadcast") else id(shared)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if own not in BUILT:
-            BUILT.clear()
-            BUILT[own] = Automata(shared.value)
-        automata = BUILT[own]
+        automata = Automata(shared.value)
         counts: dict[tuple[str, str], Counter] = {}
         held = 0
 
@@ -123,14 +117,14 @@ def occurrences(docs: DataFrame, terms: list[tuple[int, str, str]]) -> DataFrame
         for batch in batches:
             for part in slices(batch):
                 for lang, source, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    own_counts = counts.setdefault((lang, source), Counter())
-                    before = len(own_counts)
-                    own_counts.update(automata.occurrences(lang, text))
-                    held += len(own_counts) - before
-                if held > HELD:
+                    own = counts.setdefault((lang, source), Counter())
+                    before = len(own)
+                    own.update(automata.occurrences(lang, text))
+                    held += len(own) - before + (before == 0)
+                if held > HELD and any(counts.values()):
                     yield flush()
                     held = 0
-        if held:
+        if any(counts.values()):
             yield flush()
 
     return docs.select("lang", "source", F.col("text").cast("binary").alias("text")).mapInArrow(run, "lang string, source string, term bigint, n bigint")
@@ -254,7 +248,10 @@ def source_divergence(
     by_term = postings.groupBy("term").agg(F.sum("count").alias("in_lang")).join(kept.select(F.col("number").alias("term"), F.col("term").alias("item"), "lang"), "term").join(small(whole, F.octet_length("lang") + 16), "lang")
     rare = postings.join(by_term.drop("lang"), "term").withColumn("value", F.col("p") - share(F.col("in_lang"), F.col("whole"), F.col("n_terms"))).where("value > 0")
     order = lambda *by: Window.partitionBy(*by).orderBy(F.desc("value"), "item")
-    best = rare.select("gid", "item", "value").withColumn("rank", F.row_number().over(order("gid"))).where(F.col("rank") <= top_terms)
+    # the first of parts of a group's terms, then of the group
+    parts = rare.select("gid", "item", "value", F.pmod(F.xxhash64("term"), F.lit(TERM_PARTS)).alias("part"))
+    first = parts.withColumn("rank", F.row_number().over(order("gid", "part"))).where(F.col("rank") <= top_terms).drop("part")
+    best = first.withColumn("rank", F.row_number().over(order("gid"))).where(F.col("rank") <= top_terms)
     best = best.join(small(groups.select("gid", *who), names), "gid").select("lang", "source", F.lit("term").alias("part"), "item", "value", "rank")
     return pairs.withColumn("rank", F.row_number().over(order("lang", "source"))).unionByName(best)
 
