@@ -20,6 +20,8 @@ from procurelake.shared import stash
 
 #: Lists; vectors that the centroids are fitted on, about; rows of a block, on average.
 LISTS, SAMPLE, BLOCK = 64, 50_000, 4096
+#: Queries that are compared with a block at once, about; similarities that are held at once.
+ASKED, TILE = 16_384, 1 << 20
 #: Vectors that the audit asks with, about, and neighbours of each; the share of them to find; the number of lists that it chose.
 AUDIT, NEIGHBOURS, FOUND, CHOSEN = 400, 20, 0.95, 0
 
@@ -107,14 +109,17 @@ class VectorLists:
         asked = queries.where(usable(embedding)).select(F.col(query).alias("query"), F.col(embedding).cast("array<double>").alias("v"))
         sizes = self.spark.read.parquet(f"{self.path}/sizes")
         probes = self.audit()[0] if probes == CHOSEN else probes
+        # lists are long on both sides of the comparison: an int of the same value would be dealt to another task
         if probes is None:
-            sent = asked.withColumn("list", F.explode(F.array(*[F.lit(r.list) for r in sizes.select("list").collect()]) if sizes.count() else F.array().cast("array<bigint>")))
+            sent = asked.crossJoin(F.broadcast(sizes))
         else:
-            sent = self.nearest(asked, probes).select("query", "v", F.explode("lists").alias("list"))
-        sent = stash(sent.join(F.broadcast(sizes), "list").select("query", "v", "list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")), "asked")
+            sent = self.nearest(asked, probes).select("query", "v", F.explode("lists").alias("list")).join(F.broadcast(sizes), "list")
+        parts = max(1, -(-asked.count() // ASKED))
+        part = F.pmod(F.xxhash64("query"), F.lit(parts)).alias("part")
+        sent = stash(sent.select("query", "v", F.col("list").cast("long").alias("list"), part, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")), "asked")
         lists = sorted(r.list for r in sent.select("list").distinct().collect())
         schema = self.spark.read.parquet(f"{self.path}/schema").schema.add("block", T.LongType()).add("list", T.IntegerType())
-        rows = self.spark.read.schema(schema).parquet(f"{self.path}/rows").where(F.col("list").isin(lists)).select(F.col(self.key).alias("key"), "v", F.col("list").cast("long").alias("list"), "block")
+        rows = self.spark.read.schema(schema).parquet(f"{self.path}/rows").where(F.col("list").isin(lists)).select(F.col(self.key).alias("key"), "v", F.col("list").cast("long").alias("list"), "block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
         kind = rows.schema["key"].dataType.simpleString()
 
         def compare(left, right):
@@ -123,8 +128,9 @@ class VectorLists:
             right = right.sort_by("key")
             r = unit(matrix(right["v"]))
             at, to, value = [], [], []
-            for lo in range(0, left.num_rows, 1024):
-                sims = np.round(unit(matrix(left["v"].slice(lo, 1024))) @ r.T, 12)
+            tile = max(1, TILE // len(r))
+            for lo in range(0, left.num_rows, tile):
+                sims = np.round(unit(matrix(left["v"].slice(lo, tile))) @ r.T, 12)
                 # a stable sort keeps ties in order of the key
                 top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
                 at.append(np.repeat(np.arange(len(sims)) + lo, top.shape[1]))
@@ -133,6 +139,6 @@ class VectorLists:
             return pa.table({"query": left["query"].take(pa.array(np.concatenate(at))), "key": right["key"].take(pa.array(np.concatenate(to))), "similarity": pa.array(np.concatenate(value))})
 
         schema = f"query {asked.schema['query'].dataType.simpleString()}, key {kind}, similarity double"
-        best = sent.groupBy("list", "block").cogroup(rows.groupBy("list", "block")).applyInArrow(compare, schema)
+        best = sent.groupBy("list", "block", "part").cogroup(rows.groupBy("list", "block", "part")).applyInArrow(compare, schema)
         order = Window.partitionBy("query").orderBy(F.desc("similarity"), "key")
         return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

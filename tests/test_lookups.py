@@ -50,6 +50,24 @@ def test_vector_lists(spark, tmp_path, monkeypatch):
     assert few.search(queries.where("query = 0"), 3).count() == 2
 
 
+def test_all_lists_meet_their_vectors_in_many_tasks(spark, tmp_path, monkeypatch):
+    """Lists and those that ask for them are dealt alike; queries that are cut into parts find the same."""
+    points = np.random.default_rng(3).normal(size=(400, 8))
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, embedding array<double>")
+    unit = points / np.linalg.norm(points, axis=1, keepdims=True)
+    want = {(q, int(k)) for q in range(0, 400, 50) for k in np.argsort(-np.round(unit @ unit[q], 12), kind="stable")[:5]}
+    queries = df.where("id % 50 = 0").select(F.col("id").alias("query"), "embedding")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        index = vector_index.VectorLists(spark, f"file://{tmp_path}/dealt").build(df, lists=16)
+        for asked, tile in ((vector_index.ASKED, vector_index.TILE), (3, 20)):
+            monkeypatch.setattr(vector_index, "ASKED", asked, raising=False)
+            monkeypatch.setattr(vector_index, "TILE", tile, raising=False)
+            assert {(r["query"], r["key"]) for r in index.search(queries, 5, None).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 @pytest.fixture(scope="module")
 def names(spark):
     said = ["City of Cape Town", "CITY", "ci", "", None, "50% off_ltd", "İstanbul Kelvin K", "Straße der Arbeit", "ab", "Cape", "capetown city", "a\\b%c"]
