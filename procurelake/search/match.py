@@ -62,16 +62,31 @@ def with_index(df: DataFrame, fields: dict[str, str], *, stemmed: bool = False)
     return cut.withColumn("lexemes", out).drop(*names)
 
 
+def postings_of_rows(indexed: DataFrame, key: str = "id") -> DataFrame:
+    """The postings of each row, made where the row is: its lexemes in order, cut where the lexeme changes. Nothing is shuffled."""
+    lexeme = lambda i: F.get("s", i)["lexeme"]
+    in_order = indexed.select(key, F.sort_array("lexemes").alias("s")).where(F.size("s") > 0)
+    cut = in_order.withColumn("at", F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: ~lexeme(i).eqNullSafe(lexeme(i - 1))))
+    to = lambda n: F.coalesce(F.get("at", n + 1), F.size("s"))
+    bare = lambda x: F.struct(x["pos"].alias("pos"), x["label"].alias("label"))
+    each = F.transform("at", lambda i, n: F.struct(lexeme(i).alias("lexeme"), F.transform(F.slice("s", i + 1, to(n) - i), bare).alias("positions")))
+    return cut.select(key, F.explode(each).alias("p")).select("p.lexeme", key, "p.positions")
+
+
 def postings(indexed: DataFrame, key: str = "id") -> DataFrame:
-    """The index turned round: (lexeme, id, positions), for stores that are read by lexeme."""
-    flat = indexed.select(key, F.explode("lexemes").alias("l"))
-    return flat.groupBy(F.col("l.lexeme").alias("lexeme"), key).agg(F.array_sort(F.collect_list(F.struct("l.pos", "l.label"))).alias("positions"))
+    """The index turned round: (lexeme, id, positions), for stores that are read by lexeme. Only rows that share an id are brought together."""
+    again = stash(indexed.groupBy(key).count().where("count > 1").select(F.col(key).alias("again")), "again")
+    if again.isEmpty():
+        return postings_of_rows(indexed, key)
+    shared = F.col(key).eqNullSafe(F.col("again"))
+    united = postings_of_rows(indexed.join(again, shared, "left_semi"), key).groupBy("lexeme", key).agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
+    return postings_of_rows(indexed.join(again, shared, "left_anti"), key).unionByName(united)
 
 
 def stored_index(df: DataFrame, fields: dict[str, str], *, stemmed: bool = False, key: str = "id") -> tuple[DataFrame, DataFrame]:
-    """OP-X1 at write time: (rows with their lexemes, postings in order of lexeme), both written, so that a search reads no text and of the postings only its words'."""
+    """OP-X1 at write time: (rows with their lexemes, postings, each file in order of lexeme), both written, so that a search reads no text and of the postings only its words'."""
     indexed = stash(with_index(df, fields, stemmed=stemmed), "index")
-    return indexed, stash(postings(indexed, key).repartitionByRange("lexeme", key).sortWithinPartitions("lexeme", key), "postings")
+    return indexed, stash(postings(indexed, key).sortWithinPartitions("lexeme", key), "postings")
 
 
 def matching_ids(stored: DataFrame, terms: list[Term], *, stemmed: bool = False, key: str = "id") -> DataFrame:

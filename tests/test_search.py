@@ -220,3 +220,13 @@ def test_digests(spark):
     ]
     plain = {r.alert_id: r.body for r in A.render_digests(matched, tenders, alerts, "Brand").collect()}
     assert "Hi,\n\n1 new tender matches your alert (your saved search):" in plain[8] and "  Closes: no date published\n  https://x/3\n" in plain[8] and plain[8].endswith("Brand → Alerts")
+
+
+def test_postings_are_made_without_a_shuffle_and_repeated_ids_are_united(spark):
+    rows = [(1, "b a b"), (2, None), (3, "a"), (4, ""), (None, "x")]
+    once = M.postings(M.with_index(spark.createDataFrame(rows, "id long, text string"), {"text": "B"}))
+    assert "Exchange" not in once._jdf.queryExecution().executedPlan().toString()
+    flat = lambda p: sorted((r.lexeme, r.id if r.id is not None else -1, [(x.pos, x.label) for x in r.positions]) for r in p.collect())
+    assert flat(once) == [("a", 1, [(2, "B")]), ("a", 3, [(1, "B")]), ("b", 1, [(1, "B"), (3, "B")]), ("x", -1, [(1, "B")])]
+    twice = M.postings(M.with_index(spark.createDataFrame([*rows, (1, "c b"), (None, "x")], "id long, text string"), {"text": "B"}))
+    assert flat(twice) == [("a", 1, [(2, "B")]), ("a", 3, [(1, "B")]), ("b", 1, [(1, "B"), (2, "B"), (3, "B")]), ("c", 1, [(1, "B")]), ("x", -1, [(1, "B"), (1, "B")])]
