@@ -69,20 +69,41 @@ def keyword_tests(alerts: DataFrame, tenders: DataFrame) -> DataFrame:
     return both.where(F.forall("terms", lambda t: has(t) != t["negated"])).select("keywords", "tender_id").distinct()
 
 
+def word_frequencies(tenders: DataFrame) -> DataFrame:
+    """(lexeme, n): how many tenders that alerts look at have each word."""
+    return tenders.where(F.col("status").isin(*ALERTABLE)).select(F.explode(F.array_distinct(F.transform("lexemes", lambda x: x["lexeme"]))).alias("lexeme")).groupBy("lexeme").agg(F.count("*").alias("n"))
+
+
 ASKED = ("keywords", "provinces", "categories", "closing_within_days")
 
 
+def first_of_each(fit: DataFrame, depths: DataFrame) -> DataFrame:
+    """The rows of ``fit(asked, tender_id, closing_at, created_at)`` with their place ``k``, by closing date, newest and id, down to ``depths(asked, depth)`` at least.
+
+    Places are counted by closing day first, those without one by the day they were made, and rows are put in order within their day only, so no group is sorted whole.
+    """
+    kinds = dict(fit.dtypes)
+    day = lambda c: F.floor(F.col(c).cast("long") / 86400) if kinds[c] == "timestamp" else F.col(c).cast("date")
+    dated = fit.withColumns({"closing_day": day("closing_at"), "created_day": F.when(F.col("closing_at").isNull(), day("created_at"))})
+    days = dated.groupBy("asked", "closing_day", "created_day").agg(F.count("*").alias("n"))
+    ahead = Window.partitionBy("asked").orderBy(F.col("closing_day").asc_nulls_last(), F.col("created_day").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    starts = days.withColumn("start", F.coalesce(F.sum("n").over(ahead), F.lit(0))).join(apart(depths, "asked"), "asked").where("start < depth")
+    s = starts.select(F.col("asked").alias("of"), F.col("closing_day").alias("closes"), F.col("created_day").alias("made"), "start")
+    near = dated.join(s, (F.col("asked") == F.col("of")) & F.col("closing_day").eqNullSafe(F.col("closes")) & F.col("created_day").eqNullSafe(F.col("made")))
+    within = Window.partitionBy("asked", "closing_day", "created_day").orderBy(F.col("closing_at").asc_nulls_last(), F.col("created_at").desc(), "tender_id")
+    return near.withColumn("k", F.col("start") + F.row_number().over(within)).select("asked", "tender_id", "closing_at", "created_at", "k")
+
+
 def match_alerts(alerts: DataFrame, tenders: DataFrame, sent: DataFrame, as_of: Column, limit: int = PER_ALERT) -> DataFrame:
     """OP-J7, OP-J17, OP-S6. (alert_id, tender_id, rank): what each active alert has not been sent, first to close first.
 
     ``alerts(alert_id, keywords, provinces, categories, closing_within_days, active)``, ``tenders(id, lexemes,
     province, categories, status, closing_at, created_at, field_provenance)``, ``sent(alert_id, tender_id)``.
-    A condition that an alert leaves out holds for all tenders. Alerts that ask for the same are matched once,
-    and no further down than the most that an alert has been sent.
+    A condition that an alert leaves out holds for all tenders. Alerts that ask for the same are matched once;
+    each looks no further down than it has been sent, so the rows compared grow with alerts and sent rows, not with their product.
     """
     live = alerts.where(F.col("active") & valid_alert("keywords", "provinces", "categories")).withColumn("asked", F.xxhash64(F.to_json(F.struct(*ASKED))))
     own_sent = sent.select("alert_id", "tender_id").join(live.select("alert_id"), "alert_id", "left_semi").distinct()
-    most = own_sent.groupBy("alert_id").count().agg(F.max("count")).first()[0] or 0
     asked = live.select("asked", *ASKED).dropDuplicates(["asked"])
     open_ = tenders.where(F.col("status").isin(*ALERTABLE))
     worded = F.trim(F.coalesce("keywords", F.lit(""))) != ""
@@ -100,9 +121,12 @@ def match_alerts(alerts: DataFrame, tenders: DataFrame, sent: DataFrame, as_of:
     in_time = F.col("closing_within_days").isNull() | F.coalesce(verified_closing_within(F.col("closing_within_days"), as_of), F.lit(False))
     order = [F.col("closing_at").asc_nulls_last(), F.col("created_at").desc(), F.col("tender_id")]
     fit = met.where(F.coalesce(in_province, F.lit(False)) & in_category & in_time).select("asked", "tender_id", "closing_at", "created_at")
-    # a literal bound lets each task keep its own first rows before the shuffle
-    first = fit.withColumn("k", F.row_number().over(Window.partitionBy("asked").orderBy(*order))).where(F.col("k") <= limit + most).drop("k")
-    fresh = live.select("alert_id", "asked").join(first, "asked").join(own_sent, ["alert_id", "tender_id"], "left_anti")
+    deep = live.join(apart(own_sent.groupBy("alert_id").count(), "alert_id"), "alert_id", "left").select("alert_id", "asked", (F.coalesce("count", F.lit(0)) + limit).alias("depth"))
+    first = first_of_each(stash(fit, "fit"), deep.groupBy("asked").agg(F.max("depth").alias("depth")))
+    # places are dealt by their number of binary digits, so an alert meets less than twice the places that it looks at
+    digits = lambda c: F.length(F.bin(c))
+    levels = deep.withColumn("level", F.explode(F.sequence(F.lit(1), digits("depth"))))
+    fresh = levels.join(first.withColumn("level", digits("k")), ["asked", "level"]).where("k <= depth").join(own_sent, ["alert_id", "tender_id"], "left_anti")
     ranked = fresh.withColumn("rank", F.row_number().over(Window.partitionBy("alert_id").orderBy(*order)))
     return ranked.where(F.col("rank") <= limit).select("alert_id", "tender_id", "rank")
 
