@@ -13,7 +13,7 @@ from procurelake.search.store import IndexStore
 from procurelake.search.trigrams import names_like, trigram_postings
 from procurelake.search.vector_index import VectorLists
 from procurelake.shared import apart, fresh_folder
-from procurelake.streaming.alert_stream import matched, stored_clauses
+from procurelake.streaming.alert_stream import counts_met, stored_clauses
 
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED")
 
@@ -94,8 +94,8 @@ def alert_clauses_met(spark, sf_dir):
     """How many tenders every customer's alert meets, by the stored clauses that the alert stream uses, and the first and last of them."""
     alerts = _asking(spark, sf_dir).withColumn("asked", F.xxhash64(F.to_json(F.struct("keywords", "provinces", "categories", "closing_within_days", "active"))))
     once = alerts.groupBy("asked").agg(*[F.min(c).alias(c) for c in ("keywords", "provinces", "categories", "closing_within_days", "active")]).withColumnRenamed("asked", "alert_id")
-    met = matched(_alert_tenders(spark, sf_dir).withColumn("categories", F.array("title_head")), stored_clauses(once), tender_now()).select("alert_id", "tender_id").distinct()
-    counts = met.groupBy("alert_id").agg(F.count("*").alias("n"), F.min("tender_id").alias("first_id"), F.max("tender_id").alias("last_id"))
+    t = _alert_tenders(spark, sf_dir).withColumn("categories", F.array("title_head"))
+    counts = counts_met(t, stored_clauses(once, A.word_frequencies(t)), tender_now())
     return alerts.join(counts.withColumnRenamed("alert_id", "asked"), "asked").select("alert_id", "n", "first_id", "last_id")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from procurelake.operators.stores import History
 from procurelake.plans.alerts import ALERTABLE, digests, keyword_clauses, valid_alert, verified_closing_within
-from procurelake.shared import apart
+from procurelake.shared import apart, stash
 
 #: What every tender has: the key of clauses that only exclude.
 ANY = "*"
@@ -60,6 +60,19 @@ def matched(tenders: DataFrame, clauses: DataFrame, as_of: Column) -> DataFrame:
     return met.where(fits).select("alert_id", "tender_id", F.col("closing_at").cast("timestamp").alias("closing_at"), F.col("created_at").cast("timestamp").alias("created_at"))
 
 
+def counts_met(tenders: DataFrame, clauses: DataFrame, as_of: Column) -> DataFrame:
+    """(alert_id, n, first_id, last_id): how many tenders of a table, with ids that are not repeated, each alert meets.
+
+    Only an alert with several clauses can meet a tender twice, so only its pairs are made distinct; the others are counted where they are met.
+    """
+    stored = stash(clauses, "clauses")
+    several = stored.groupBy("alert_id").count().where("count > 1").select("alert_id")
+    once = matched(tenders, stored.join(several, "alert_id", "left_anti"), as_of).select("alert_id", "tender_id")
+    more = matched(tenders, stored.join(several, "alert_id", "left_semi"), as_of).select("alert_id", "tender_id").distinct()
+    count = lambda met: met.groupBy("alert_id").agg(F.count("*").alias("n"), F.min("tender_id").alias("first_id"), F.max("tender_id").alias("last_id"))
+    return count(once).unionByName(count(more))
+
+
 class SentOnce(StatefulProcessor):
     """Passes each tender of an alert on once; what was sent is kept in a map by tender."""
 

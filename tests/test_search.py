@@ -230,3 +230,33 @@ def test_postings_are_made_without_a_shuffle_and_repeated_ids_are_united(spark):
     assert flat(once) == [("a", 1, [(2, "B")]), ("a", 3, [(1, "B")]), ("b", 1, [(1, "B"), (3, "B")]), ("x", -1, [(1, "B")])]
     twice = M.postings(M.with_index(spark.createDataFrame([*rows, (1, "c b"), (None, "x")], "id long, text string"), {"text": "B"}))
     assert flat(twice) == [("a", 1, [(2, "B")]), ("a", 3, [(1, "B")]), ("b", 1, [(1, "B"), (2, "B"), (3, "B")]), ("c", 1, [(1, "B")]), ("x", -1, [(1, "B"), (1, "B")])]
+
+
+def test_alerts_that_were_sent_much_do_not_make_the_others_look_far(spark):
+    """Places are counted by days to the depth asked for, and an alert that was sent much still gets what comes next."""
+    start = datetime(2026, 3, 1)
+    rows = [(i % 2, i, None if i % 9 == 0 else start + timedelta(hours=7 * (i % 40)), start - timedelta(hours=5 * (i % 30))) for i in range(600)]
+    fit = spark.createDataFrame(rows, "asked long, tender_id long, closing_at timestamp, created_at timestamp")
+    got = A.first_of_each(fit, spark.createDataFrame([(0, 280), (1, 3)], "asked long, depth long")).collect()
+    order = lambda r: (r[2] is None, r[2] or start, -r[3].timestamp(), r[1])
+    for asked, depth, most in ((0, 280, 300), (1, 3, 40)):
+        want = [r[1] for r in sorted((r for r in rows if r[0] == asked), key=order)]
+        mine = {r.k: r.tender_id for r in got if r.asked == asked}
+        assert depth <= len(mine) <= most and mine == {k + 1: want[k] for k in range(len(mine))}
+
+
+def test_counts_of_tenders_that_alerts_meet(spark):
+    """Stored clauses lie under the word that is rarest among the tenders, not the longest, and an alert of several clauses counts a tender once."""
+    from procurelake.streaming.alert_stream import counts_met, matched, stored_clauses
+
+    fields = "id long, title string, province string, status string, categories array<string>, closing_at timestamp, created_at timestamp"
+    rows = [(i, f"common w{i % 5}", ("Gauteng", "Limpopo")[i % 2], "OPEN", ["a", "b"], None, None) for i in range(40)]
+    t = M.with_index(spark.createDataFrame(rows, fields), {"title": "A"}).withColumn("field_provenance", F.create_map().cast("map<string,struct<source:string,source_id:string,confidence:double,note:string>>"))
+    asks = [(1, "common w3", None, None), (2, "common or w3", None, None), (3, None, ["Gauteng", "Limpopo"], None), (4, None, None, ["a", "b"]), (5, "w3 -common", None, None)]
+    alerts = spark.createDataFrame([(*a, None, True) for a in asks], "alert_id long, keywords string, provinces array<string>, categories array<string>, closing_within_days int, active boolean")
+    clauses = stored_clauses(alerts, A.word_frequencies(t))
+    assert {r.key for r in clauses.where("alert_id = 1").collect()} == {"w:w3"}
+    now = F.lit(datetime(2026, 3, 1))
+    pairs = matched(t, clauses, now).select("alert_id", "tender_id").distinct().groupBy("alert_id").count().collect()
+    got = {r.alert_id: (r.n, r.first_id, r.last_id) for r in counts_met(t, clauses, now).collect()}
+    assert got == {1: (8, 3, 38), 2: (40, 0, 39), 3: (40, 0, 39), 4: (40, 0, 39)} and {r["alert_id"]: r["count"] for r in pairs} == {a: n for a, (n, _, _) in got.items()}
