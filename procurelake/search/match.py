@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,13 +37,17 @@ def words_of(text) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"(?U)(\w+)"), F.lit(1))
 
 
-def stems(words) -> Column:
-    """The array's words stemmed (Arrow batches)."""
+def stem_lists(column: pa.Array) -> pa.Array:
+    """Lists of words stemmed; a word is stemmed once a batch, however often it comes."""
+    words = column.flatten().dictionary_encode()
+    made = pa.array([stem(w) for w in words.dictionary.to_pylist()], pa.string()).take(words.indices)
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))
+    return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), made, mask=column.is_null())
 
-    def run(column: pa.Array) -> pa.Array:
-        return pa.array([[stem(w) for w in x.as_py()] if x.is_valid else None for x in column], pa.list_(pa.string()))
 
-    return F.arrow_udf(run, T.ArrayType(T.StringType()))(words)
+def stems(words) -> Column:
+    """The array's words stemmed (Arrow batches)."""
+    return F.arrow_udf(stem_lists, T.ArrayType(T.StringType()))(words)
 
 
 def _at(start: Column, label: str):
@@ -161,12 +168,14 @@ def keyword_rank(query: str, lexemes: str = "lexemes", *, labels: dict[str, floa
     table = labels or LABELS
 
     def run(column: pa.Array) -> pa.Array:
-        ranks = [covers(groups, hits or [], table) if groups else 0.0 for hits in column.to_pylist()]
-        return pa.array([r / (1 + r) for r in ranks], pa.float64())
+        # rows with the same words in the same places have one rank
+        hits = column.fill_null("[]").dictionary_encode()
+        ranks = [covers(groups, json.loads(h), table) if groups else 0.0 for h in hits.dictionary.to_pylist()]
+        return pa.array([r / (1 + r) for r in ranks], pa.float64()).take(hits.indices)
 
     # only the query's own words leave the JVM
     asked = sorted(set().union(*groups))
-    return F.arrow_udf(run, T.DoubleType())(F.filter(lexemes, lambda x: x["lexeme"].isin(asked)))
+    return F.arrow_udf(run, T.DoubleType())(F.to_json(F.filter(lexemes, lambda x: x["lexeme"].isin(asked))))
 
 
 def urgency(closing_at, as_of) -> Column:

@@ -260,3 +260,16 @@ def test_counts_of_tenders_that_alerts_meet(spark):
     pairs = matched(t, clauses, now).select("alert_id", "tender_id").distinct().groupBy("alert_id").count().collect()
     got = {r.alert_id: (r.n, r.first_id, r.last_id) for r in counts_met(t, clauses, now).collect()}
     assert got == {1: (8, 3, 38), 2: (40, 0, 39), 3: (40, 0, 39), 4: (40, 0, 39)} and {r["alert_id"]: r["count"] for r in pairs} == {a: n for a, (n, _, _) in got.items()}
+
+
+def test_a_word_is_stemmed_once_a_batch(monkeypatch):
+    import pyarrow as pa
+
+    seen = []
+    monkeypatch.setattr(M, "stem", lambda w: seen.append(w) or stem(w))
+    lists = [["supplies", "items", "supplies"], None, [], ["items"], ["roads"]]
+    kept = lambda x: [stem(w) for w in x] if x is not None else None
+    assert M.stem_lists(pa.array(lists, pa.list_(pa.string()))).to_pylist() == [kept(x) for x in lists]
+    assert M.stem_lists(pa.array(lists, pa.list_(pa.string())).slice(1, 3)).to_pylist() == [kept(x) for x in lists[1:4]]
+    assert sorted(seen) == ["items", "items", "roads", "supplies"]
+    assert M.stem_lists(pa.array([], pa.list_(pa.string()))).to_pylist() == []
