@@ -1,6 +1,6 @@
 """A search index that is kept up to date: rows and postings in generations, merged when they grow (OP-X1, OP-X2).
 
-Each change writes a generation beside the base: the new rows, their postings, each file in order of lexeme, and the ids
+Each change writes a generation beside the base: the new rows, their postings in order of lexeme, and the ids
 that it touches. An id counts as its last generation says, so a row that was changed or removed is hidden in
 all earlier ones. A search reads its words' postings of the base and of the few generations since, and the
 touched ids. A merge writes what is current as the next base; the folders before it are read no more. A
@@ -76,8 +76,8 @@ class IndexStore:
         names = self.schemas["rows"].names
         rows.select(*names).write.mode("overwrite").parquet(self.folder("rows", number))
         stored = self.spark.read.schema(self.schemas["rows"]).parquet(self.folder("rows", number))
-        # ids are unique here; each task's rows make a file of their own, in order of lexeme, so nothing is shuffled
-        ordered = postings_of_rows(stored, self.key).sortWithinPartitions("lexeme", self.key)
+        # ids are unique here
+        ordered = postings_of_rows(stored, self.key).repartitionByRange("lexeme", self.key).sortWithinPartitions("lexeme", self.key)
         ordered.write.mode("overwrite").parquet(self.folder("postings", number))
         if base:
             ids.limit(0).write.mode("overwrite").parquet(self.folder("base", number))
