@@ -48,68 +48,103 @@ def _digits() -> tuple[str, str]:
     return "".join(x for x, _ in found), "".join(d for _, d in found)
 
 
-def _instant(name: str, base: int) -> tuple[Column, Column]:
-    """(instant or null, whether a time was written) from the columns with a pattern's groups; its date and time groups start at ``base``."""
-    group = lambda i: F.nullif(F.col(f"{name}{base + i}"), F.lit(""))
-    number = lambda i: group(i).try_cast("int")
-    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(group(1))).cast("int")
-    year = F.coalesce(number(2), number(3), number(8))
-    month = F.when(group(0).isNotNull(), month).otherwise(F.coalesce(number(4), number(7)))
-    day = F.coalesce(number(0), number(5), number(6))
-    hour = number(9) + F.when((F.lower(group(11)) == "pm") & (number(9) < 12), 12).otherwise(0)
-    timed = number(9).isNotNull() & (hour < 24) & (number(10) < 60)
-    wall = lambda h, m: F.format_string("%04d-%02d-%02d %02d:%02d:00%s", year, month, day, h, m, F.lit(SAST))
-    # without a time a closing is at the default hour, a briefing at the start of the day
-    untimed = wall(F.lit(DEFAULT_CLOSING_HOUR if base == 1 else 0), F.lit(0))
-    at = F.try_to_timestamp(F.when(timed, wall(hour, number(10))).otherwise(untimed))
-    return F.when((year > 0) & month.isNotNull() & day.isNotNull(), at), F.coalesce(timed, F.lit(False))
+#: Stands between the groups of a match, and around matches; no pattern matches it.
+MARK, INNER, OTHER = "\x01", "\x02", "\x03"
+
+
+def starting(first: str, pattern: str) -> str:
+    """``pattern``, tried only where one of the characters ``first`` stands: those that its matches can begin with, whatever their case."""
+    either = "".join(sorted({c for x in first for c in (x.lower(), x.upper(), "\u017f" if x == "s" else x)}))
+    return f"(?=[{either}]){pattern}"
+
+
+def _groups(name: str, pattern: str, n: int) -> Column:
+    """The groups of a match, found at once, as a list in which those that took no part are empty; digits are ASCII."""
+    listed = F.regexp_replace(name, pattern, MARK.join(f"${i}" for i in range(1, n + 1)))
+    return F.when(F.col(name) != "", F.split(F.translate(listed, *_digits()), MARK))
+
+
+def _parts(name: str, base: int) -> dict[str, Column]:
+    """Columns of year, month, day, hour, minute from the column ``name`` with a list of groups, of which the date and time groups start at ``base``."""
+    # an empty string that is cast costs an exception
+    number = lambda i: F.nullif(F.get(name, F.lit(base + i - 1)), F.lit("")).try_cast("int")
+    text = lambda i: F.lower(F.get(name, F.lit(base + i - 1)))
+    month = F.nullif(F.array_position(F.array(*map(F.lit, MONTHS)), text(1)).cast("int"), F.lit(0))
+    return {
+        f"{name}_year": F.coalesce(number(2), number(3), number(8)), f"{name}_month": F.coalesce(month, number(4), number(7)), f"{name}_day": F.coalesce(number(0), number(5), number(6)),
+        f"{name}_hour": number(9) + F.when((text(11) == "pm") & (number(9) < 12), 12).otherwise(0), f"{name}_minute": number(10),
+    }
+
+
+def _instant(name: str, untimed: int) -> dict[str, Column]:
+    """Columns of the instant (or null) and of whether a time was written; without a time it is at the hour ``untimed``."""
+    part = {p: F.col(f"{name}_{p}") for p in ("year", "month", "day", "hour", "minute")}
+    timed = F.coalesce((part["hour"] < 24) & (part["minute"] < 60), F.lit(False))
+    hour, minute = F.when(timed, part["hour"]).otherwise(untimed), F.when(timed, part["minute"]).otherwise(0)
+    at = F.try_make_timestamp(F.when(part["year"] > 0, part["year"]), part["month"], part["day"], hour, minute, F.lit(0), F.lit(SAST))
+    return {f"{name}_at": at, f"{name}_timed": timed}
 
 
 def extract_fields(documents: DataFrame, text: str = "text") -> DataFrame:
     """OP-D7. The documents with one nullable struct (value, confidence, evidence) per field; null and empty texts have none.
 
-    Each pattern runs over the text once; its groups are taken from the short match. Digits of any script count.
+    Each pattern runs over the text once; its groups are taken from the short match, all at once. What is used
+    more than once is a column, in several steps: one large step is more code than Java compiles, and many times as slow.
+    Digits of any script count.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    head = F.substring(t, 1, NUMBER_CHARS)
-    first = {"closing": CLOSING, "briefing": BRIEFING, "near": COMPULSORY, "level": LEVEL, "email": EMAIL, "phone": PHONE, "value": VALUE}
+    # the mark is no part of a number, and neither is the character it gives way to
+    head = F.replace(F.substring(t, 1, NUMBER_CHARS), F.lit(MARK), F.lit(OTHER))
+    first = {
+        "closing": starting("csd", CLOSING), "briefing": starting("cmsb", BRIEFING), "near": starting("cmsb", COMPULSORY), "level": starting("b", LEVEL),
+        "email": EMAIL, "phone": starting("+0", PHONE), "value": starting("ebc", VALUE),
+    }
     found = {f"__{name}": F.regexp_extract(t, pattern, 0) for name, pattern in first.items()}
     found |= {
-        "__numbers": F.regexp_extract_all(head, F.lit(NUMBER), F.lit(0)),
-        "__candidates": F.transform(F.regexp_extract_all(head, F.lit(NUMBER), F.lit(1)), lambda x: F.regexp_replace(F.trim(x), r"\.+$", "")),
-        "__between": F.split(head, NUMBER, -1),
-        "__grades": F.when(t.rlike(GRADE_CONTEXT), F.regexp_extract_all(t, F.lit(GRADE), F.lit(0))),
+        "__numbered": F.regexp_replace(head, starting("tbqrc", NUMBER), f"{MARK}$0{INNER}$1{MARK}"),
+        "__grades": F.when(t.rlike(starting("c", GRADE_CONTEXT)), F.regexp_extract_all(t, F.lit(starting("123456789", GRADE)), F.lit(0))),
     }
-    # a column for each group, since one that is used more than once is not computed again
-    groups = lambda name, pattern, n: {f"__{name}{i}": F.translate(F.regexp_extract(f"__{name}", pattern, i), *_digits()) for i in range(1, n + 1)}
-    valid = F.transform("__candidates", lambda x: x.rlike(r"(?U)\d") & (F.length(x) <= 30))
-    cut = groups("closing", CLOSING, 12) | groups("briefing", BRIEFING, 13)
-    cut |= {
+    # the texts between the matches are those of even place, the matches, each with its candidate, the others
+    split = {
+        "__numbered": F.when(F.contains("__numbered", F.lit(MARK)), F.split("__numbered", MARK, -1)), "__closing_": _groups("__closing", CLOSING, 12), "__briefing_": _groups("__briefing", BRIEFING, 13),
         "__amount": F.translate(F.regexp_replace(F.regexp_replace(F.regexp_extract("__value", VALUE, 1), r"(?U)[\s,]", ""), r"\.+$", ""), *_digits()).try_cast("double"),
-        "__at": F.array_position(valid, F.lit(True)).cast("int"),
         "__grades": F.array_sort(F.array_distinct(F.transform("__grades", lambda g: F.regexp_replace(g, r"(?U)\s+", "")))),
-    }
+        "__level_": F.nullif(F.regexp_extract("__level", LEVEL, 1), F.lit("")),
+    }
+    candidate = lambda x: F.regexp_replace(F.trim(F.substring_index(x, INNER, -1)), r"\.+$", "")
+    cut = {
+        "__candidates": F.transform(F.filter("__numbered", lambda x, i: i % 2 == 1), candidate),
+        "__lengths": F.transform("__numbered", lambda x, i: F.when(i % 2 == 1, F.length(F.substring_index(x, INNER, 1))).otherwise(F.length(x))),
+        **_parts("__closing_", 1), **_parts("__briefing_", 2),
+    }
+    valid = F.transform("__candidates", lambda x: x.rlike(r"(?U)\d") & (F.length(x) <= 30))
+    values = {"__place": F.array_position(valid, F.lit(True)).cast("int"), **_instant("__closing_", DEFAULT_CLOSING_HOUR), **_instant("__briefing_", 0)}
+    # what lies before the valid match: the texts between the matches, and the matches before it
+    start = F.aggregate(F.slice("__lengths", F.lit(1), 2 * F.col("__place") - 1), F.lit(0), lambda n, x: n + x)
+    number = {
+        "__number": F.when(F.col("__place") > 0, F.get("__candidates", F.col("__place") - 1)),
+        "__number_text": F.when(F.col("__place") > 0, F.substring_index(F.get("__numbered", 2 * F.col("__place") - 1), INNER, 1)),
+        "__number_start": F.when(F.col("__place") > 0, start),
+        "__before": F.coalesce(F.get("__briefing_", F.lit(0)), F.lit("")) != "",
+    }
     match = lambda name: F.nullif(F.col(f"__{name}"), F.lit(""))
-    lengths = lambda parts: F.aggregate(parts, F.lit(0), lambda n, x: n + F.length(x))
-    # the texts between the matches and the matches before the valid one lie before it
-    number_start = lengths(F.slice("__between", F.lit(1), F.col("__at"))) + lengths(F.slice("__numbers", F.lit(1), F.col("__at") - 1))
-    closing, closing_timed = _instant("__closing", 1)
-    briefing, _ = _instant("__briefing", 2)
-    before = F.col("__briefing1") != ""
-    amount, level = F.col("__amount"), F.regexp_extract("__level", LEVEL, 1)
+    before, amount, near = F.col("__before"), F.col("__amount"), match("near").isNotNull()
     fields = {
-        "tender_number": F.when(F.col("__at") > 0, extracted(F.get("__candidates", F.col("__at") - 1), F.when(number_start < NUMBER_TOP, 0.85).otherwise(0.7), F.get("__numbers", F.col("__at") - 1))),
-        "closing_at": extracted(closing, F.when(closing_timed, 0.75).otherwise(0.6), match("closing")),
-        "briefing_at": extracted(briefing, 0.7, match("briefing")),
-        "compulsory_briefing": F.when(match("briefing").isNotNull(), extracted(before | match("near").isNotNull(), F.when(before, 0.8).otherwise(0.65), F.substring("__briefing", 1, 120)))
-        .otherwise(extracted(F.when(match("near").isNotNull(), F.lit(True)), 0.6, match("near"))),
+        "tender_number": extracted(F.col("__number"), F.when(F.col("__number_start") < NUMBER_TOP, 0.85).otherwise(0.7), F.col("__number_text")),
+        "closing_at": extracted(F.col("__closing__at"), F.when(F.col("__closing__timed"), 0.75).otherwise(0.6), match("closing")),
+        "briefing_at": extracted(F.col("__briefing__at"), 0.7, match("briefing")),
+        "compulsory_briefing": F.when(match("briefing").isNotNull(), extracted(before | near, F.when(before, 0.8).otherwise(0.65), F.substring("__briefing", 1, 120)))
+        .otherwise(extracted(F.when(near, F.lit(True)), 0.6, match("near"))),
         "cidb_grades": extracted(F.when(F.size("__grades") > 0, F.col("__grades")), 0.8, F.concat(F.lit("grades ['"), F.array_join("__grades", "', '"), F.lit("']"))),
-        "bbee_level": extracted(F.concat(F.lit("Level "), F.nullif(level, F.lit(""))), 0.75, match("level")),
+        "bbee_level": extracted(F.concat(F.lit("Level "), "__level_"), 0.75, match("level")),
         "contact_email": extracted(F.lower(match("email")), 0.9, match("email")),
         "contact_phone": extracted(F.regexp_replace(match("phone"), r"(?U)[\s\-]", ""), 0.8, match("phone")),
         "value_estimated": extracted(F.when(amount.between(LEAST_VALUE, MOST_VALUE), amount), 0.6, F.substring("__value", 1, 120)),
     }
-    return documents.withColumns(found).withColumns(cut).withColumns(fields).drop(*found, *cut)
+    steps = (found, split, cut, values, number)
+    for step in (*steps, fields):
+        documents = documents.withColumns(step)
+    return documents.drop(*{c: None for step in steps for c in step})
 
 
 def long_form(documents: DataFrame, key: str = "doc_id") -> DataFrame:

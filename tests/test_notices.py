@@ -371,3 +371,17 @@ def test_source_states(spark, ok):
     rows = spark.createDataFrame([("ACTIVE", False), ("DEGRADED", False), ("ACTIVE", True), ("BLOCKED", False)], "status string, final boolean")
     got = [r.s for r in rows.select(schedule.source_status_after("status", F.lit(ok), "final").alias("s")).collect()]
     assert got == (["ACTIVE", "ACTIVE", "ACTIVE", "BLOCKED"] if ok else ["DEGRADED", "DEGRADED", "FAILED", "BLOCKED"])
+
+
+def test_groups_of_a_match_are_found_at_once(spark):
+    plan = E.extract_fields(spark.createDataFrame([(1, "x")], "doc_id long, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count(E.CLOSING) <= 2 and 0 < plan.count(E.BRIEFING) <= 2 and plan.count(E.NUMBER) == 1
+
+
+def test_extraction_where_marks_and_other_letters_stand(spark):
+    texts = ["\x01 Tender No: ABC/1\x01 and \x02 Bid No: SCM 2/26\x03", "x" * 1990 + "\x01" * 20 + " Bid No: SCM 12/26", "ſubmiſſıon deadlİne: 1 may 2026", "ſite meeting on 1/2/2026 at 0:00", "due 1/2/2026 at 24:10", "due 2026-02-29"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in E.extract_fields(rows).collect()}
+    assert (got[0].tender_number.value, got[0].tender_number.evidence, got[1].tender_number.confidence) == ("ABC/1", "Tender No: ABC/1", 0.7)
+    day = lambda x: x and x.value.replace(tzinfo=timezone.utc).isoformat()
+    assert (day(got[2].closing_at), day(got[3].briefing_at), day(got[4].closing_at), day(got[5].closing_at)) == ("2026-05-01T09:00:00+00:00", "2026-01-31T22:00:00+00:00", "2026-02-01T09:00:00+00:00", None)
