@@ -48,6 +48,11 @@ def _digits() -> tuple[str, str]:
     return "".join(x for x, _ in found), "".join(d for _, d in found)
 
 
+#: What a text holds, in lower case, where a pattern matches: of each group one word at least.
+NEEDED = {
+    "closing": (("clos", "submission", "due"),), "briefing": (("site", "briefing", "clarification"),), "near": (("compulsory", "mandatory"), ("site", "briefing")), "level": (("bbee",),),
+    "email": (("@",),), "phone": (("0", "+27"),), "value": (("estimated", "budget", "contract"),), "numbered": (("tender", "bid", "quotation", "rfq", "rfp", "contract"),), "grades": (("cidb", "construction"),),
+}
 #: Stands between the groups of a match, and around matches; no pattern matches it.
 MARK, INNER, OTHER = "\x01", "\x02", "\x03"
 
@@ -58,6 +63,11 @@ def starting(first: str, pattern: str) -> str:
     return f"(?=[{either}]){pattern}"
 
 
+def _needed(name: str) -> Column:
+    """Whether the column ``__low`` holds what the pattern ``name`` needs; a plain search is a small part of a pattern's run."""
+    return reduce(lambda a, b: a & b, [reduce(lambda a, b: a | b, [F.contains("__low", F.lit(word)) for word in group]) for group in NEEDED[name]])
+
+
 def _groups(name: str, pattern: str, n: int) -> Column:
     """The groups of a match, found at once, as a list in which those that took no part are empty; digits are ASCII."""
     listed = F.regexp_replace(name, pattern, MARK.join(f"${i}" for i in range(1, n + 1)))
@@ -88,7 +98,7 @@ def _instant(name: str, untimed: int) -> dict[str, Column]:
 def extract_fields(documents: DataFrame, text: str = "text") -> DataFrame:
     """OP-D7. The documents with one nullable struct (value, confidence, evidence) per field; null and empty texts have none.
 
-    Each pattern runs over the text once; its groups are taken from the short match, all at once. What is used
+    Each pattern runs over the text once, and only where the text has words that it needs; its groups are taken from the short match, all at once. What is used
     more than once is a column, in several steps: one large step is more code than Java compiles, and many times as slow.
     Digits of any script count.
     """
@@ -99,10 +109,12 @@ def extract_fields(documents: DataFrame, text: str = "text") -> DataFrame:
         "closing": starting("csd", CLOSING), "briefing": starting("cmsb", BRIEFING), "near": starting("cmsb", COMPULSORY), "level": starting("b", LEVEL),
         "email": EMAIL, "phone": starting("+0", PHONE), "value": starting("ebc", VALUE),
     }
-    found = {f"__{name}": F.regexp_extract(t, pattern, 0) for name, pattern in first.items()}
+    # other letters that a pattern takes for s or i
+    low = {"__low": F.lower(F.replace(F.replace(F.replace(t, F.lit("\u017f"), F.lit("s")), F.lit("\u0131"), F.lit("i")), F.lit("\u0130"), F.lit("i")))}
+    found = {f"__{name}": F.when(_needed(name), F.regexp_extract(t, pattern, 0)).otherwise("") for name, pattern in first.items()}
     found |= {
-        "__numbered": F.regexp_replace(head, starting("tbqrc", NUMBER), f"{MARK}$0{INNER}$1{MARK}"),
-        "__grades": F.when(t.rlike(starting("c", GRADE_CONTEXT)), F.regexp_extract_all(t, F.lit(starting("123456789", GRADE)), F.lit(0))),
+        "__numbered": F.when(_needed("numbered"), F.regexp_replace(head, starting("tbqrc", NUMBER), f"{MARK}$0{INNER}$1{MARK}")),
+        "__grades": F.when(_needed("grades") & t.rlike(starting("c", GRADE_CONTEXT)), F.regexp_extract_all(t, F.lit(starting("123456789", GRADE)), F.lit(0))),
     }
     # the texts between the matches are those of even place, the matches, each with its candidate, the others
     split = {
@@ -141,7 +153,7 @@ def extract_fields(documents: DataFrame, text: str = "text") -> DataFrame:
         "contact_phone": extracted(F.regexp_replace(match("phone"), r"(?U)[\s\-]", ""), 0.8, match("phone")),
         "value_estimated": extracted(F.when(amount.between(LEAST_VALUE, MOST_VALUE), amount), 0.6, F.substring("__value", 1, 120)),
     }
-    steps = (found, split, cut, values, number)
+    steps = (low, found, split, cut, values, number)
     for step in (*steps, fields):
         documents = documents.withColumns(step)
     return documents.drop(*{c: None for step in steps for c in step})

@@ -385,3 +385,12 @@ def test_extraction_where_marks_and_other_letters_stand(spark):
     assert (got[0].tender_number.value, got[0].tender_number.evidence, got[1].tender_number.confidence) == ("ABC/1", "Tender No: ABC/1", 0.7)
     day = lambda x: x and x.value.replace(tzinfo=timezone.utc).isoformat()
     assert (day(got[2].closing_at), day(got[3].briefing_at), day(got[4].closing_at), day(got[5].closing_at)) == ("2026-05-01T09:00:00+00:00", "2026-01-31T22:00:00+00:00", "2026-02-01T09:00:00+00:00", None)
+
+
+def test_patterns_run_only_where_their_words_stand(spark):
+    plan = E.extract_fields(spark.createDataFrame([(1, "x")], "doc_id long, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Contains(") >= len(E.NEEDED)
+    # each letter that a pattern takes for one of a word's
+    odd = "".join(map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x10000)]))
+    letters = {x: {c for c in odd if re.search(x, c, re.I)} for x in {c for groups in E.NEEDED.values() for g in groups for word in g for c in word if c.isalpha()}}
+    assert {c for found in letters.values() for c in found} <= {"ſ", "ı", "İ", "K"}
