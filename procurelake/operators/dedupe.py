@@ -21,17 +21,23 @@ def duplicate_links(tenders: DataFrame, key: str = "id", closing_day: str = "clo
     Duplicates share the fingerprint, or buyer and number, or buyer, closing day and similar titles. The
     first two link every member of a group to its smallest, so a group costs one row per member. For the
     third, tenders of a block with the same title words are linked likewise, and one of each set of words is
-    compared over its rarest words, one of which similar titles must share, not with the whole block.
+    compared over its rarest words, one of which similar titles must share, not with the whole block. The keys
+    are written once, and groups and blocks of one tender, which have no links, are left out before anything is joined to them.
     """
+    held = stash(tenders.select(key, "fingerprint", "buyer_key", "normalized_tender_number", F.col(closing_day).alias("day"), "title"), "keyed")
+
     def star(on: list[str], where) -> DataFrame:
-        rows = tenders.where(where).select(*on, key)
-        low = rows.groupBy(*on).agg(F.min(key).alias("a"))
+        rows = held.where(where).select(*on, key)
+        low = rows.groupBy(*on).agg(F.min(key).alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
         return rows.join(low.repartition(F.xxhash64(*on, F.lit(1))), on).where(F.col(key) != F.col("a")).select("a", F.col(key).alias("b"))
 
     known = (F.col("buyer_key") != "") | F.col("buyer_key").isNotNull()
     equal = star(["fingerprint"], F.col("fingerprint").isNotNull())
     numbered = star(["buyer_key", "normalized_tender_number"], known & (F.col("normalized_tender_number") != ""))
-    words = tenders.where(known & F.col(closing_day).isNotNull()).select("buyer_key", F.col(closing_day).alias("day"), key, F.array_sort(word_set("title")).alias("words")).where(F.size("words") > 0)
+    dated = held.where(known & F.col("day").isNotNull()).select("buyer_key", "day", key, "title")
+    blocks = dated.groupBy("buyer_key", "day").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    crowded = dated.join(blocks.repartition(F.xxhash64("buyer_key", "day", F.lit(1))), ["buyer_key", "day"])
+    words = stash(crowded.select("buyer_key", "day", key, F.array_sort(word_set("title")).alias("words")).where(F.size("words") > 0), "words")
     low = words.groupBy("buyer_key", "day", "words").agg(F.min(key).alias("a"))
     same = words.join(low.repartition(F.xxhash64("buyer_key", "day", "words", F.lit(1))), ["buyer_key", "day", "words"]).where(F.col(key) != F.col("a")).select("a", F.col(key).alias("b"))
     # a pair with similarity t shares a word among the first n - ceil(t n) + 1 of each, words in one fixed order: rarest first

@@ -394,3 +394,10 @@ def test_patterns_run_only_where_their_words_stand(spark):
     odd = "".join(map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x10000)]))
     letters = {x: {c for c in odd if re.search(x, c, re.I)} for x in {c for groups in E.NEEDED.values() for g in groups for word in g for c in word if c.isalpha()}}
     assert {c for found in letters.values() for c in found} <= {"ſ", "ı", "İ", "K"}
+
+
+def test_keys_of_duplicates_are_made_once(spark):
+    rows = spark.range(12).select("id", F.sha2((F.col("id") % 5).cast("string"), 256).alias("fingerprint"), F.lit("b").alias("buyer_key"), (F.col("id") % 7).cast("string").alias("normalized_tender_number"), F.current_date().alias("closing_day"), F.concat(F.lit("t "), (F.col("id") % 3).cast("string")).alias("title"))
+    links = duplicate_links(rows.where("id < 11"))
+    assert "sha2(" not in links._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.cluster for r in clusters(rows, links).where("id < 11").collect()} == {0} and duplicate_links(rows.where("id in (1, 5)").withColumn("buyer_key", F.col("fingerprint"))).count() == 0
