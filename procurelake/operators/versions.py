@@ -64,7 +64,8 @@ def identities(existing: DataFrame, incoming: DataFrame, order: str = "seen_at")
     natural keys does it take the general components; a key that very many arrivals have is one row.
     """
     found = stash(match_existing(incoming, existing), "arrivals")
-    both = found.where("natural_key is not null and fingerprint is not null").select("natural_key", "fingerprint").distinct()
+    # written, since Spark would leave out distinct before a minimum, and minima of strings are taken by sorting all arrivals of a task
+    both = stash(found.where("natural_key is not null and fingerprint is not null").select("natural_key", "fingerprint").distinct(), "pairs")
     by_print = stash(both.groupBy("fingerprint").agg(F.min("natural_key").alias("low"), F.max("natural_key").alias("high")), "prints")
     node = F.coalesce(F.concat(F.lit("n:"), "natural_key"), F.concat(F.lit("f:"), "fingerprint"), F.concat(F.lit("r:"), F.sha2(F.to_json(F.struct(*incoming.columns)), 256)))
     if by_print.where("low != high").isEmpty():
@@ -74,7 +75,9 @@ def identities(existing: DataFrame, incoming: DataFrame, order: str = "seen_at")
         linked = components(both.select(F.concat(F.lit("n:"), "natural_key").alias("a"), F.concat(F.lit("f:"), "fingerprint").alias("b")), "keys")
         rooted = found.withColumn("__node", node).join(apart(linked.select(F.col("node").alias("__node"), F.col("component").alias("__root")), "__node"), "__node", "left")
         rooted = rooted.withColumn("__root", F.coalesce("__root", "__node")).drop("__node")
-    heads = rooted.groupBy("__root").agg(F.min("tender_id").alias("__known"), F.min(order).alias("__first"))
+    # apart from each other for the same reason: only arrivals that were matched have an id, and times are compared without sorting
+    known = rooted.where("tender_id is not null").select("__root", "tender_id").groupBy("__root").agg(F.min("tender_id").alias("__known"))
+    heads = rooted.groupBy("__root").agg(F.min(order).alias("__first")).join(known, "__root", "left")
     made = F.sha2(F.concat_ws("|", "__root", F.col("__first").cast("string")), 256)
     return rooted.join(apart(heads, "__root"), "__root").withColumn("tender_id", F.coalesce("tender_id", "__known", made)).drop("__root", "__known", "__first")
 
