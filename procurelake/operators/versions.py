@@ -130,14 +130,15 @@ def fold(existing: DataFrame, identified: DataFrame, order: str = "seen_at") ->
     created = ~F.col("__stored") & (F.col("__k") == 1)
     diffs = states.withColumn("changes", field_changes(states, "old", "new", fields))
     changed = diffs.withColumn("__new", F.when(created, F.lit(1)).when(~F.col("__stored") & (F.size("changes") > 0), F.lit(1)).otherwise(0))
-    steps = changed
+    # while the arrivals of a tender still lie together
+    steps = changed.withColumn("version_no", (F.col("__base") + F.sum("__new").over(key.orderBy("__k"))).cast("int"))
     if "source_urls" in more:
-        steps = stash(changed, "steps")
+        steps = stash(steps, "steps")
         each = steps.select("tender_id", "__k", F.explode("source_urls").alias("url"))
         bring = each.groupBy("tender_id", "url").agg(F.min("__k").alias("__k")).select("tender_id", "__k").distinct().withColumn("__url", F.lit(True))
         steps = steps.join(bring, ["tender_id", "__k"], "left")
     takes = F.col("__stored") | (F.col("__new") == 1) | (F.coalesce("__url", F.lit(False)) if "source_urls" in more else F.lit(False))
-    steps = stash(steps.withColumns({"__takes": takes, "version_no": (F.col("__base") + F.sum("__new").over(key.orderBy("__k"))).cast("int")}), "steps")
+    steps = stash(steps.withColumn("__takes", takes), "steps")
     versions = steps.where("__new = 1").select(
         "tender_id", "version_no", F.when(created, F.lit("CREATED")).otherwise(change_kind("changes", "old.closing_at", "new.closing_at") if "closing_at" in fields else F.lit("DETAILS_CHANGED")).alias("kind"),
         F.when(created, F.array().cast(CHANGE)).otherwise(F.col("changes")).alias("changes"),
