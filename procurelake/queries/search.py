@@ -75,6 +75,7 @@ def index_kept_up(spark, sf_dir):
     store.change(docs.where("id % 4 != 1"))
     store.change(docs.where("id % 3 = 0").withColumn("text", F.concat(F.lit("onan "), "text")), docs.where("id % 7 = 0").select("id"))
     store.merge()
+    store.remove_merged()
     store.change(docs.where("id % 4 = 1"))
     store.change(docs.where("id % 14 = 0"), docs.where("id % 11 = 0").select("id"))
     return M.matching_ids(store.postings(), expand("onan edes", {}))

@@ -69,15 +69,78 @@ def with_index(df: DataFrame, fields: dict[str, str], *, stemmed: bool = False)
     return cut.withColumn("lexemes", out).drop(*names)
 
 
+#: Rows of a piece in which postings go back to Spark, and how a place is stored.
+PIECE = 50_000
+PLACE = pa.struct([("pos", pa.int32()), ("label", pa.string())])
+
+
+def _turned(key: str, keys: pa.Array, words: pa.Array, row: np.ndarray, pos: np.ndarray, labels: pa.Array) -> Iterable[pa.RecordBatch]:
+    """The postings of words that stand in the rows ``row`` of ``keys``, at ``pos`` and with ``labels``; in order of lexeme and row."""
+    if not len(words):
+        return
+    coded = words.dictionary_encode(null_encoding="encode")
+    in_order = pc.sort_indices(coded.dictionary)
+    # numbers of 16 bits are sorted in less time
+    rank = np.empty(len(in_order), np.uint16 if len(in_order) <= 1 << 16 else np.int32)
+    rank[in_order.to_numpy()] = np.arange(len(in_order))
+    word = rank[coded.indices.to_numpy()]
+    before = np.arange(0) if np.all((row[1:] > row[:-1]) | (row[1:] == row[:-1]) & (pos[1:] >= pos[:-1])) else np.lexsort((pos, row))
+    order = before[np.argsort(word[before], kind="stable")] if len(before) else np.argsort(word, kind="stable")
+    word, row = word[order], row[order]
+    first = np.flatnonzero(np.append(True, (word[1:] != word[:-1]) | (row[1:] != row[:-1])))
+    places = pa.StructArray.from_arrays([pa.array(pos[order], pa.int32()), labels.take(pa.array(order))], fields=list(PLACE))
+    positions = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), places)
+    columns = [coded.dictionary.take(in_order).take(pa.array(word[first])), keys.take(pa.array(row[first])), positions]
+    made = pa.RecordBatch.from_arrays(columns, ["lexeme", key, "positions"])
+    for at in range(0, len(first), PIECE):
+        yield made.slice(at, PIECE)
+
+
+def _rows_of(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """For each element of the lists the row, and for each row the number of elements."""
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(lengths), dtype=np.int32), lengths), lengths
+
+
+def _postings_schema(df: DataFrame, key: str) -> T.StructType:
+    positions = T._parse_datatype_string("positions array<struct<pos:int,label:string>>").fields
+    return T.StructType([T.StructField("lexeme", T.StringType()), T.StructField(key, df.schema[key].dataType), *positions])
+
+
 def postings_of_rows(indexed: DataFrame, key: str = "id") -> DataFrame:
-    """The postings of each row, made where the row is: its lexemes in order, cut where the lexeme changes. Nothing is shuffled."""
-    lexeme = lambda i: F.get("s", i)["lexeme"]
-    in_order = indexed.select(key, F.sort_array("lexemes").alias("s")).where(F.size("s") > 0)
-    cut = in_order.withColumn("at", F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: ~lexeme(i).eqNullSafe(lexeme(i - 1))))
-    to = lambda n: F.coalesce(F.get("at", n + 1), F.size("s"))
-    bare = lambda x: F.struct(x["pos"].alias("pos"), x["label"].alias("label"))
-    each = F.transform("at", lambda i, n: F.struct(lexeme(i).alias("lexeme"), F.transform(F.slice("s", i + 1, to(n) - i), bare).alias("positions")))
-    return cut.select(key, F.explode(each).alias("p")).select("p.lexeme", key, "p.positions")
+    """The postings of each row, made where the row is, in Arrow batches; those of a batch are in order of lexeme and row. Nothing is shuffled.
+
+    Spark's own sort of an array of more than 8,192 elements takes several threads, and these may not read the same
+    Parquet column at once: they fail, wait for each other for ever or give another order.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            keys, words, pos, labels = batch.columns
+            yield from _turned(key, keys, words.flatten(), _rows_of(words)[0], pos.flatten().to_numpy(), labels.flatten())
+
+    parts = [F.col("lexemes")[part].alias(part) for part in ("lexeme", "pos", "label")]
+    return indexed.select(key, *parts).mapInArrow(run, _postings_schema(indexed, key))
+
+
+def postings_of_texts(df: DataFrame, fields: dict[str, str], *, stemmed: bool = False, key: str = "id") -> DataFrame:
+    """As ``postings_of_rows`` of ``with_index``, from the words alone: their positions and labels are made beside the sort."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            keys, *lists = batch.columns
+            start, rows, places = np.ones(len(keys), np.int64), [], []
+            for words in lists:
+                row, lengths = _rows_of(words)
+                rows.append(row)
+                # the first of a row is at the row's start
+                places.append(np.arange(len(row)) + np.repeat(start - np.cumsum(lengths) + lengths, lengths))
+                start = start + lengths + 1
+            labels = pa.array(list(fields.values()), pa.string()).take(pa.array(np.repeat(np.arange(len(lists)), [len(r) for r in rows])))
+            yield from _turned(key, keys, pa.concat_arrays([(stem_lists(x) if stemmed else x).flatten() for x in lists]), np.concatenate(rows), np.concatenate(places), labels)
+
+    words = [words_of(c).alias(f"__words_{i}") for i, c in enumerate(fields)]
+    return df.select(key, *words).mapInArrow(run, _postings_schema(df, key))
 
 
 def postings(indexed: DataFrame, key: str = "id") -> DataFrame:

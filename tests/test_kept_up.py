@@ -105,3 +105,48 @@ def test_index_kept_up_equals_a_rebuild(spark, tmp_path):
     store.change(spark.createDataFrame([(i, text(), "late") for i in range(100, 140)], schema))
     assert store.numbers() == (3, [4, 5]) and store.merge_if_grown() and store.numbers() == (6, [])
     assert store.rows().count() == len(now) + 40 and store.merge_if_grown() is False
+
+
+def long_texts(n=24, size=30_000):
+    """Texts of more words than Spark sorts in one thread, of a vocabulary that Parquet keeps as a dictionary."""
+    rng = random.Random(8)
+    vocabulary = [f"w{rng.randrange(10**6)}" for _ in range(3_000)]
+    return [(i, " ".join(rng.choices(vocabulary, k=size))) for i in range(n)]
+
+
+def test_postings_of_long_stored_texts(spark, tmp_path):
+    rows = long_texts()
+    want = {}
+    for i, text in rows:
+        for at, word in enumerate(text.split(), 1):
+            want.setdefault((word, i), []).append(at)
+    made = spark.createDataFrame(rows, "id long, text string").coalesce(2)
+    M.with_index(made, {"text": "B"}).write.parquet(f"{tmp_path}/rows")
+    store = IndexStore(spark, f"file://{tmp_path}/ix", made.schema, {"text": "B"})
+    store.change(made)
+    for found in (M.postings_of_rows(spark.read.parquet(f"{tmp_path}/rows")), store.postings()):
+        got = {(r.lexeme, r.id): [p.pos for p in r.positions] for r in found.toLocalIterator()}
+        assert got == want and {p.label for p in found.first().positions} == {"B"}
+
+
+@pytest.mark.parametrize("few", [0, 1_000_000])
+def test_index_takes_little_disk(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr("procurelake.search.store.FEW_IDS", few, raising=False)
+    made = spark.createDataFrame(long_texts(60, 3_000), "id long, text string").coalesce(1)
+    made.write.parquet(f"{tmp_path}/texts")
+    size = lambda folder: sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+    texts = spark.read.parquet(f"{tmp_path}/texts")
+    store = IndexStore(spark, f"file://{tmp_path}/ix", texts.schema, {"text": "B"})
+    # some come twice
+    store.change(texts.unionByName(texts.where("id % 5 = 0")))
+    store.change(texts.where("id % 3 = 0").withColumn("text", F.concat(F.lit("onan "), "text")), texts.where("id % 7 = 0").select("id"))
+    assert size(tmp_path / "ix" / "rows" / "generation=0") < 1.2 * size(tmp_path / "texts")
+    before = sorted(map(str, store.postings().collect())), sorted(map(str, store.rows().collect()))
+    base = store.merge()
+    assert store.remove_merged() == 6 and store.remove_merged() == 0
+    assert size(tmp_path / "ix") < 3 * size(tmp_path / "texts")
+    assert store.numbers() == (base, []) and (sorted(map(str, store.postings().collect())), sorted(map(str, store.rows().collect()))) == before
+    assert sorted(r.id for r in store.rows().select("id").collect()) == [i for i in range(60) if i % 7]
+    assert sorted(r.id for r in M.matching_ids(store.postings(), expand("onan", {})).collect()) == [i for i in range(60) if i % 3 == 0 and i % 7]
+    store.change(texts.where("id = 7"))
+    assert store.numbers() == (base, [base + 1]) and store.rows().count() == 52
