@@ -30,7 +30,7 @@ LEVEL = r"(?iU)b[\s\-]?bbee\s*(?:status\s*)?(?:level|contributor\s+level)?\s*[:\
 EMAIL = r"(?U)\b[\w.+-]+@[\w-]+\.[\w.-]+\b"
 PHONE = r"(?U)(?:\+27|0)\s?\d{2}[\s\-]?\d{3}[\s\-]?\d{4}\b"
 VALUE = r"(?isU)(?:estimated\s+(?:value|cost|amount)|budget|contract\s+value).{0,30}?R\s?([\d\s,.]{4,20})"
-NUMBER_CHARS, NUMBER_TOP, EVIDENCE_CHARS = 8_000, 2_000, 200
+NUMBER_TOP, EVIDENCE_CHARS = 2_000, 200
 LEAST_VALUE, MOST_VALUE = 1_000, 10_000_000_000
 FIELDS = ("tender_number", "closing_at", "briefing_at", "compulsory_briefing", "cidb_grades", "bbee_level", "contact_email", "contact_phone", "value_estimated")
 
@@ -100,11 +100,11 @@ def extract_fields(documents: DataFrame, text: str = "text") -> DataFrame:
 
     Each pattern runs over the text once, and only where the text has words that it needs; its groups are taken from the short match, all at once. What is used
     more than once is a column, in several steps: one large step is more code than Java compiles, and many times as slow.
-    Digits of any script count.
+    Digits of any script count. All patterns run over the whole text.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     # the mark is no part of a number, and neither is the character it gives way to
-    head = F.replace(F.substring(t, 1, NUMBER_CHARS), F.lit(MARK), F.lit(OTHER))
+    unmarked = F.replace(t, F.lit(MARK), F.lit(OTHER))
     first = {
         "closing": starting("csd", CLOSING), "briefing": starting("cmsb", BRIEFING), "near": starting("cmsb", COMPULSORY), "level": starting("b", LEVEL),
         "email": EMAIL, "phone": starting("+0", PHONE), "value": starting("ebc", VALUE),
@@ -113,7 +113,7 @@ def extract_fields(documents: DataFrame, text: str = "text") -> DataFrame:
     low = {"__low": F.lower(F.replace(F.replace(F.replace(t, F.lit("\u017f"), F.lit("s")), F.lit("\u0131"), F.lit("i")), F.lit("\u0130"), F.lit("i")))}
     found = {f"__{name}": F.when(_needed(name), F.regexp_extract(t, pattern, 0)).otherwise("") for name, pattern in first.items()}
     found |= {
-        "__numbered": F.when(_needed("numbered"), F.regexp_replace(head, starting("tbqrc", NUMBER), f"{MARK}$0{INNER}$1{MARK}")),
+        "__numbered": F.when(_needed("numbered"), F.regexp_replace(unmarked, starting("tbqrc", NUMBER), f"{MARK}$0{INNER}$1{MARK}")),
         "__grades": F.when(_needed("grades") & t.rlike(starting("c", GRADE_CONTEXT)), F.regexp_extract_all(t, F.lit(starting("123456789", GRADE)), F.lit(0))),
     }
     # the texts between the matches are those of even place, the matches, each with its candidate, the others

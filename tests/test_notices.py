@@ -289,6 +289,16 @@ def test_extraction_against_plain_python(spark):
     assert E.extract_fields(rows.limit(0)).count() == 0 and E.long_form(E.extract_fields(rows.limit(0))).count() == 0
 
 
+def test_fields_are_found_in_the_whole_text(spark):
+    late = "INVITATION Tender: ABCDEFGH " + "filler " * 2_000
+    every = "Tender No: ABC/123, Closing date: 15 September 2026 at 11:00. Compulsory briefing session on 4 May 2026. CIDB 7 GB. B-BBEE level 3. Mail a@b.co.za or 031 555 0123. Budget: R 12345"
+    texts = [late + every, "x" * 7_985 + " Tender No: ABC/123456", "Bid No: SCM 1/26, " + late + every, late * 20 + every, "\x01" * 9_000 + " " + every]
+    got = {r.doc_id: r for r in E.extract_fields(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    numbers = [tuple(got[i].tender_number) for i in range(len(texts))]
+    assert numbers == [("ABC/123", 0.7, "Tender No: ABC/123"), ("ABC/123456", 0.7, "Tender No: ABC/123456"), ("SCM 1/26", 0.85, "Bid No: SCM 1/26"), ("ABC/123", 0.7, "Tender No: ABC/123"), ("ABC/123", 0.7, "Tender No: ABC/123")]
+    assert all(got[i][f] is not None for i in (0, 2, 3, 4) for f in E.FIELDS)
+
+
 def test_process_documents(spark):
     docs = spark.createDataFrame([(1, None, "d1", "Bid No: A 1/26"), (2, None, "d1", "Bid No: A 1/26"), (3, "done", "d2", "Bid No: B 2/26"), (4, None, "d3", None)], "doc_id long, content_hash string, digest string, text string")
     known = spark.createDataFrame([("d3", "Bid No: C 3/26")], "digest string, text string")
